@@ -91,3 +91,111 @@ def bars_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("n") * 100).cast("bigint").alias("volume"),
         )
     )
+
+
+def bars_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars, those of every seventh minute written again a day later."""
+    first = bars_minute(spark, sf_dir).withColumn("ingested_at", F.col("timestamp"))
+    again = first.where(F.minute("timestamp") % 7 == 0).withColumns(
+        {
+            "close": F.least(F.col("close") * 1.01, F.col("high")),
+            "ingested_at": F.col("timestamp") + F.make_dt_interval(F.lit(1)),
+        }
+    )
+    return first.unionByName(again)
+
+
+def bars_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with one fault each on days 3, 5, 7 and 9 of the month."""
+    day = F.dayofmonth("timestamp")
+    return bars_daily(spark, sf_dir).withColumns(
+        {
+            "volume": F.when(day == 3, F.lit(-1).cast("bigint")).otherwise(F.col("volume")),
+            "high": F.when(day == 5, F.col("low") - 1).otherwise(F.col("high")),
+            "open": F.when(day == 7, F.col("high") + 1).otherwise(F.col("open")),
+            "close": F.when(day == 9, F.col("low") - 1).otherwise(F.col("close")),
+        }
+    )
+
+
+def vendor_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars as text under the vendor's column names, in lots."""
+    bad = F.dayofmonth("timestamp") == 28
+    close = F.when(bad, F.lit("bad")).otherwise(F.col("close").cast("string"))
+    return bars_daily(spark, sf_dir).select(
+        "symbol",
+        F.date_format("timestamp", "yyyy-MM-dd").alias("日期"),
+        F.col("open").cast("string").alias("开盘"),
+        F.col("high").cast("string").alias("最高"),
+        F.col("low").cast("string").alias("最低"),
+        close.alias("收盘"),
+        (F.col("volume") / 100).cast("string").alias("成交量"),
+    )
+
+
+def vendor_epoch(spark: SparkSession, sf_dir: str, interval: str = "1m") -> DataFrame:
+    """Bars keyed by a day label and epoch milliseconds."""
+    bars = bars_minute(spark, sf_dir) if interval == "1m" else bars_daily(spark, sf_dir)
+    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    return bars.select(
+        "symbol",
+        F.date_format("timestamp", "yyyyMMdd").alias("label"),
+        (F.timestamp_diff("SECOND", epoch, F.col("timestamp")) * 1000).alias("time"),
+        "open",
+        "high",
+        "low",
+        "close",
+        "volume",
+    )
+
+
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw instrument rows; odd rows use the other pair of names, every 7th code is blank."""
+    key = F.col("s_suppkey")
+    code = F.when(key % 7 == 0, F.lit("  ")).otherwise(F.concat(code_of(key % 10), F.lit(" ")))
+    name, even = F.concat(F.lit(" "), F.col("s_name")), key % 2 == 0
+    return table(spark, sf_dir, "supplier").select(
+        F.when(even, code).alias("code"),
+        F.when(even, name).alias("name"),
+        F.when(~even, code).alias("代码"),
+        F.when(~even, name).alias("名称"),
+    )
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sym = F.col("s_suppkey") % 10
+    rows = table(spark, sf_dir, "supplier").groupBy(sym.alias("sym"))
+    return (
+        rows.agg(F.sum("s_acctbal").alias("bal"))
+        .where(F.col("sym") < 9)
+        .select(
+            code_of(F.col("sym")).alias("symbol"),
+            (F.col("bal") * 1000000.0).alias("float_mktcap"),
+            (F.col("sym") / 20).alias("inst_ownership"),
+            (F.col("sym") == 8).alias("is_st"),
+        )
+    )
+
+
+def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order buys, and sells the same shares one to five days later."""
+    sym, key = F.col("o_custkey") % 10, F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("timestamp_ntz")
+    wait = F.make_dt_interval((1 + key % 5).cast("int"))
+    buy = F.struct(F.lit("buy").alias("side"), day.alias("timestamp"), (key * 2).alias("seq"), F.lit(7919.0).alias("d"), F.lit("rebalance").alias("reason"))
+    why = F.when(key % 3 == 0, "stop_loss").otherwise("rebalance")
+    sell = F.struct(F.lit("sell").alias("side"), (day + wait).alias("timestamp"), (key * 2 + 1).alias("seq"), F.lit(7907.0).alias("d"), why.alias("reason"))
+    return (
+        table(spark, sf_dir, "orders")
+        .select("o_custkey", "o_totalprice", F.explode(F.array(buy, sell)).alias("f"))
+        .select(
+            (F.col("o_custkey") % 4).alias("account"),
+            "f.timestamp",
+            "f.seq",
+            code_of(sym).alias("symbol"),
+            "f.side",
+            (100 * (1 + sym % 3)).cast("bigint").alias("shares"),
+            (10.0 * (1 + sym) * (1.0 + F.col("o_totalprice") % 1000.0 / F.col("f.d"))).alias("price"),
+            "f.reason",
+        )
+    )
