@@ -1,7 +1,7 @@
 """All checked queries."""
 from __future__ import annotations
 
-from checks import market_data  # noqa: F401
+from checks import indicators, market_data, strategies  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

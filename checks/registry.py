@@ -83,7 +83,7 @@ view(
   CAST(CASE WHEN day(l_shipdate) = 13 THEN 0 ELSE sum(l_quantity) * 100 END AS BIGINT) AS volume
   FROM (SELECT l_suppkey % 10 AS sym, l_shipdate, l_quantity,
     (l_orderkey * 8 + l_linenumber) * 131072 + CAST(round((l_extendedprice % 1000e0) * 100) AS BIGINT) AS k,
-    10e0 * (1 + l_suppkey % 10) * (1e0 + (l_extendedprice % 1000e0) / 7919e0) AS px FROM lineitem) z
+    10e0 * (1 + l_suppkey % 10) * (1e0 + sqrt(l_extendedprice % 1000e0) / 253e0) AS px FROM lineitem) z
   GROUP BY sym, l_shipdate""",
 )
 view(
@@ -91,7 +91,7 @@ view(
     f"""SELECT {code_sql('sym')} AS symbol, '1m' AS interval, timestamp,
   arg_min(px, event_id) AS open, max(px) AS high, min(px) AS low, arg_max(px, event_id) AS close,
   CAST(count(*) * 100 AS BIGINT) AS volume
-  FROM (SELECT user_id % 5 AS sym, event_id, 100e0 + (value % 50e0) / 9.7e0 AS px,
+  FROM (SELECT user_id % 5 AS sym, event_id, 100e0 + sqrt(value % 50e0) AS px,
     CAST(date_trunc('day', ts) AS TIMESTAMP) + to_minutes(CAST(CASE WHEN m < 120 THEN 90 + m ELSE 180 + m END AS INTEGER)) AS timestamp
     FROM (SELECT *, (hour(ts) * 60 + minute(ts)) % 240 AS m FROM events) e) z
   GROUP BY sym, timestamp""",
@@ -101,3 +101,15 @@ for grain in ("daily", "minute"):
         f"bars_{grain}_n",
         f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS i FROM bars_{grain}",
     )
+
+view(
+    "fills",
+    f"""SELECT o_custkey % 4 AS account, timestamp, seq, {code_sql('o_custkey % 10')} AS symbol, side,
+  CAST(100 * (1 + o_custkey % 10 % 3) AS BIGINT) AS shares,
+  10e0 * (1 + o_custkey % 10) * (1e0 + (o_totalprice % 1000e0) / d) AS price, reason FROM (
+    SELECT *, CAST(o_orderdate AS TIMESTAMP) AS timestamp, o_orderkey * 2 AS seq, 'buy' AS side,
+      7919e0 AS d, 'rebalance' AS reason FROM orders
+    UNION ALL SELECT *, CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(1 + o_orderkey % 5 AS INTEGER)),
+      o_orderkey * 2 + 1, 'sell', 7907e0,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'stop_loss' ELSE 'rebalance' END FROM orders) z""",
+)

@@ -2,6 +2,8 @@
 
 Every view is a single aggregation with fixed-width buffers, so Spark combines on the
 map side with hash aggregation and shuffles one row per bar, whatever the key skew.
+Prices take a square root so that equal sums, and with them comparisons decided by the
+order of floating-point additions, do not occur.
 """
 from __future__ import annotations
 
@@ -32,7 +34,7 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"),
         "l_quantity",
         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 131072 + cents).alias("k"),
-        (10.0 * (1 + sym) * (1.0 + F.col("l_extendedprice") % 1000.0 / 7919.0)).alias("px"),
+        (10.0 * (1 + sym) * (1.0 + F.sqrt(F.col("l_extendedprice") % 1000.0) / 253.0)).alias("px"),
     )
     return (
         rows.groupBy("sym", "timestamp")
@@ -66,7 +68,7 @@ def bars_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 5).alias("sym"),
         "event_id",
-        (100.0 + F.col("value") % 50.0 / 9.7).alias("px"),
+        (100.0 + F.sqrt(F.col("value") % 50.0)).alias("px"),
         F.timestamp_add(
             "MINUTE", in_session, F.to_date("ts").cast("timestamp_ntz")
         ).alias("timestamp"),
