@@ -68,7 +68,8 @@ def with_views(sql: str) -> str:
 
     visit(sql)
     parts = [f"{name} AS ({body})" for name, body in VIEWS.items() if name in needed]
-    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql
+    sql = (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + sql
+    return re.sub(r'(?<!")\basof\b(?!")', '"asof"', sql)  # a keyword in DuckDB, a column here
 
 
 def code_sql(sym: str) -> str:

@@ -137,8 +137,9 @@ def features_asof(
     )
     return (
         newest.join(numbered, "asof")
-        .withColumn("_k", F.explode(F.sequence("_k", until)))
-        .drop("asof", "_end")
+        .withColumn("_until", until)
+        .withColumn("_k", F.explode(F.sequence("_k", "_until")))
+        .drop("asof", "_end", "_until")
         .join(numbered.drop("_end"), "_k")
         .select("asof", "symbol", *names)
     )

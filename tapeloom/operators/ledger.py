@@ -123,8 +123,9 @@ def _spread(states: DataFrame, keys: tuple[str, ...], clock: DataFrame) -> DataF
     return (
         states.withColumn("_one", F.lit(0))
         .join(F.broadcast(ends), "_one")  # one row
-        .withColumn("tick", F.explode(F.sequence("tick", F.coalesce(until, F.col("_end")))))
-        .drop("_one", "_end")
+        .withColumn("_until", F.coalesce(until, F.col("_end")))
+        .withColumn("tick", F.explode(F.sequence("tick", "_until")))
+        .drop("_one", "_end", "_until")
     )
 
 
