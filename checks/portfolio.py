@@ -49,7 +49,12 @@ def cross(s, d):
     return sel.build_features(views.bars_daily(s, d), ASOF, 60, views.fundamentals(s, d))
 
 
-add("join_fundamentals", f"symbol {FEATURES} {CTX}", cross, "SELECT * FROM crossed")
+add(
+    "join_fundamentals",
+    f"symbol {FEATURES} {CTX}",
+    lambda s, d: cross(s, d).withColumn("is_st", F.col("is_st").cast("string")),
+    "SELECT * REPLACE (CAST(is_st AS VARCHAR) AS is_st) FROM crossed",
+)
 
 
 def filtered(name: str, condition, sql: str) -> None:

@@ -10,6 +10,7 @@ from tapeloom.functions.codes import limit_pct
 from tapeloom.operators import backtest as bt
 from tapeloom.operators import ledger, market, orders, reports
 from tapeloom.operators.series import MINUTE
+from tapeloom.session import settle
 from tapeloom.sources import views
 
 BAR_ID = "symbol timestamp"
@@ -395,8 +396,16 @@ add(
 # --- reports -----------------------------------------------------------------
 
 
+def session_tables(s, d):
+    """Enriched fills, marks and equity; marks feed several tables, so they are kept."""
+    trades, bars = enriched(s, d), views.bars_daily(s, d)
+    marked = settle(ledger.mark_to_market(ledger.position_ledger(trades), bars))
+    cash = ledger.cash_ledger(trades, CASH)
+    return trades, marked, ledger.equity_curve(cash, marked, bars, CASH)
+
+
 def report(s, d):
-    return reports.daily_report(enriched(s, d), marks(s, d), curve(s, d))
+    return reports.daily_report(*session_tables(s, d))
 
 
 add(
@@ -419,7 +428,8 @@ add(
 
 
 def log(s, d):
-    return reports.telemetry_log(curve(s, d), marks(s, d), views.bars_daily(s, d), enriched(s, d))
+    trades, marked, equity = session_tables(s, d)
+    return reports.telemetry_log(equity, marked, views.bars_daily(s, d), trades)
 
 
 add(

@@ -1,97 +1,103 @@
-"""Structured Streaming counterparts of the batch operators."""
+"""Structured Streaming counterparts of the batch operators.
+
+Stateless and bucketed work runs as ordinary streaming queries.  Work that needs the whole
+table or an ordered pass runs the batch operator inside ``foreachBatch``; every micro-batch
+writes under its id, so a replay after a failure overwrites its own output.
+"""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tapeloom.functions.expr import ieee_div
 from tapeloom.operators.backtest import Signal
 from tapeloom.operators.market import RiskLimits
 from tapeloom.operators.orders import order_sheet
 from tapeloom.operators.resample import local_time, ohlcv, session_bucket
+from tapeloom.operators.series import Series, lay_out, running
 from tapeloom.schema import BAR_COLUMNS, minutes_of
 from tapeloom.sources.ingest import tag_faults
 from tapeloom.sources.tables import MONTH, dedup_bars, for_storage
 
 
+def _each_batch(
+    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str
+) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(target)
+
+
 def stream_validate(
-    stream: DataFrame, out: str, bad: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] = tag_faults
+    stream: DataFrame,
+    out: str,
+    bad: str,
+    checkpoint: str,
+    parse: Callable[[DataFrame], DataFrame] = tag_faults,
 ) -> StreamingQuery:
     """Split a landing stream into valid bars and a quarantine with reasons.
 
-    Each micro-batch goes to a folder named by its id, so a replay overwrites itself.
+    ``parse`` turns landed rows into bars with ``reason``, e.g. a vendor parser.
     """
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        tagged = parse(batch).persist()
-        good = tagged.where(F.col("reason").isNull()).select(*BAR_COLUMNS)
-        good.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        tagged.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+        tagged = parse(batch).withColumn("ok", F.col("reason").isNull()).persist()
+        for path, keep in ((out, F.col("ok")), (bad, ~F.col("ok"))):
+            rows = tagged.where(keep).select(*BAR_COLUMNS, "reason")
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         tagged.unpersist()
 
-    return (
-        stream.writeStream.foreachBatch(split)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(stream, split, checkpoint)
 
 
-def stream_dedup_upsert(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Idempotent ingest into a parquet table partitioned by (interval, month).
+def merge_into(batch: DataFrame, batch_id: int, table_path: str, staging: str) -> None:
+    """Put a batch into a parquet bars table, last write wins.
 
-    Only the months a batch touches are rewritten: stored rows of those months and the
-    batch are deduplicated, staged, and put in place by dynamic partition overwrite.
+    Only the (interval, month) partitions the batch touches are read, deduplicated, staged
+    and put in place by dynamic partition overwrite.
     """
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        incoming = batch.withColumn("month", F.date_format("timestamp", MONTH))
-        merged = incoming
-        if _has_table(spark, table_path):
-            touched = incoming.select("interval", "month").distinct()
-            stored = spark.read.schema(incoming.schema).parquet(table_path)
-            merged = stored.join(F.broadcast(touched), ["interval", "month"], "left_semi").unionByName(incoming)
-        staged = f"{checkpoint}/staged/{batch_id}"
-        for_storage(dedup_bars(merged.drop("month"))).write.mode("overwrite").parquet(staged)
-        (
-            spark.read.parquet(staged)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("interval", "month")
-            .parquet(table_path)
-        )
-
-    return (
-        stream.writeStream.foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    spark = batch.sparkSession
+    merged = batch.withColumn("month", F.date_format("timestamp", MONTH))
+    if _exists(spark, table_path):
+        touched = merged.select("interval", "month").distinct()  # calendar-bounded
+        stored = spark.read.schema(merged.schema).parquet(table_path)
+        stored = stored.join(touched, ["interval", "month"], "left_semi")
+        merged = stored.select(*merged.columns).unionByName(merged)
+    staged = f"{staging}/merge/batch={batch_id}"
+    for_storage(dedup_bars(merged.drop("month"))).write.mode("overwrite").parquet(staged)
+    (
+        spark.read.parquet(staged)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("interval", "month")
+        .parquet(table_path)
     )
 
 
-def _has_table(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+def stream_dedup_upsert(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
+    """Idempotent ingest of bars with ``ingested_at`` into a parquet table."""
+    return _each_batch(stream, lambda b, i: merge_into(b, i, table_path, checkpoint), checkpoint)
 
 
 def stream_resample(stream: DataFrame, target: str, lateness: str = "1 day") -> DataFrame:
-    """Session bars of a minute stream; state holds only buckets behind the watermark.
+    """Session bars of a minute stream; state holds only buckets ahead of the watermark.
 
-    The bucket start is event time, so a bucket is emitted once, when no later bar can
-    reach it.
+    The bucket start is the event time, so a bucket is emitted once, when no bar that is at
+    most ``lateness`` late can reach it any more.
     """
     every = minutes_of(target)
     cut, local = session_bucket("timestamp", every), local_time("timestamp")
     minute_of_day = F.hour(local) * 60 + F.minute(local)
-    back = cut["session"] + cut["bucket"].cast("int") * every - minute_of_day
-    start = F.timestamp_add("MINUTE", back, F.date_trunc("MINUTE", "timestamp").cast("timestamp_ntz"))
+    shift = cut["session"] + cut["bucket"].cast("int") * every - minute_of_day
+    start = F.timestamp_add("MINUTE", shift, F.date_trunc("MINUTE", "timestamp").cast("timestamp_ntz"))
     return (
         stream.withColumn("bucket_start", start.cast("timestamp"))
         .withWatermark("bucket_start", lateness)
@@ -104,7 +110,7 @@ def stream_resample(stream: DataFrame, target: str, lateness: str = "1 day") ->
 
 def stream_scan(
     stream: DataFrame,
-    bars: Callable[[], DataFrame],
+    table_path: str,
     signal: Signal,
     holdings: DataFrame,
     accounts: DataFrame,
@@ -112,70 +118,94 @@ def stream_scan(
     checkpoint: str,
     limits: RiskLimits = RiskLimits(),
 ) -> StreamingQuery:
-    """An order sheet after every micro-batch, over stored bars and the batch."""
+    """After every micro-batch: merge its bars into the table, then write the order sheet."""
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        known = bars().select(*BAR_COLUMNS).unionByName(batch.select(*BAR_COLUMNS))
-        known = known.dropDuplicates(["symbol", "interval", "timestamp"])
-        sheet = order_sheet(known, signal, holdings, accounts, limits)
+        merge_into(batch, batch_id, table_path, checkpoint)
+        bars = batch.sparkSession.read.parquet(table_path)
+        sheet = order_sheet(bars, signal, holdings, accounts, limits)
         sheet.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(scan)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(stream, scan, checkpoint)
+
+
+MONITOR_STATE = "account {0}, day date, day_start double, last double, peak double, halted boolean"
+TICKS = Series(("account",), ("timestamp",), None)
 
 
-MONITOR_SCHEMA = T.StructType(
-    [
-        T.StructField("account", T.LongType()),
-        T.StructField("timestamp", T.TimestampNTZType()),
-        T.StructField("equity", T.DoubleType()),
-        T.StructField("day_start", T.DoubleType()),
-        T.StructField("drawdown", T.DoubleType()),
-        T.StructField("halted", T.BooleanType()),
-    ]
-)
-
-
-class EquityMonitor(StatefulProcessor):
-    """State per account: day, day-start equity, last equity, peak and the latched halt."""
-
-    def __init__(self, max_daily_loss: float) -> None:
-        self.max_daily_loss = max_daily_loss
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = "day string, start double, last double, peak double, halted boolean"
-        self.state = handle.getValueState("account", schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values("timestamp")
-        if self.state.exists():
-            day, start, last, peak, halted = self.state.get()
-        else:
-            day, start, last, peak, halted = "", None, None, float("-inf"), False
-        out = []
-        for stamp, equity in zip(frame["timestamp"], frame["equity"]):
-            today = str(stamp.date())
-            if today != day:
-                day, start, halted = today, equity if last is None else last, False
-            peak, last = max(peak, equity), equity
-            halted = halted or equity <= start * (1 - self.max_daily_loss)
-            out.append((key[0], stamp, equity, start, equity / peak - 1, halted))
-        self.state.update((day, start, last, peak, halted))
-        yield pd.DataFrame(out, columns=MONITOR_SCHEMA.names)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_equity_monitor(stream: DataFrame, max_daily_loss: float = 0.05) -> DataFrame:
-    """Running drawdown and daily-loss halt of a stream of (account, timestamp, equity)."""
-    return stream.groupBy("account").transformWithStateInPandas(
-        statefulProcessor=EquityMonitor(max_daily_loss),
-        outputStructType=MONITOR_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
+def monitor_batch(
+    batch: DataFrame, state: DataFrame, max_daily_loss: float
+) -> tuple[DataFrame, DataFrame]:
+    """(judged rows, next state) of a batch of (account, timestamp, equity).
+
+    The state is one row per account.  Day starts come from the day before, the halt is the
+    first breach of a day, and the running peak is a blockwise scan on top of the stored one.
+    """
+    tagged = batch.select("account", "timestamp", "equity", F.to_date("timestamp").alias("day"))
+    prior = state.select(
+        "account", *[F.col(c).alias(f"_{c}") for c in ("day", "day_start", "last", "peak", "halted")]
+    )
+    days = tagged.groupBy("account", "day").agg(
+        F.min_by("equity", "timestamp").alias("_open"), F.max_by("equity", "timestamp").alias("_close")
+    )
+    before = F.lag("_close").over(Window.partitionBy("account").orderBy("day"))  # one row a day
+    days = days.withColumn("_before", before).join(prior, "account", "left")
+    same = F.coalesce(F.col("day") == F.col("_day"), F.lit(False))
+    fresh = F.coalesce("_before", "_last", "_open")
+    days = days.withColumns(
+        {
+            "day_start": F.when(same, F.col("_day_start")).otherwise(fresh),
+            "_latched": F.when(same, F.col("_halted")).otherwise(F.lit(False)),
+        }
+    ).select("account", "day", "day_start", "_latched", "_peak")
+    rows = tagged.join(days, ["account", "day"])
+    breach = F.col("equity") <= F.col("day_start") * (1 - max_daily_loss)
+    firsts = rows.groupBy("account", "day").agg(
+        F.min(F.when(breach, F.col("timestamp"))).alias("_from")
     )
+    rows = rows.join(firsts, ["account", "day"])
+    reached = F.coalesce(F.col("timestamp") >= F.col("_from"), F.lit(False))
+    rows = rows.withColumn("halted", F.col("_latched") | reached)
+    lay = running(lay_out(rows, TICKS), {"peak": ("max", F.col("equity"))})
+    rows = lay.df.withColumn("peak", F.greatest("peak", "_peak"))
+    out = rows.select(
+        "account",
+        "timestamp",
+        "equity",
+        "day",
+        "day_start",
+        "peak",
+        (ieee_div("equity", "peak") - 1).alias("drawdown"),
+        "halted",
+    )
+    news = out.groupBy("account").agg(
+        F.max("day").alias("day"),
+        F.max_by("day_start", "timestamp").alias("day_start"),
+        F.max_by("equity", "timestamp").alias("last"),
+        F.max("peak").alias("peak"),
+        F.max_by("halted", "timestamp").alias("halted"),
+    )
+    kept = state.join(news, "account", "left_anti")
+    return out, news.unionByName(kept)
+
+
+def stream_equity_monitor(
+    stream: DataFrame, out: str, checkpoint: str, max_daily_loss: float = 0.05
+) -> StreamingQuery:
+    """Running peak, drawdown and daily-loss halt of a stream of account equity.
+
+    Micro-batches are taken in order; batch n starts from the state batch n-1 left.
+    """
+    key_type = stream.schema["account"].dataType.simpleString()
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        spark, schema = batch.sparkSession, MONITOR_STATE.format(key_type)
+        path = f"{checkpoint}/monitor/batch={batch_id - 1}"
+        known = _exists(spark, path)
+        state = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
+        rows, state = monitor_batch(batch, state, max_daily_loss)
+        target = f"{out}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(target)
+        state.write.mode("overwrite").parquet(f"{checkpoint}/monitor/batch={batch_id}")
+
+    return _each_batch(stream, judge, checkpoint)
