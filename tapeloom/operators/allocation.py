@@ -209,6 +209,6 @@ def portfolio_equity(budgeted: DataFrame, series: Series = DAILY) -> DataFrame:
         .agg(F.sum(F.col("budget") * F.col("ret")).alias("ret"))
         .withColumn("_book", F.lit(0))
     )
-    lay = lay_out(per_bar, Series(("_book",), ("timestamp",), series.step, series.slots))
+    lay = lay_out(per_bar, series.by(("_book",)))
     lay = running(lay, {"equity": ("product", 1 + F.col("ret"))})
     return lay.df.select("timestamp", "ret", "equity")

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +100,7 @@ def _targets(lay: Layout, signal: Signal, ages: int) -> Layout:
         return lay.own()
     lay = running(lay, {f"{t}l": ("last", F.col(t)) for t in names})
     filled = {t: F.coalesce(f"{t}l", F.lit(0.0)) for t in names}
-    return Layout(lay.df.withColumns(filled), lay.series, lay.parts)
+    return replace(lay, df=lay.df.withColumns(filled))
 
 
 def with_target(df: DataFrame, signal: Signal, series: Series = DAILY) -> DataFrame:
@@ -111,8 +111,7 @@ def with_target(df: DataFrame, signal: Signal, series: Series = DAILY) -> DataFr
 
 def held_position(df: DataFrame, by: Sequence[str] = ("symbol",), series: Series = DAILY) -> DataFrame:
     """``held`` = the target of the bar before, 0 on the first bar."""
-    keyed = Series(tuple(by), series.order, series.step, series.slots, series.block_rows)
-    lay = lay_out(df, keyed, 1)
+    lay = lay_out(df, series.by(by), 1)
     held = F.coalesce(lay.lag("target"), F.lit(0.0))
     return lay.with_levels([{"held": held}]).own().df.select(*df.columns, "held")
 
@@ -124,8 +123,7 @@ def turnover_cost(
     series: Series = DAILY,
 ) -> DataFrame:
     """``cost`` of the change in ``held`` entering each bar."""
-    keyed = Series(tuple(by), series.order, series.step, series.slots, series.block_rows)
-    lay = lay_out(df, keyed, 1)
+    lay = lay_out(df, series.by(by), 1)
     before = F.coalesce(lay.lag("held"), F.lit(0.0))
     lay = lay.with_levels([{"cost": costs.turnover_cost("held", before)}])
     return lay.own().df.select(*df.columns, "cost")
@@ -151,9 +149,9 @@ def backtest(
     )
     gain = F.col("held") * F.coalesce("asset_ret", F.lit(0.0)) - F.col("cost")
     out = out.withColumn("ret", gain)
-    if signal.latch and not series.bounded:
+    if signal.latch and not lay.whole:
         out = settle(out)  # two dependent carry passes: compute the first one once
-    lay = running(Layout(out, lay.series, lay.parts), {"equity": ("product", 1 + F.col("ret"))})
+    lay = running(replace(lay, df=out), {"equity": ("product", 1 + F.col("ret"))})
     return lay.df.select(*df.columns, "target", "asset_ret", "held", "cost", "ret", "equity")
 
 
@@ -177,8 +175,7 @@ def backtest_stats(
 
 def trades(bt: DataFrame, by: Sequence[str] = ("symbol",), series: Series = DAILY) -> DataFrame:
     """Bars on which the held weight changed."""
-    keyed = Series(tuple(by), series.order, series.step, series.slots, series.block_rows)
-    lay = lay_out(bt, keyed, 1)
+    lay = lay_out(bt, series.by(by), 1)
     delta = F.col("held") - F.coalesce(lay.lag("held"), F.lit(0.0))
     lay = lay.with_levels([{"delta": delta}]).own()
     return lay.df.where(F.col("delta") != 0).select(*by, "timestamp", "close", "held", "delta")

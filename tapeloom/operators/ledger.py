@@ -5,6 +5,8 @@ orders fills of equal time.  Ledgers run over accounts of any size in blocks.
 """
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +52,8 @@ def position_ledger(fills: DataFrame, series: Series = POSITION) -> DataFrame:
     unchanged on a sell: a linear recursion that runs blockwise.
     """
     lay = running(lay_out(fills, series), {"held": ("sum", _signed(F.col("shares")))})
-    counted = lay.df
-    if not series.bounded:
-        counted = settle(counted)  # the average depends on the finished holdings
-    lay = type(lay)(counted, lay.series, lay.parts)
+    if not lay.whole:
+        lay = replace(lay, df=settle(lay.df))  # two dependent carry passes
     fresh = ~_is_sell() & (F.col("held") <= F.col("shares"))
     weight = (
         F.when(_is_sell(), F.lit(0.0)).when(fresh, F.lit(1.0)).otherwise(F.col("shares") / F.col("held"))
@@ -142,7 +142,7 @@ def mark_to_market(ledger: DataFrame, df: DataFrame) -> DataFrame:
 
     The price is the last known close of the symbol, else the entry price.
     """
-    clock = clock_of(df)
+    clock = settle(clock_of(df))  # small, and read by every step below
     keys = ("account", "symbol")
     states = _last_per_tick(_tick_at(ledger, clock), keys, ("held", "avg_price"))
     open_ = _spread(states, keys, clock).where(F.col("held") > 0)
@@ -167,7 +167,7 @@ def mark_to_market(ledger: DataFrame, df: DataFrame) -> DataFrame:
 
 def equity_curve(cash: DataFrame, marks: DataFrame, df: DataFrame, start_cash: float) -> DataFrame:
     """(account, timestamp, cash, market_value, equity) at every bar time."""
-    clock = clock_of(df)
+    clock = settle(clock_of(df))  # small, and read by every step below
     states = _last_per_tick(_tick_at(cash, clock), ("account",), ("cash",))
     opening = (
         cash.select("account")

@@ -57,8 +57,7 @@ def telemetry_log(
     A portfolio row nests the open positions of one account at one bar time (at most one
     entry per instrument).  Fills without a time are dropped.
     """
-    by_account = Series(("account",), series.order, series.step, series.slots)
-    lay = running(lay_out(equity, by_account), {"_peak": ("max", F.col("equity"))})
+    lay = running(lay_out(equity, series.by(("account",))), {"_peak": ("max", F.col("equity"))})
     curve = lay.df.select(
         F.lit("equity").alias("topic"),
         epoch_ns().alias("log_time"),

@@ -1,8 +1,9 @@
 """Ordered computation over keyed series without ever needing one task per key.
 
 A daily series holds at most one row per date, so the calendar bounds it (about
-36,500 rows a century) and a plain window per key is safe.  Every other series is
-cut into blocks of bounded size:
+36,500 rows a century) and a plain window per key is safe.  Of any other family the
+longest series is measured first (a count per key, combined on the map side); when it
+fits one task a plain window is used too.  Otherwise series are cut into blocks:
 
 * rows are counted per (key, time slot) with map-side combining,
 * a running total over the slots (bounded by the calendar) assigns slots to blocks,
@@ -15,8 +16,8 @@ The result is the same as with one window per key, whatever the share of a hot k
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -41,13 +42,23 @@ class Series:
     step: str | None = "1d"
     slots: tuple[str, ...] = ()
     block_rows: int = 65_536
+    task_rows: int = 2_000_000
 
     @property
     def bounded(self) -> bool:
         return self.step == "1d" and not self.slots
 
-    def keyed(self, *extra: str) -> Series:
-        return Series((*extra, *self.keys), self.order, self.step, self.slots, self.block_rows)
+    def by(self, keys: Sequence[str]) -> Series:
+        return replace(self, keys=tuple(keys))
+
+    def fits_task(self, df: DataFrame) -> bool:
+        """Whether every series of ``df`` may be one window partition; counts if it must."""
+        if self.bounded:
+            return True
+        if self.task_rows <= 0:
+            return False
+        longest = df.groupBy(*self.keys).count().agg(F.max("count")).first()[0]
+        return (longest or 0) <= self.task_rows
 
     def slot_columns(self) -> list[Column]:
         if self.slots:
@@ -91,21 +102,21 @@ class Layout:
         for level in levels:
             if level:
                 df = df.withColumns(level)
-        return Layout(df, self.series, self.parts)
+        return replace(self, df=df)
+
+    @property
+    def whole(self) -> bool:
+        """True when every partition holds a complete series, so there is no halo or carry."""
+        return self.parts == self.series.keys
 
     def own(self) -> Layout:
         """Without the halo rows."""
-        if self.series.bounded:
-            return self
-        return Layout(self.df.where(F.col(OWN)), self.series, self.parts)
-
-    def release(self) -> DataFrame:
-        return self.df if self.series.bounded else self.df.drop(BLOCK, OWN)
+        return self if self.whole else replace(self, df=self.df.where(F.col(OWN)))
 
 
 def lay_out(df: DataFrame, series: Series, lookback: int = 0) -> Layout:
     """Partition ``df`` so that every row sees ``lookback`` earlier rows of its series."""
-    if series.bounded:
+    if series.fits_task(df):
         return Layout(df, series, series.keys)
     slots = {f"_slot{i}": c for i, c in enumerate(series.slot_columns())}
     tagged = df.withColumns(slots)
@@ -159,8 +170,8 @@ def running(layout: Layout, scans: Mapping[str, Scan]) -> Layout:
     base = layout.own()
     frame = base.rows.rowsBetween(Window.unboundedPreceding, 0)
     local = {name: _INNER[kind](expr).over(frame) for name, (kind, expr) in scans.items()}
-    if base.series.bounded:
-        return Layout(base.df.withColumns(local), base.series, base.parts)
+    if base.whole:
+        return replace(base, df=base.df.withColumns(local))
 
     position = base.series.position()
 
@@ -197,7 +208,7 @@ def running(layout: Layout, scans: Mapping[str, Scan]) -> Layout:
 
     joined = base.df.withColumns(local).join(totals, list(base.parts), "left")
     joined = joined.withColumns({n: join_up(n, kind) for n, (kind, _) in scans.items()})
-    return Layout(joined.drop(*carries.values()), base.series, base.parts)
+    return replace(base, df=joined.drop(*carries.values()))
 
 
 def decay_rows(alpha: float) -> int:
@@ -294,10 +305,10 @@ def blended(layout: Layout, name: str, a: Column, b: Column) -> Layout:
     base, columns = layout.own(), layout.df.columns
     order, kept = base.series.order, f"{name}_kept"
     inner = base.with_levels(_blend_levels(base.parts, order, name, a, b))
-    if base.series.bounded:
-        return Layout(inner.df.select(*columns, name), base.series, base.parts)
+    if base.whole:
+        return replace(base, df=inner.df.select(*columns, name))
     keys, position = base.series.keys, base.series.position()
-    inner = Layout(inner.df.select(*columns, name, kept), base.series, base.parts)
+    inner = replace(base, df=inner.df.select(*columns, name, kept))
     blocks = inner.df.groupBy(*base.parts).agg(
         F.max_by(name, position).alias("_b"), F.max_by(kept, position).alias("_a")
     )
@@ -308,4 +319,4 @@ def blended(layout: Layout, name: str, a: Column, b: Column) -> Layout:
     joined = inner.df.join(blocks, list(base.parts)).withColumn(
         name, F.col(name) + F.col(kept) * F.col("_carry")
     )
-    return Layout(joined.select(*columns, name), base.series, base.parts)
+    return replace(base, df=joined.select(*columns, name))

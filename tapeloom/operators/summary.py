@@ -42,7 +42,7 @@ def _moments(df: DataFrame, column: str, series: Series) -> DataFrame:
         F.min(x).alias("low"),
         F.max(x).alias("high"),
     )
-    if series.bounded:
+    if lay.whole:
         return part
     ahead = (
         Window.partitionBy(*series.keys)
@@ -106,9 +106,8 @@ def summary_by_symbol(
     unknown = sorted(set(metrics) - set(ALL_METRICS))
     if unknown:
         raise ValueError(f"unknown metrics {unknown}; known: {list(ALL_METRICS)}")
-    keyed = Series(tuple(by), series.order, series.step, series.slots, series.block_rows)
     formulas = _formulas(periods_per_year, risk_free_rate)
-    return _moments(df, column, keyed).select(*by, *[formulas[m].alias(m) for m in metrics])
+    return _moments(df, column, series.by(by)).select(*by, *[formulas[m].alias(m) for m in metrics])
 
 
 def _single(metric: str):

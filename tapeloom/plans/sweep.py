@@ -4,6 +4,7 @@ from __future__ import annotations
 import itertools
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tapeloom.functions.costs import CostModel
 from tapeloom.functions.expr import ieee_div
 from tapeloom.operators.backtest import RUN_STATS, SIGNALS, backtest_stats
 from tapeloom.operators.indicators import Indicator, rsi, sma, with_indicators
-from tapeloom.operators.series import DAILY, Layout, Series, lay_out, running
+from tapeloom.operators.series import DAILY, Series, lay_out, running
 
 SPEC_SCHEMA = T.StructType(
     [
@@ -150,8 +151,7 @@ def sweep_backtest(
     )
     fanned = fanned.withColumn("_raw", _raw_target(set(FAMILIES)))
     fanned = fanned.select(*df.columns, "spec_key", "_raw")
-    keyed = series.keyed("spec_key")
-    lay = lay_out(fanned, keyed, 2)
+    lay = lay_out(fanned, series.by(("spec_key", *series.keys)), 2)
     lags = {f"_t{a}": lay.lag("_raw", a) for a in (1, 2)}
     lay = lay.with_levels([{**lags, "asset_ret": ieee_div("close", lay.lag("close")) - 1}])
     names = {"target": "_raw", "held": "_t1", "_before": "_t2"}
@@ -160,7 +160,7 @@ def sweep_backtest(
     rows = rows.withColumn("cost", costs.turnover_cost("held", "_before"))
     gain = F.col("held") * F.coalesce("asset_ret", F.lit(0.0)) - F.col("cost")
     rows = rows.withColumn("ret", gain)
-    lay = running(Layout(rows, lay.series, lay.parts), {"equity": ("product", 1 + F.col("ret"))})
+    lay = running(replace(lay, df=rows), {"equity": ("product", 1 + F.col("ret"))})
     return lay.df.select(
         "spec_key", *df.columns, "target", "asset_ret", "held", "cost", "ret", "equity"
     )
