@@ -174,15 +174,19 @@ view(
 )
 
 
-def curve(s, d):
-    cash = ledger.cash_ledger(enriched(s, d), CASH)
-    return ledger.equity_curve(cash, marks(s, d), views.bars_daily(s, d), CASH)
+def session_tables(s, d):
+    """Enriched fills, marks and equity; marks feed several tables, so they are kept."""
+    trades, bars = enriched(s, d), views.bars_daily(s, d)
+    clock = settle(ledger.clock_of(bars))
+    marked = settle(ledger.mark_to_market(ledger.position_ledger(trades), bars, clock))
+    cash = ledger.cash_ledger(trades, CASH)
+    return trades, marked, ledger.equity_curve(cash, marked, bars, CASH, clock)
 
 
 add(
     "equity_curve",
     "account timestamp cash:2 market_value:2 equity:2",
-    curve,
+    lambda s, d: session_tables(s, d)[2],
     "SELECT * FROM equity",
 )
 HALT_LIMIT = 0.004
@@ -396,14 +400,6 @@ add(
 # --- reports -----------------------------------------------------------------
 
 
-def session_tables(s, d):
-    """Enriched fills, marks and equity; marks feed several tables, so they are kept."""
-    trades, bars = enriched(s, d), views.bars_daily(s, d)
-    marked = settle(ledger.mark_to_market(ledger.position_ledger(trades), bars))
-    cash = ledger.cash_ledger(trades, CASH)
-    return trades, marked, ledger.equity_curve(cash, marked, bars, CASH)
-
-
 def report(s, d):
     return reports.daily_report(*session_tables(s, d))
 

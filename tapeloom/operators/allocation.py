@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.expr import ieee_div
 from tapeloom.operators.selection import YEAR, Score, join_fundamentals, select_top_n
 from tapeloom.operators.series import DAILY, Series, lay_out, running
+from tapeloom.session import settle
 
 # Default gross budget and per-name cap.
 GROSS, NAME_CAP = 0.95, 0.20
@@ -161,7 +162,8 @@ def periodic_schedule(
 ) -> tuple[DataFrame, DataFrame]:
     """(all rebalance dates, weights per date and symbol); a date without weights is flat."""
     dates = rebalance_dates(trading_calendar(df), lookback, every)
-    features = features_asof(df, dates, lookback, series)
+    # One row per date and symbol; kept, because ranking and allocation read it again.
+    features = settle(features_asof(df, dates, lookback, series))
     if fundamentals is not None:
         features = join_fundamentals(features, fundamentals)
     return dates, allocator(select_top_n(features, filters, score, top_n))

@@ -137,12 +137,13 @@ def _last_per_tick(rows: DataFrame, keys: tuple[str, ...], values: tuple[str, ..
     )
 
 
-def mark_to_market(ledger: DataFrame, df: DataFrame) -> DataFrame:
+def mark_to_market(ledger: DataFrame, df: DataFrame, clock: DataFrame | None = None) -> DataFrame:
     """Open positions at every bar time: price, market value and unrealised P&L.
 
-    The price is the last known close of the symbol, else the entry price.
+    The price is the last known close of the symbol, else the entry price.  ``clock`` is
+    ``settle(clock_of(df))`` when it is already at hand.
     """
-    clock = settle(clock_of(df))  # small, and read by every step below
+    clock = clock or settle(clock_of(df))  # small, and read by every step below
     keys = ("account", "symbol")
     states = _last_per_tick(_tick_at(ledger, clock), keys, ("held", "avg_price"))
     open_ = _spread(states, keys, clock).where(F.col("held") > 0)
@@ -165,9 +166,15 @@ def mark_to_market(ledger: DataFrame, df: DataFrame) -> DataFrame:
     )
 
 
-def equity_curve(cash: DataFrame, marks: DataFrame, df: DataFrame, start_cash: float) -> DataFrame:
+def equity_curve(
+    cash: DataFrame,
+    marks: DataFrame,
+    df: DataFrame,
+    start_cash: float,
+    clock: DataFrame | None = None,
+) -> DataFrame:
     """(account, timestamp, cash, market_value, equity) at every bar time."""
-    clock = settle(clock_of(df))  # small, and read by every step below
+    clock = clock or settle(clock_of(df))  # small, and read by every step below
     states = _last_per_tick(_tick_at(cash, clock), ("account",), ("cash",))
     opening = (
         cash.select("account")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.expr import ieee_div
+from tapeloom.operators.series import Series
 
 FEATURES = ("price", "adv", "volatility", "momentum", "bars")
 YEAR = 252
@@ -100,11 +101,25 @@ def _magnitude_bucket(value: Column) -> Column:
     )
 
 
-def with_average_rank(df: DataFrame, column: str, by: Sequence[str], out: str, descending: bool) -> DataFrame:
+def _ranked_in_window(
+    df: DataFrame, column: str, by: Sequence[str], out: str, descending: bool
+) -> DataFrame:
+    """Average rank with one window per group, for groups that fit a task."""
+    key = F.col(column)
+    order = key.desc() if descending else key.asc()
+    place = F.rank().over(Window.partitionBy(*by, key.isNull()).orderBy(order))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, key))
+    return df.withColumn(out, F.when(key.isNotNull(), place + (ties - 1) / 2))
+
+
+def with_average_rank(
+    df: DataFrame, column: str, by: Sequence[str], out: str, descending: bool
+) -> DataFrame:
     """``out`` = average rank of ``column`` among the non-NULL values of its group.
 
-    Equal values are counted first (map-side), distinct values are ordered inside
-    magnitude buckets, and bucket totals give the offsets: no task sees a whole group.
+    For groups of any size: equal values are counted first (map-side), distinct values are
+    ordered inside magnitude buckets, and bucket totals give the offsets, so no task sees a
+    whole group.
     """
     values = (
         df.where(F.col(column).isNotNull())
@@ -132,25 +147,39 @@ def with_average_rank(df: DataFrame, column: str, by: Sequence[str], out: str, d
 
 
 def with_score(
-    df: DataFrame, score: Score, by: Sequence[str] = ("asof",), name: str = "score"
+    df: DataFrame,
+    score: Score,
+    by: Sequence[str] = ("asof",),
+    name: str = "score",
+    task_rows: int = 2_000_000,
 ) -> DataFrame:
-    """Add the blended score; ranks divide by the size of the group, NULLs stay unranked."""
+    """Add the blended score; ranks divide by the size of the group, NULLs stay unranked.
+
+    Groups are measured first: up to ``task_rows`` rows a group is ranked by plain windows
+    (one shuffle for all terms), beyond it by buckets.
+    """
     columns, total = df.columns, F.lit(0.0)
     if not by:
         df, by = df.withColumn("_group", F.lit(0)), ("_group",)
-    ranks: dict[tuple[str, bool], str] = {}
-    for weight, kind, column, marked in score.terms:
-        if kind == "raw":
-            term = -F.col(column) if marked else F.col(column)
+    ranked = {(c, marked) for _, kind, c, marked in score.terms if kind == "rank"}
+    ranks = {pair: f"_rank{n}" for n, pair in enumerate(sorted(ranked))}
+    if ranks:
+        small = Series(tuple(by), step=None, task_rows=task_rows).fits_task(df)
+        if small:
+            size = F.count(F.lit(1)).over(Window.partitionBy(*by))
+            df = df.withColumn("_size", size)
         else:
-            if (column, marked) not in ranks:
-                ranks[column, marked] = f"_rank{len(ranks)}"
-                df = with_average_rank(df, column, by, ranks[column, marked], descending=marked)
+            sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+            df = df.join(sizes, list(by))
+        rank = _ranked_in_window if small else with_average_rank
+        for (column, marked), out in ranks.items():
+            df = rank(df, column, by, out, marked)
+    for weight, kind, column, marked in score.terms:
+        if kind == "rank":
             term = F.col(ranks[column, marked]) / F.col("_size")
+        else:
+            term = -F.col(column) if marked else F.col(column)
         total = total + weight * term
-    if ranks:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-        df = df.join(sizes, list(by))
     return df.select(*columns, total.alias(name))
 
 

@@ -18,6 +18,8 @@ def build_session(app: str = "tapeloom", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Call sites cost several round trips to the JVM for every column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for name, value in {**defaults, **conf}.items():
         builder = builder.config(name, value)

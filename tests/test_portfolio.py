@@ -61,6 +61,13 @@ def test_ranks_of_many_values_agree_with_pandas(spark):
         np.testing.assert_allclose(out["r"], want)
 
 
+def test_both_ways_of_ranking_agree(pond):
+    score = sel.blend([(1.0, sel.rank_score("momentum")), (2.0, sel.rank_score("adv", ascending=True))])
+    small = {r.symbol: r.score for r in sel.with_score(pond, score, by=("is_st",)).collect()}
+    large = {r.symbol: r.score for r in sel.with_score(pond, score, by=("is_st",), task_rows=0).collect()}
+    assert small == large
+
+
 def test_top_one(pond):
     score = sel.blend([(0.7, sel.rank_score("inst_ownership", ascending=True)), (0.3, sel.rank_score("momentum"))])
     best = sel.select_top_n(pond, [fl.flag("is_st", False)], score, 1, by=())
@@ -77,10 +84,9 @@ def test_features_exclude_the_asof_bar(bars):
 
 
 def test_weights(pond):
-    by = {"by": ()}
     picks = pond.where("symbol <> 'D'").withColumn("asof", F.lit(1))
     equal = {r.symbol: r.weight for r in al.equal_weight(picks, 0.9, 0.5).collect()}
-    assert equal == approx({"A": 0.3, "B": 0.3, "C": 0.3}) and by
+    assert equal == approx({"A": 0.3, "B": 0.3, "C": 0.3})
     assert {r.weight for r in al.equal_weight(picks).collect()} == {0.2}
     inverse = {r.symbol: r.weight for r in al.inverse_vol(picks, gross=1.0, max_weight=1.0).collect()}
     assert inverse["C"] == approx(10 / 17.5) and sum(inverse.values()) == approx(1)
