@@ -191,8 +191,7 @@ view(
 view(
     "asof_bars",
     """SELECT * FROM (SELECT r.asof, b.*, row_number() OVER (PARTITION BY r.asof, b.symbol ORDER BY b.timestamp DESC) AS age
-  FROM rebalances r JOIN bars_daily b ON b.timestamp < CAST(r.asof AS TIMESTAMP)
-  AND b.timestamp >= CAST(r.asof AS TIMESTAMP) - INTERVAL 200 DAY) z WHERE age <= 60""",
+  FROM rebalances r JOIN bars_daily b ON b.timestamp < CAST(r.asof AS TIMESTAMP)) z WHERE age <= 60""",
 )
 view("features_asof", features_sql("SELECT * FROM asof_bars", "asof, symbol"))
 

@@ -191,22 +191,28 @@ SWEEP_TARGETS = " UNION ALL ".join(
 )
 view("bt_sweep", backtest_sql(SWEEP_TARGETS, "spec, symbol"))
 view("sweep_stats", stats_sql("bt_sweep", "spec, symbol"))
+def _per_symbol(s, d):
+    """The grid laid over every symbol with its number of bars."""
+    rows = specs(s, failing=True).select("spec_key", "strategy", _label().alias("spec")).collect()
+    numbered = s.createDataFrame(
+        [(n, *row) for n, row in enumerate(rows)],
+        "k int, spec_key string, strategy string, spec string",
+    )
+    bars = views.bars_daily(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1)))
+    return bars.withColumn("k", every).join(numbered, "k")
+
+
 add(
     "param_grid",
     "strategy spec symbol n",
-    lambda s, d: specs(s, failing=True)
-    .select("strategy", _label().alias("spec"))
-    .join(views.bars_daily(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))),
+    _per_symbol,
     f"""SELECT strategy, spec, symbol, count(*) AS n FROM bars_daily, (VALUES
     {', '.join(f"('sma_cross', 'sma_cross_{a}_{b}')" for a in FAST for b in SLOW)},
     {', '.join(f"('rsi_reversion', 'rsi_reversion_{n}')" for n in WINDOWS)}, ('guess', 'guess')) v(strategy, spec)
     GROUP BY ALL""",
 )
-add(
-    "spec_key",
-    "spec_key strategy symbol bars",
-    lambda s, d: specs(s).join(views.bars_daily(s, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))),
-)
+add("spec_key", "spec_key strategy symbol n", _per_symbol)
 add("sweep", f"spec symbol {GROWTH}", _swept, "SELECT * FROM sweep_stats")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.indicators import UPTO
 from checks.market_data import BAR, resample_sql
 from checks.registry import ORACLES, add, view
-from checks.trading import HALT_LIMIT, LIMITS, accounts, holdings
+from checks.trading import HALT_LIMIT, LIMITS, accounts, holdings, universe
 from tapeloom.operators import backtest as bt
 from tapeloom.session import checkpoint_root
 from tapeloom.sources import views
@@ -76,7 +76,7 @@ def _scan(s, d):
     bars = views.bars_daily(s, d).withColumn("ingested_at", F.col("timestamp"))
     stream, root = landed(s, bars, "timestamp")
     jobs.stream_scan(
-        stream, f"{root}/table", bt.sma_cross(), holdings(s, d), accounts(s, d),
+        stream, f"{root}/table", bt.sma_cross(), universe(s, d), holdings(s, d), accounts(s, d),
         f"{root}/sheets", f"{root}/cp", LIMITS,
     ).awaitTermination()
     sheets = s.read.parquet(f"{root}/sheets")

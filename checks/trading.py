@@ -271,6 +271,14 @@ view(
 )
 
 
+def universe(s, d):
+    """The (account, symbol) pairs that ever traded."""
+    return views.fills(s, d).select("account", "symbol").distinct()
+
+
+view("pairs", "SELECT DISTINCT account, symbol FROM fills")
+
+
 def day_bars(s, d):
     """The newest bar of each symbol up to the snapshot, with its limit band."""
     bars = market.limit_band(views.bars_daily(s, d))
@@ -288,17 +296,17 @@ view(
 
 def candidates(s, d):
     bars = day_bars(s, d).withColumn("price", F.col("open"))
-    return bars.join(accounts(s, d).select("account")).select("account", *bars.columns)
+    return bars.join(universe(s, d), "symbol").select("account", *bars.columns)
 
 
 ROOM = """CASE WHEN price > 0 THEN CAST(greatest(floor(least(greatest(0.2e0 * equity - h * price, 0),
   greatest(0.95e0 * equity - (at_cost - h * a + h * price), 0), cash) / (price * 100)) * 100, 0) AS BIGINT) ELSE 0 END"""
 view(
     "sized",
-    f"""SELECT *, {ROOM} AS max_shares FROM (SELECT c.*, c.open AS price, x.account, x.cash, x.equity,
+    f"""SELECT *, {ROOM} AS max_shares FROM (SELECT c.*, c.open AS price, account, x.cash, x.equity,
     coalesce(m.shares, 0) AS h, coalesce(m.avg_price, 0) AS a, coalesce(k.at_cost, 0) AS at_cost
-  FROM day_bars c CROSS JOIN accounts x LEFT JOIN holdings m ON m.account = x.account AND m.symbol = c.symbol
-  LEFT JOIN (SELECT account, sum(shares * avg_price) AS at_cost FROM holdings GROUP BY account) k ON k.account = x.account) z""",
+  FROM day_bars c JOIN pairs USING (symbol) JOIN accounts x USING (account) LEFT JOIN holdings m USING (account, symbol)
+  LEFT JOIN (SELECT account, sum(shares * avg_price) AS at_cost FROM holdings GROUP BY account) k USING (account)) z""",
 )
 add(
     "max_buy_shares",
@@ -374,7 +382,7 @@ view(
 
 def sheet(s, d):
     return orders.order_sheet(
-        views.bars_daily(s, d), bt.sma_cross(), holdings(s, d), accounts(s, d), LIMITS
+        views.bars_daily(s, d), bt.sma_cross(), universe(s, d), holdings(s, d), accounts(s, d), LIMITS
     )
 
 
@@ -389,11 +397,11 @@ add(
         FROM (SELECT *, CASE WHEN h > 0 AND price <= a * (1 - 0.03e0) THEN 'stop_loss'
             WHEN target > 0 AND h = 0 AND equity > day_start_equity * 0.95e0 THEN 'signal'
             WHEN target <= 0 AND h > 0 THEN 'signal_exit' END AS reason
-          FROM (SELECT q.*, x.account, x.cash, x.day_start_equity, coalesce(m.shares, 0) AS h, coalesce(m.avg_price, 0) AS a,
+          FROM (SELECT q.*, account, x.cash, x.day_start_equity, coalesce(m.shares, 0) AS h, coalesce(m.avg_price, 0) AS a,
               coalesce(k.at_cost, 0) AS at_cost, x.cash + coalesce(k.mv, 0) AS equity
-            FROM quotes q CROSS JOIN accounts x LEFT JOIN holdings m ON m.account = x.account AND m.symbol = q.symbol
+            FROM quotes q JOIN pairs USING (symbol) JOIN accounts x USING (account) LEFT JOIN holdings m USING (account, symbol)
             LEFT JOIN (SELECT account, sum(shares * avg_price) AS at_cost, sum(shares * coalesce(price, avg_price)) AS mv
-              FROM holdings LEFT JOIN quotes USING (symbol) GROUP BY account) k ON k.account = x.account) z1) z2
+              FROM holdings LEFT JOIN quotes USING (symbol) GROUP BY account) k USING (account)) z1) z2
         WHERE reason IS NOT NULL) z3 WHERE shares > 0) z4 WHERE side = 'sell' OR place <= 5""",
 )
 

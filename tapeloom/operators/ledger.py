@@ -179,8 +179,7 @@ def equity_curve(
     opening = (
         cash.select("account")
         .distinct()
-        .join(clock.where(F.col("tick") == 1).select("tick"))
-        .select("account", "tick", F.lit(float(start_cash)).alias("cash"))
+        .select("account", F.lit(1).cast("bigint").alias("tick"), F.lit(float(start_cash)).alias("cash"))
         .join(states, ["account", "tick"], "left_anti")
     )
     balances = _spread(states.unionByName(opening), ("account",), clock).join(clock, "tick")

@@ -137,6 +137,7 @@ def latest_targets(df: DataFrame, signal: Signal, lookback: int = 250) -> DataFr
 def order_sheet(
     df: DataFrame,
     signal: Signal,
+    universe: DataFrame,
     holdings: DataFrame,
     accounts: DataFrame,
     limits: RiskLimits = RiskLimits(),
@@ -145,15 +146,15 @@ def order_sheet(
 ) -> DataFrame:
     """Dry-run scan: (account, nth, symbol, side, shares, price, reason).
 
-    ``accounts`` has (account, cash, day_start_equity).  The account does not change during
+    ``universe`` has the (account, symbol) pairs to scan, ``accounts`` (account, cash,
+    day_start_equity).  Stops watch every holding.  The account does not change during
     a dry run, so all orders follow from one snapshot: stops first, then entries and exits,
     by symbol.  Buys stop at a halt or past the order cap; every order counts for the cap.
     """
     quotes = latest_targets(df, signal, lookback)
     held = holdings.select("account", "symbol", "shares", "avg_price")
-    # Every account scans every quoted symbol; accounts are few (one row each).
-    wanted = quotes.join(accounts.select("account"))
-    book = wanted.join(held, ["account", "symbol"], "full")
+    scanned = universe.select("account", "symbol").distinct().withColumn("_scanned", F.lit(True))
+    book = scanned.join(held, ["account", "symbol"], "full").join(quotes, "symbol")
     marks = held.join(quotes.select("symbol", "price"), "symbol", "left")
     value = marks.groupBy("account").agg(
         F.sum(F.col("shares") * F.coalesce("price", "avg_price")).alias("_mv"),
@@ -174,9 +175,10 @@ def order_sheet(
     stopped = (F.col("_h") > 0) & (price <= stop_level("_a", limits.stop))
     names = ("equity", "cash", "_h", "_a", "_cost")
     room = buy_room(price, *[F.col(c) for c in names], limits=limits, lot=lot)
-    enter = (F.col("target") > 0) & (F.col("_h") == 0) & ~F.col("_halted")
-    leave = (F.col("target") <= 0) & (F.col("_h") > 0)
-    plan = book.where(price.isNotNull()).withColumn(
+    scan = F.coalesce("_scanned", F.lit(False))
+    enter = scan & (F.col("target") > 0) & (F.col("_h") == 0) & ~F.col("_halted")
+    leave = scan & (F.col("target") <= 0) & (F.col("_h") > 0)
+    plan = book.withColumn(
         "reason",
         F.when(F.coalesce(stopped, F.lit(False)), "stop_loss").when(enter, "signal").when(leave, "signal_exit"),
     )

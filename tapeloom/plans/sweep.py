@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,11 +89,11 @@ def sweep_failures(specs: DataFrame) -> DataFrame:
     return specs.withColumn("error", error)
 
 
-def _distinct_windows(specs: DataFrame) -> tuple[list[int], list[int]]:
-    """The window lengths a sweep needs: (means, rsi).  Reads the specs, never the bars."""
+def _window_lengths(specs: Sequence[Row]) -> tuple[list[int], list[int]]:
+    """The window lengths a sweep needs: (means, rsi)."""
     means: set[int] = set()
     strengths: set[int] = set()
-    for row in specs.select("strategy", "params").collect():
+    for row in specs:
         chosen = FAMILIES[row.strategy] | dict(row.params or {})
         if row.strategy == "sma_cross":
             means |= {int(chosen["fast"]), int(chosen["slow"])}
@@ -129,11 +129,15 @@ def sweep_backtest(
     the backtest are partitioned by (spec_key, symbol), so more specs mean more parallelism.
     """
     runnable = sweep_failures(specs).where(F.col("error").isNull())
-    runnable = runnable.select("spec_key", "strategy", "params")
-    means, strengths = _distinct_windows(runnable)
+    # Specs are what the caller typed; the driver reads them to know the window lengths.
+    chosen = runnable.select("spec_key", "strategy", "params").collect()
+    numbered = df.sparkSession.createDataFrame(
+        [(n, *row) for n, row in enumerate(chosen)],
+        "_spec int, spec_key string, strategy string, params map<string, double>",
+    )
+    means, strengths = _window_lengths(chosen)
     wanted: list[Indicator] = [sma(window=n).named(f"_m{n}") for n in means]
     wanted += [rsi(window=n).named(f"_r{n}") for n in strengths]
-    # The ids of a spec ride along as a constant key; specs are as few as the caller typed.
     panel = with_indicators(df, wanted, series) if wanted else df
 
     def lookup(prefix: str, windows: list[int], length: Column) -> Column:
@@ -142,7 +146,9 @@ def sweep_backtest(
             out = F.when(length == n, F.col(f"{prefix}{n}")).otherwise(out)
         return out
 
-    fanned = panel.join(F.broadcast(runnable)).withColumns(
+    # Every bar is repeated once per spec, by number; Spark picks the join by known size.
+    ids = F.sequence(F.lit(0), F.lit(len(chosen) - 1)) if chosen else F.array().cast("array<int>")
+    fanned = panel.withColumn("_spec", F.explode(ids)).join(numbered, "_spec").withColumns(
         {
             "_fast": lookup("_m", means, _param("fast", 10)),
             "_slow": lookup("_m", means, _param("slow", 30)),

@@ -112,6 +112,7 @@ def stream_scan(
     stream: DataFrame,
     table_path: str,
     signal: Signal,
+    universe: DataFrame,
     holdings: DataFrame,
     accounts: DataFrame,
     out: str,
@@ -123,7 +124,7 @@ def stream_scan(
     def scan(batch: DataFrame, batch_id: int) -> None:
         merge_into(batch, batch_id, table_path, checkpoint)
         bars = batch.sparkSession.read.parquet(table_path)
-        sheet = order_sheet(bars, signal, holdings, accounts, limits)
+        sheet = order_sheet(bars, signal, universe, holdings, accounts, limits)
         sheet.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _each_batch(stream, scan, checkpoint)

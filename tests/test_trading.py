@@ -144,17 +144,20 @@ def held(spark, *rows):
 def test_order_sheet(spark, bars, account):
     df = bars([10] * 40, "A").unionByName(bars([10] * 40, "B")).unionByName(bars([9] * 40, "C"))
     holdings = held(spark, ("B", 100, 20.0), ("C", 100, 9.0))
-    rows = orders.order_sheet(df, bt.buy_and_hold(), holdings, account).orderBy("nth").collect()
+    names = spark.createDataFrame([(1, n) for n in "ABC"], "account long, symbol string")
+    rows = orders.order_sheet(df, bt.buy_and_hold(), names, holdings, account).orderBy("nth").collect()
     assert [(r.symbol, r.side, r.shares, r.reason) for r in rows] == [
         ("B", "sell", 100, "stop_loss"),
         ("A", "buy", 2000, "signal"),
     ]
     flat = bt.sma_cross(2, 3)
-    rows = orders.order_sheet(df, flat, holdings, account).orderBy("nth").collect()
+    rows = orders.order_sheet(df, flat, names, holdings, account).orderBy("nth").collect()
     assert [(r.symbol, r.reason) for r in rows] == [("B", "stop_loss"), ("C", "signal_exit")]
     ruined = account.withColumn("day_start_equity", F.lit(1e9))
-    rows = orders.order_sheet(df, bt.buy_and_hold(), holdings, ruined).collect()
+    rows = orders.order_sheet(df, bt.buy_and_hold(), names, holdings, ruined).collect()
     assert [r.reason for r in rows] == ["stop_loss"]
+    none = orders.order_sheet(df, bt.buy_and_hold(), names.limit(0), holdings, account).collect()
+    assert [r.reason for r in none] == ["stop_loss"]
 
 
 def test_order_delta_scales_in_and_out(spark, bars):
