@@ -11,6 +11,7 @@ from tapeloom.functions import filters as fl
 from tapeloom.operators import allocation as al
 from tapeloom.operators import backtest as bt
 from tapeloom.operators import selection as sel
+from tapeloom.session import settle
 from tapeloom.sources import views
 
 ASOF = datetime(2000, 6, 1)
@@ -201,7 +202,9 @@ def dates(s, d):
 
 
 def cross_sections(s, d):
-    return al.features_asof(views.bars_daily(s, d), dates(s, d), 60)
+    bars = views.bars_daily(s, d)
+    calendar = settle(al.trading_calendar(bars))
+    return al.features_asof(bars, al.rebalance_dates(calendar, 60, 21), 60, calendar=calendar)
 
 
 for name, allocate, raw in (

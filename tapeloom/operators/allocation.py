@@ -100,10 +100,16 @@ def _next_dates(days: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def features_asof(
-    df: DataFrame, dates: DataFrame, lookback: int = 60, series: Series = DAILY
+    df: DataFrame,
+    dates: DataFrame,
+    lookback: int = 60,
+    series: Series = DAILY,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """The cross-section of ``build_features`` at every date of ``dates`` in one pass.
 
+    ``calendar`` is the trading calendar of ``df`` when it is already at hand.
+
     Rolling frames give the features of every bar; the newest bar before each date is an
     aggregate per (symbol, next date); dates without new bars repeat the row before.
     """
@@ -123,7 +129,7 @@ def features_asof(
     ).own()
     names = ("price", "adv", "volatility", "momentum", "bars")
     bars = lay.df.select("symbol", "timestamp", F.to_date("timestamp").alias("date"), *names)
-    upcoming = _next_dates(trading_calendar(df), dates)
+    upcoming = _next_dates(calendar or trading_calendar(df), dates)
     newest = (
         bars.join(upcoming, "date")
         .groupBy("symbol", "asof")
@@ -161,9 +167,10 @@ def periodic_schedule(
     series: Series = DAILY,
 ) -> tuple[DataFrame, DataFrame]:
     """(all rebalance dates, weights per date and symbol); a date without weights is flat."""
-    dates = rebalance_dates(trading_calendar(df), lookback, every)
+    calendar = settle(trading_calendar(df))  # one row per date, read several times
+    dates = rebalance_dates(calendar, lookback, every)
     # One row per date and symbol; kept, because ranking and allocation read it again.
-    features = settle(features_asof(df, dates, lookback, series))
+    features = settle(features_asof(df, dates, lookback, series, calendar))
     if fundamentals is not None:
         features = join_fundamentals(features, fundamentals)
     return dates, allocator(select_top_n(features, filters, score, top_n))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.costs import CostModel
 from tapeloom.functions.expr import ieee_div
-from tapeloom.operators.indicators import rsi_levels, rsi_reach
+from tapeloom.operators.indicators import rsi_levels, rsi_reach, zip_levels
 from tapeloom.operators.series import DAILY, Layout, Series, ewm_frames, lay_out, running
 from tapeloom.operators.summary import summary_by_symbol
 from tapeloom.session import settle
@@ -89,24 +89,31 @@ def build_signal(name: str, params: Mapping[str, object] | None = None) -> Signa
     return SIGNALS[name](**dict(params or {}))
 
 
-def _targets(lay: Layout, signal: Signal, ages: int) -> Layout:
-    """Columns ``_t0 _t1 .. `` = target now, one bar ago, ..; halo rows are dropped."""
-    draft = signal.cook(lay, "_sig")
-    lay = lay.with_levels(ewm_frames(lay, draft.alphas)).with_levels(draft.levels)
-    lay = lay.with_levels([{"_t0": draft.raw}])
-    lay = lay.with_levels([{f"_t{a}": lay.lag("_t0", a) for a in range(1, ages)}])
-    names = [f"_t{a}" for a in range(ages)]
-    if not signal.latch:
+def _targets(lay: Layout, signals: Sequence[Signal], ages: int) -> Layout:
+    """Columns ``_s0t0 _s0t1 ..`` = target of signal 0 now, one bar ago, ..; drops halo rows.
+
+    The levels of all signals are merged, so any number of signals shares one sort.
+    """
+    drafts = [signal.cook(lay, f"_sig{k}") for k, signal in enumerate(signals)]
+    lay = lay.with_levels(ewm_frames(lay, [a for d in drafts for a in d.alphas]))
+    lay = lay.with_levels(zip_levels(*[d.levels for d in drafts]))
+    lay = lay.with_levels([{f"_s{k}t0": d.raw for k, d in enumerate(drafts)}])
+    past = {
+        f"_s{k}t{a}": lay.lag(f"_s{k}t0", a) for k in range(len(signals)) for a in range(1, ages)
+    }
+    lay = lay.with_levels([past])
+    latched = [f"_s{k}t{a}" for k, sig in enumerate(signals) if sig.latch for a in range(ages)]
+    if not latched:
         return lay.own()
-    lay = running(lay, {f"{t}l": ("last", F.col(t)) for t in names})
-    filled = {t: F.coalesce(f"{t}l", F.lit(0.0)) for t in names}
+    lay = running(lay, {f"{t}l": ("last", F.col(t)) for t in latched})
+    filled = {t: F.coalesce(f"{t}l", F.lit(0.0)) for t in latched}
     return replace(lay, df=lay.df.withColumns(filled))
 
 
 def with_target(df: DataFrame, signal: Signal, series: Series = DAILY) -> DataFrame:
     """``df`` plus ``target``."""
-    lay = _targets(lay_out(df, series, signal.lookback), signal, 1)
-    return lay.df.select(*df.columns, F.col("_t0").alias("target"))
+    lay = _targets(lay_out(df, series, signal.lookback), [signal], 1)
+    return lay.df.select(*df.columns, F.col("_s0t0").alias("target"))
 
 
 def held_position(df: DataFrame, by: Sequence[str] = ("symbol",), series: Series = DAILY) -> DataFrame:
@@ -129,30 +136,50 @@ def turnover_cost(
     return lay.own().df.select(*df.columns, "cost")
 
 
-def backtest(
+def backtest_each(
     df: DataFrame,
-    signal: Signal,
+    signals: Sequence[Signal],
     costs: CostModel = CostModel(),
     series: Series = DAILY,
 ) -> DataFrame:
-    """Bars plus ``target asset_ret held cost ret equity``; trades happen one bar after the signal."""
-    lay = lay_out(df, series, signal.lookback + 2)
+    """Bars plus ``asset_ret`` and, for signal k, ``s{k}_target _held _cost _ret _equity``.
+
+    One scan, one exchange and one sort serve all signals; trades follow one bar after.
+    """
+    lay = lay_out(df, series, max(s.lookback for s in signals) + 2)
     lay = lay.with_levels([{"asset_ret": ieee_div("close", lay.lag("close")) - 1}])
-    lay = _targets(lay, signal, 3)
-    held = F.coalesce("_t1", F.lit(0.0))
-    out = lay.df.withColumns(
-        {
-            "target": F.col("_t0"),
-            "held": held,
-            "cost": costs.turnover_cost(held, F.coalesce("_t2", F.lit(0.0))),
-        }
-    )
-    gain = F.col("held") * F.coalesce("asset_ret", F.lit(0.0)) - F.col("cost")
-    out = out.withColumn("ret", gain)
-    if signal.latch and not lay.whole:
+    lay = _targets(lay, signals, 3)
+    positions: dict[str, Column] = {}
+    for k in range(len(signals)):
+        held = F.coalesce(f"_s{k}t1", F.lit(0.0))
+        positions[f"s{k}_target"] = F.col(f"_s{k}t0")
+        positions[f"s{k}_held"] = held
+        positions[f"s{k}_cost"] = costs.turnover_cost(held, F.coalesce(f"_s{k}t2", F.lit(0.0)))
+    out = lay.df.withColumns(positions)
+    move = F.coalesce("asset_ret", F.lit(0.0))
+    gains = {
+        f"s{k}_ret": F.col(f"s{k}_held") * move - F.col(f"s{k}_cost") for k in range(len(signals))
+    }
+    out = out.withColumns(gains)
+    if any(s.latch for s in signals) and not lay.whole:
         out = settle(out)  # two dependent carry passes: compute the first one once
-    lay = running(replace(lay, df=out), {"equity": ("product", 1 + F.col("ret"))})
-    return lay.df.select(*df.columns, "target", "asset_ret", "held", "cost", "ret", "equity")
+    growth = {f"s{k}_equity": ("product", 1 + F.col(f"s{k}_ret")) for k in range(len(signals))}
+    lay = running(replace(lay, df=out), growth)
+    parts = ("target", "held", "cost", "ret", "equity")
+    names = [f"s{k}_{part}" for k in range(len(signals)) for part in parts]
+    return lay.df.select(*df.columns, "asset_ret", *names)
+
+
+def backtest(
+    df: DataFrame,
+    signal: Signal,
+    costs: CostModel = CostModel(),
+    series: Series = DAILY,
+) -> DataFrame:
+    """Bars plus ``target asset_ret held cost ret equity``."""
+    out = backtest_each(df, [signal], costs, series)
+    parts = [F.col(f"s0_{part}").alias(part) for part in ("held", "cost", "ret", "equity")]
+    return out.select(*df.columns, F.col("s0_target").alias("target"), "asset_ret", *parts)
 
 
 # Names of the statistics of a run and the summary metrics they come from.

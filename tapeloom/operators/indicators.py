@@ -130,7 +130,7 @@ def macd(column: str = "close", fast: int = 12, slow: int = 26, signal: int = 9)
 
     def cook(lay: Layout, p: str) -> Recipe:
         line, smooth = F.col(f"{p}_line"), F.col(f"{p}_sig")
-        levels = _zip_levels(
+        levels = zip_levels(
             ewm_levels(lay, f"{p}_fast", F.col(column), a_fast),
             ewm_levels(lay, f"{p}_slow", F.col(column), a_slow),
         )
@@ -170,7 +170,7 @@ def rsi_levels(lay: Layout, p: str, column: str, window: int) -> list[dict[str,
     down = F.when(move < 0, -move).otherwise(F.lit(0.0))
     levels = [{f"{p}_move": F.col(column) - lay.lag(column)}]
     levels.append({f"{p}_up": up, f"{p}_down": down})
-    levels += _zip_levels(
+    levels += zip_levels(
         ewm_levels(lay, f"{p}_gain", F.col(f"{p}_up"), alpha),
         ewm_levels(lay, f"{p}_loss", F.col(f"{p}_down"), alpha),
     )
@@ -374,7 +374,7 @@ REGISTRY: dict[str, Callable[..., Indicator]] = {
 }
 
 
-def _zip_levels(*chains: list[dict[str, Column]]) -> list[dict[str, Column]]:
+def zip_levels(*chains: list[dict[str, Column]]) -> list[dict[str, Column]]:
     merged: list[dict[str, Column]] = []
     for depth in range(max(map(len, chains), default=0)):
         level: dict[str, Column] = {}
@@ -394,7 +394,7 @@ def with_indicators(
     lay = lay_out(df, series, max((i.lookback for i in wanted), default=0))
     recipes = [i.cook(lay, f"_i{n}") for n, i in enumerate(wanted)]
     frames = ewm_frames(lay, [a for r in recipes for a in r.alphas])
-    lay = lay.with_levels(frames).with_levels(_zip_levels(*[r.levels for r in recipes]))
+    lay = lay.with_levels(frames).with_levels(zip_levels(*[r.levels for r in recipes]))
     out = {i.alias: r.result for i, r in zip(wanted, recipes) if not r.scans}
     lay = lay.with_levels([out])
     scans = {name: scan for r in recipes for name, scan in r.scans.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.codes import DEFAULT_BAND, limit_pct
 from tapeloom.functions.expr import as_col, ieee_div
-from tapeloom.operators.series import DAILY, Series, lay_out
+from tapeloom.operators.series import DAILY, Series, lay_out, running
 
 # Fixed value: shares of a board lot.
 LOT = 100
@@ -183,14 +183,18 @@ def t1_sellable(
     )
 
 
-def daily_loss_halt(equity: DataFrame, max_daily_loss: float = 0.05) -> DataFrame:
+def daily_loss_halt(
+    equity: DataFrame,
+    max_daily_loss: float = 0.05,
+    series: Series = Series(("account", "_day"), step=None),
+) -> DataFrame:
     """Per (account, timestamp): day-start equity and whether trading is halted, latched.
 
-    The day starts with the last equity of the day before (its own first value on day one).
-    The latch is the first breach of the day, an aggregate joined back per (account, day).
+    The day starts with the last equity of the day before (its own first value on day one);
+    that is a table of one row per account and date.  The latch is a running maximum inside
+    the day.
     """
-    day = F.to_date("timestamp")
-    tagged = equity.withColumn("_day", day)
+    tagged = equity.withColumn("_day", F.to_date("timestamp"))
     days = tagged.groupBy("account", "_day").agg(
         F.min_by("equity", "timestamp").alias("_open"),
         F.max_by("equity", "timestamp").alias("_close"),
@@ -199,10 +203,5 @@ def daily_loss_halt(equity: DataFrame, max_daily_loss: float = 0.05) -> DataFram
     starts = days.select("account", "_day", F.coalesce(before, F.col("_open")).alias("day_start"))
     judged = tagged.join(starts, ["account", "_day"])
     breach = F.col("equity") <= F.col("day_start") * (1 - max_daily_loss)
-    firsts = judged.groupBy("account", "_day").agg(
-        F.min(F.when(breach, F.col("timestamp"))).alias("_from")
-    )
-    halted = F.coalesce(F.col("timestamp") >= F.col("_from"), F.lit(False))
-    return judged.join(firsts, ["account", "_day"]).select(
-        *equity.columns, "day_start", halted.alias("halted")
-    )
+    lay = running(lay_out(judged, series), {"halted": ("max", breach)})
+    return lay.df.select(*equity.columns, "day_start", "halted")

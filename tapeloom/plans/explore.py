@@ -2,13 +2,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.costs import CostModel
-from tapeloom.operators.backtest import backtest, backtest_stats, build_signal
+from tapeloom.operators.backtest import backtest_each, backtest_stats, build_signal
 from tapeloom.operators.indicators import metric_panel
 from tapeloom.operators.series import DAILY, Series
 from tapeloom.operators.summary import summary_by_symbol
@@ -20,13 +19,22 @@ def multi_strategy_compare(
     costs: CostModel = CostModel(),
     series: Series = DAILY,
 ) -> DataFrame:
-    """Statistics per (strategy, symbol), one row each."""
-    parts = []
-    for name, params in strategies:
-        signal = build_signal(name, params)
-        stats = backtest_stats(backtest(df, signal, costs, series), series=series)
-        parts.append(stats.withColumn("strategy", F.lit(signal.name)))
-    return reduce(DataFrame.unionByName, parts)
+    """Statistics per (strategy, symbol), one row each.
+
+    All strategies run side by side over one sorted pass; their equity columns are then
+    stacked in place, which keeps the partitioning by symbol.
+    """
+    signals = [build_signal(name, params) for name, params in strategies]
+    runs = backtest_each(df, signals, costs, series)
+    stacked = F.array(
+        *[
+            F.struct(F.lit(s.name).alias("strategy"), F.col(f"s{k}_equity").alias("equity"))
+            for k, s in enumerate(signals)
+        ]
+    )
+    rows = runs.select("symbol", "timestamp", F.explode(stacked).alias("_run"))
+    rows = rows.select("symbol", "timestamp", "_run.*")
+    return backtest_stats(rows, ("strategy", "symbol"), series)
 
 
 def explorer_panel(

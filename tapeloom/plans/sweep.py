@@ -32,6 +32,8 @@ FAMILIES: dict[str, dict[str, float]] = {
     "rsi_reversion": {"window": 14, "low": 30, "high": 70},
     "scaled_rsi": {"window": 14, "low": 30, "high": 70},
 }
+# Specs are small rows; up to this many the counted list is broadcast.
+BROADCAST_SPECS = 100_000
 WINDOWED = {"sma_cross": ("fast", "slow"), "rsi_reversion": ("window",), "scaled_rsi": ("window",)}
 
 
@@ -125,8 +127,8 @@ def sweep_backtest(
 ) -> DataFrame:
     """Backtest frames of all runnable specs, keyed by (spec_key, symbol).
 
-    Each distinct window is computed once per bar and looked up per spec; the windows of
-    the backtest are partitioned by (spec_key, symbol), so more specs mean more parallelism.
+    Each distinct window is computed once per bar and looked up per spec.  The backtest then
+    runs per (spec_key, symbol) inside the partitioning the indicators already have.
     """
     runnable = sweep_failures(specs).where(F.col("error").isNull())
     # Specs are what the caller typed; the driver reads them to know the window lengths.
@@ -146,7 +148,9 @@ def sweep_backtest(
             out = F.when(length == n, F.col(f"{prefix}{n}")).otherwise(out)
         return out
 
-    # Every bar is repeated once per spec, by number; Spark picks the join by known size.
+    # Every bar is repeated once per spec, by number.
+    if len(chosen) <= BROADCAST_SPECS:
+        numbered = F.broadcast(numbered)
     ids = F.sequence(F.lit(0), F.lit(len(chosen) - 1)) if chosen else F.array().cast("array<int>")
     fanned = panel.withColumn("_spec", F.explode(ids)).join(numbered, "_spec").withColumns(
         {
