@@ -10,23 +10,43 @@ from checks.market_data import BAR, resample_sql
 from checks.registry import ORACLES, add, view
 from checks.trading import HALT_LIMIT, LIMITS, accounts, holdings, universe
 from tapeloom.operators import backtest as bt
-from tapeloom.session import checkpoint_root
+from tapeloom.session import checkpoint_root, settle
 from tapeloom.sources import views
 from tapeloom.streaming import jobs
 
 
-def landed(spark, df, order: str):
-    """A file stream over ``df``, written as a few files in time order, and a scratch folder."""
+ARRIVALS = 3
+
+
+def arrive(spark, df, order: str, start) -> str:
+    """Land ``df`` in time order, a third of its span at a time; returns the scratch folder.
+
+    After each landing ``start(stream, root)`` runs the job to the end of what is there, so
+    every run but the first resumes from the checkpoint.  File streams order files by their
+    modification time, hence one landing after the other.
+    """
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    # Nearby rows share a file; name order is time order, one or two files per trigger.
-    df.repartitionByRange(4, order).write.parquet(f"{root}/landing")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2)
-    return stream.parquet(f"{root}/landing"), root
+    df.write.parquet(f"{root}/source")
+    source = spark.read.schema(df.schema).parquet(f"{root}/source")
+    low, high = source.agg(F.min(order), F.max(order)).first()
+    edges = [low + (high - low) * k / ARRIVALS for k in range(1, ARRIVALS)]
+    for after, upto in zip([None, *edges], [*edges, None]):
+        part = source
+        if after is not None:
+            part = part.where(F.col(order) >= F.lit(after).cast("timestamp_ntz"))
+        if upto is not None:
+            part = part.where(F.col(order) < F.lit(upto).cast("timestamp_ntz"))
+        part.write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(df.schema).parquet(f"{root}/landing")
+        start(stream, root).awaitTermination()
+    return root
 
 
 def _validate(s, d):
-    stream, root = landed(s, views.bars_dirty(s, d), "timestamp")
-    jobs.stream_validate(stream, f"{root}/good", f"{root}/bad", f"{root}/cp").awaitTermination()
+    def start(stream, root):
+        return jobs.stream_validate(stream, f"{root}/good", f"{root}/bad", f"{root}/cp")
+
+    root = arrive(s, views.bars_dirty(s, d), "timestamp", start)
     return s.read.parquet(f"{root}/good").unionByName(s.read.parquet(f"{root}/bad"))
 
 
@@ -34,8 +54,10 @@ add("stream_validate", f"{BAR} reason", _validate, "SELECT * FROM bars_judged")
 
 
 def _upsert(s, d):
-    stream, root = landed(s, views.bars_versions(s, d), "ingested_at")
-    jobs.stream_dedup_upsert(stream, f"{root}/table", f"{root}/cp").awaitTermination()
+    def start(stream, root):
+        return jobs.stream_dedup_upsert(stream, f"{root}/table", f"{root}/cp")
+
+    root = arrive(s, views.bars_versions(s, d), "ingested_at", start)
     return s.read.parquet(f"{root}/table")
 
 
@@ -52,10 +74,13 @@ LATENESS = "1 day"
 
 def _resample(s, d):
     """Buckets behind the final watermark; the newest ones are still open."""
-    stream, root = landed(s, views.bars_minute(s, d), "timestamp")
-    bars = jobs.stream_resample(stream, "1h", LATENESS)
-    writer = bars.writeStream.outputMode("append").option("checkpointLocation", f"{root}/cp")
-    writer.trigger(availableNow=True).start(f"{root}/bars").awaitTermination()
+
+    def start(stream, root):
+        bars = jobs.stream_resample(stream, "1h", LATENESS)
+        writer = bars.writeStream.outputMode("append").option("checkpointLocation", f"{root}/cp")
+        return writer.trigger(availableNow=True).start(f"{root}/bars")
+
+    root = arrive(s, views.bars_minute(s, d), "timestamp", start)
     out = s.read.parquet(f"{root}/bars")
     newest = views.bars_minute(s, d).agg(F.max("timestamp").alias("newest"))
     closed = F.col("timestamp") < F.date_trunc("DAY", F.col("newest")) - F.make_dt_interval(F.lit(1))
@@ -74,11 +99,14 @@ add(
 def _scan(s, d):
     """The sheet after the last micro-batch, when the table holds every bar."""
     bars = views.bars_daily(s, d).withColumn("ingested_at", F.col("timestamp"))
-    stream, root = landed(s, bars, "timestamp")
-    jobs.stream_scan(
-        stream, f"{root}/table", bt.sma_cross(), universe(s, d), holdings(s, d), accounts(s, d),
-        f"{root}/sheets", f"{root}/cp", LIMITS,
-    ).awaitTermination()
+    names, held, money = universe(s, d), settle(holdings(s, d)), accounts(s, d)
+
+    def start(stream, root):
+        table, out, state = f"{root}/table", f"{root}/sheets", f"{root}/cp"
+        signal = bt.sma_cross()
+        return jobs.stream_scan(stream, table, signal, names, held, money, out, state, LIMITS)
+
+    root = arrive(s, bars, "timestamp", start)
     sheets = s.read.parquet(f"{root}/sheets")
     last = sheets.agg(F.max("batch").alias("batch"))
     return sheets.join(F.broadcast(last), "batch")  # one row
@@ -92,8 +120,11 @@ def _monitor(s, d):
     equity = views.bars_minute(s, d).select(
         F.col("symbol").alias("account"), "timestamp", (F.col("close") * 1000).alias("equity")
     )
-    stream, root = landed(s, equity, "timestamp")
-    jobs.stream_equity_monitor(stream, f"{root}/out", f"{root}/cp", HALT_LIMIT).awaitTermination()
+
+    def start(stream, root):
+        return jobs.stream_equity_monitor(stream, f"{root}/out", f"{root}/cp", HALT_LIMIT)
+
+    root = arrive(s, equity, "timestamp", start)
     return s.read.parquet(f"{root}/out")
 
 
