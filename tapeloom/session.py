@@ -1,9 +1,6 @@
 """Spark session defaults and lineage cutting."""
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,11 +24,16 @@ def build_session(app: str = "tapeloom", master: str | None = None, **conf: str)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where none is configured."""
+    """The shared folder of the cluster, ``spark.checkpoint.dir``.
+
+    Only a local session may go without the setting; it uses a folder in its warehouse.
+    """
     context = spark.sparkContext
     root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root
