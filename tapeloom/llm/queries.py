@@ -5,9 +5,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tapeloom.llm import sequence_packing, token_counts
+from tapeloom.llm import (
+    benchmark_decontamination,
+    chat_formatting,
+    language_id,
+    quality_classifier,
+    quality_rules,
+    sequence_packing,
+    token_counts,
+)
 from tapeloom.llm.common import table
 
 MAX_TOKENS = 2048
@@ -21,12 +28,45 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_packing.packed_digest(table(spark, sf_dir, "documents"), path, MAX_TOKENS)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    extra = [(-1, 0, "user", text), (-1, 1, "assistant", text)]
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(extra, "conv_id bigint, turn bigint, role string, text string")
+    return chat_formatting.digest(conversations.unionByName(added))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECE_MODEL)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), model, TOKEN_LIMIT)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op8_token_counts)
+    query.__name__: query
+    for query in (
+        op1_best_fit_packing,
+        op2_language_id,
+        op5_quality_rules,
+        op6_chat_formatting,
+        op7_quality_classifier,
+        op8_token_counts,
+        op10_benchmark_decontamination,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat_formatting": chat_formatting.oracle()}
