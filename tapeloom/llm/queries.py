@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeloom.llm import (
     benchmark_decontamination,
@@ -13,6 +14,7 @@ from tapeloom.llm import (
     quality_classifier,
     quality_rules,
     sequence_packing,
+    substring_dedup,
     token_counts,
 )
 from tapeloom.llm.common import table
@@ -53,6 +55,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), model, TOKEN_LIMIT)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_duplicates(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_chat_formatting,
         op7_quality_classifier,
         op8_token_counts,
+        op9_substring_dedup,
         op10_benchmark_decontamination,
     )
 }
