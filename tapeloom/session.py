@@ -1,6 +1,7 @@
 """Spark session defaults and lineage cutting."""
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +41,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that dependent passes do not recompute it."""
+    """Materialise ``df`` reliably so that dependent passes do not recompute it.
+
+    A checkpoint runs its input twice, once for the result and once for the files, so the
+    input is kept on the executors' disks in between.
+    """
     checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    if df.storageLevel.useDisk or df.storageLevel.useMemory:
+        return df.checkpoint()
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()
