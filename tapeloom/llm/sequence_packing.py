@@ -175,7 +175,15 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
                 del open_by_room[room]
             open_by_room.setdefault(room - n * length, Counter())[config + ((length, n),)] += used
             left -= n * used
-    return [(dict(config), times) for bins in open_by_room.values() for config, times in bins.items()]
+    return [(_counted(config), times) for bins in open_by_room.values() for config, times in bins.items()]
+
+
+def _counted(parts: tuple[tuple[int, int], ...]) -> dict[int, int]:
+    """Number of each length; a length can have been added to a sequence more than once."""
+    out: dict[int, int] = {}
+    for length, n in parts:
+        out[length] = out.get(length, 0) + n
+    return out
 
 
 def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
