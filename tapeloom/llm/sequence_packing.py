@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,17 +59,38 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The tokenizer's own split into pre-tokens, after normalisation.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter a byte-level vocabulary uses for each byte: its own if visible, else a spare one."""
+    spare = iter(range(256, 512))
+    return [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(spare)) for b in range(256)]
+
+
 def word_ids(tokenizer_path: str) -> BoundedCache:
     """Token ids of a text between spaces as little-endian unsigned 32-bit numbers.
 
     The tokenizer normalises white space to one space and drops it between tokens, so words
-    between spaces are independent of each other.
+    between spaces are independent of each other.  Visible Latin-1 words need no Unicode
+    normalisation; their pre-tokens go to the tokenizer's merges directly and are remembered
+    one by one.  All other words go through the whole tokenizer.
     """
     tokenizer = _tokenizer(tokenizer_path)
+    merges, letters = tokenizer.model, _byte_letters()
+
+    def pre_token(part: str) -> bytes:
+        if not part.isascii():
+            part = "".join(map(letters.__getitem__, part.encode()))
+        return np.array([t.id for t in merges.tokenize(part)], "<u4").tobytes()
 
     def encode(word: str) -> bytes:
+        if word.isprintable() and "<|" not in word and max(word, default="a") < "\u0100":
+            return b"".join(map(pre_tokens.__getitem__, PRE_TOKEN.findall(word.lower())))
         return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    pre_tokens = BoundedCache(pre_token, CACHE_WORDS)
     return BoundedCache(encode, CACHE_WORDS)
 
 
