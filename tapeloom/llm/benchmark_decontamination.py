@@ -241,3 +241,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not found:
         return docs.sparkSession.createDataFrame([], MATCHES)
     return reduce(DataFrame.unionAll, found)
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are."""
+    for index in item_blocks(items):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.arrow_udf("boolean")
+        def clean(batches: Iterator[pa.Array], held=held) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([not found for found in held.value.matches(batch.to_pylist())], pa.bool_())
+
+        docs = docs.where(clean(F.col("text").cast("string")))
+    return docs

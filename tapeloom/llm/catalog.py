@@ -1,6 +1,8 @@
-"""All queries of the subpackage, with their SQL."""
+"""All queries of the subpackage and the pipeline over them, with their SQL."""
 from __future__ import annotations
 
-from tapeloom.llm.queries import ORACLES, QUERIES
+from corpus_pipeline import ORACLE_SQL, run
+from tapeloom.llm import queries
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = {**queries.QUERIES, "pipeline": run}
+ORACLES = {**queries.ORACLES, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}

@@ -12,6 +12,7 @@ from tapeloom.llm import (
     benchmark_decontamination,
     chat_formatting,
     language_id,
+    pii_surrogates,
     quality_classifier,
     quality_rules,
     sequence_packing,
@@ -24,6 +25,8 @@ MAX_TOKENS = 2048
 TOKEN_LIMIT = 4096
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
+#: A run over private data passes a key of its own.
+SURROGATE_KEY = "example key"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +38,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_surrogates.anonymised(docs, SURROGATE_KEY)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_best_fit_packing,
         op2_language_id,
+        op3_pii_surrogates,
         op4_minhash_near_dedup,
         op5_quality_rules,
         op6_chat_formatting,
