@@ -28,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
@@ -243,15 +243,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they are."""
-    for index in item_blocks(items):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+def _clean(index: Index, docs: DataFrame) -> Column:
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([not found for found in held.value.matches(batch.to_pylist())], pa.bool_())
+
+    return clean(F.col("text").cast("string"))
 
-        @F.arrow_udf("boolean")
-        def clean(batches: Iterator[pa.Array], held=held) -> Iterator[pa.Array]:
-            for batch in batches:
-                yield pa.array([not found for found in held.value.matches(batch.to_pylist())], pa.bool_())
 
-        docs = docs.where(clean(F.col("text").cast("string")))
-    return docs
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they are."""
+    return reduce(lambda kept, index: kept.where(_clean(index, kept)), item_blocks(items), docs)
