@@ -72,7 +72,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
         table /= table.sum(2, keepdims=True)
         prior = (weights[1].sum() + 1) / (counts.sum() + 2)
         before, posterior = posterior, posterior_of(patterns, prior, table)
-        if np.max(np.abs(posterior - before)) < 1e-9:
+        if np.max(np.abs(posterior - before), initial=0.0) < 1e-9:
             break
     return prior, table
 
