@@ -28,6 +28,9 @@ SAMPLES = 64
 EXCERPT = 2000
 #: Texts are compressed in pieces, so that the dictionary counts throughout a long text.
 PIECE_BYTES = 16384
+#: Below so many bytes the compressor stores a text as it is unless it repeats; such a text is
+#: compressed several times over, so that what its words save can show.
+SHORT, COPIES = 256, 4
 #: Least difference in bytes between the best two languages.
 MARGIN = 1
 #: ASCII signs and digits say nothing about a language.
@@ -75,6 +78,8 @@ def classifier(dictionaries: dict[str, bytes]):
         if not compressors or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0
         data = cleaned(text)
+        if len(data) < SHORT:
+            data = (b" " + b" ".join(data.split()) + b" ") * COPIES
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
         sizes = [sum(len(c.compress(p)) for p in pieces) for c in compressors.values()]
         least = min(sizes)
