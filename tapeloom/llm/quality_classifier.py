@@ -5,8 +5,8 @@ a rule, a conjunction of thresholds on text statistics.  Lasso logistic regressi
 few rules and weighs them, and the kept rules are compiled into one Spark column expression,
 so scoring runs without a model object.
 
-Trees and weights are fitted on at most ``FIT_ROWS`` labelled rows, the first in hash order
-of their id; statistics are computed and scores given for every row.
+Trees and weights are fitted on about ``FIT_ROWS`` labelled rows, those lowest in the hash of
+id and statistics; statistics are computed and scores given for every row.
 
 Defined results: null and empty texts are scored like any other (all statistics 0); rows
 whose label is null, or whose id is null, are not learned from; without labels of both kinds
@@ -159,9 +159,11 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     rows = stats.where(~F.col("held_out")).join(known, F.col("doc_id") == F.col("_id"))
     names = [f"f{i}" for i in range(len(named))]
-    order = F.xxhash64(F.col("doc_id"))
-    sample = rows.orderBy(order, "doc_id", "_y", *names).limit(FIT_ROWS).select("_y", *names).collect()
-    values = np.array([tuple(r) for r in sample], float).reshape(-1, len(names) + 1)
+    # Rows below a bound of the hash, so that about FIT_ROWS rows reach the driver from all tasks together.
+    share = FIT_ROWS / max(1, known.count())
+    drawn = F.pmod(F.xxhash64("doc_id", *names), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = sorted(tuple(r) for r in rows.where(drawn).select("_y", *names).collect())
+    values = np.array(sample, float).reshape(-1, len(names) + 1)
     model = fit(values[:, 1:], values[:, 0])
     score = model.score()
     return stats.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
