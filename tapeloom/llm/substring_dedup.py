@@ -8,11 +8,11 @@ anchor.  Consecutive windows with one anchor form a block: the anchor with the w
 it.  Equal windows have equal anchors wherever they stand, so blocks are indexed by anchor,
 and only anchors of two documents or more matter.  Every block of every document is indexed.
 
-Parse.  A document is factored from left to right along the blocks it shares.  Where all
-blocks of an anchor are equal, the whole block is a factor copied from the first document
-that holds it, and neighbouring factors join.  Where blocks of an anchor differ, a factor
-begins or ends inside; such boundary blocks are checked window by window, each window being
-looked up among those of all documents with that anchor.  Factors that come from a smaller
+Parse.  A document is factored from left to right along the blocks it shares.  A block that
+a smaller id holds as a whole is a factor copied from the first document that holds it, and
+neighbouring factors of one source join.  Where blocks of an anchor differ, a factor can
+begin or end inside a block; the first holder of each such boundary block checks it window by
+window, against those of all other blocks of that anchor.  Factors that come from a smaller
 id are the duplicate spans.
 
 Anchors, blocks and windows are aggregated to one row per distinct value before they are
@@ -145,22 +145,28 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
 
 def _shared_of_documents(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the shared anchors of each document that has any."""
+    """doc_id, text_hash and the shared blocks of each document that has any, with the first
+    document of each block (of the anchor, where all its blocks are equal)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
         for batch in batches:
-            columns: list[list] = [[], [], []]
+            columns: list[list] = [[], [], [], []]
             for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
-                anchors = np.unique(Parsed(_words(text), cache).anchors)
-                for column, value in zip(columns, (np.full(len(anchors), doc_id), np.full(len(anchors), text_hash), anchors)):
+                own = Parsed(_words(text), cache)
+                blocks, at = np.unique(own.blocks(), return_index=True)
+                for column, value in zip(columns, (np.full(len(blocks), doc_id), np.full(len(blocks), text_hash), own.anchors[at], blocks)):
                     column.append(value.astype(np.int64))
-            yield _batch([_joined(c) for c in columns], [pa.int64()] * 3, ["doc_id", "text_hash", "anchor"])
+            yield _batch([_joined(c) for c in columns], [pa.int64()] * 4, ["doc_id", "text_hash", "anchor", "block"])
 
-    own = docs.where("doc_id IS NOT NULL").mapInArrow(emit, "doc_id bigint, text_hash bigint, anchor bigint")
+    own = docs.where("doc_id IS NOT NULL").mapInArrow(emit, "doc_id bigint, text_hash bigint, anchor bigint, block bigint")
+    held = settle(own.join(shared, "anchor"))
+    # Where blocks of an anchor differ, each kind of block has a first document of its own.
+    kinds = held.where("NOT uniform").groupBy("anchor", "block").agg(F.min("doc_id").alias("holder"))
+    held = held.join(kinds, ["anchor", "block"], "left").withColumn("first", F.coalesce("holder", "first"))
     # The first document of a block that is the same everywhere has nothing to lose by it.
-    useful = own.join(shared, "anchor").where("NOT uniform OR first < doc_id")
-    return useful.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "first", "uniform")).alias("known"))
+    useful = held.where("NOT uniform OR first < doc_id")
+    return useful.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "block", "first", "uniform")).alias("known"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -188,19 +194,21 @@ def _factors(docs: DataFrame, shared: DataFrame) -> DataFrame:
             nulls: list[np.ndarray] = []
             for doc_id, text_hash, packed, known in zip(*(c.to_pylist() for c in batch.columns)):
                 own = Parsed(press.decompress(packed).split(), cache)
-                order = sorted(known, key=lambda k: k["anchor"])
-                anchors = np.array([k["anchor"] for k in order])
-                at = np.minimum(np.searchsorted(anchors, own.anchors), len(anchors) - 1)
-                hit = anchors[at] == own.anchors
-                uniform = hit & np.array([k["uniform"] for k in order])[at]
+                order = sorted(known, key=lambda k: k["block"])
+                blocks = np.array([k["block"] for k in order])
+                mine = own.blocks()
+                at = np.minimum(np.searchsorted(blocks, mine), len(blocks) - 1)
+                hit = (blocks[at] == mine) & (np.array([k["anchor"] for k in order])[at] == own.anchors)
                 source = np.array([k["first"] for k in order])[at]
+                copied = hit & (source < doc_id)
+                checked = hit & ~copied & ~np.array([k["uniform"] for k in order])[at]
                 # Greedy: a factor goes on while the next block comes from the same source.
-                goes_on = uniform[1:] & uniform[:-1] & (source[1:] == source[:-1])
-                begin = np.flatnonzero(uniform & ~np.concatenate([[False], goes_on]))
-                end = np.flatnonzero(uniform & ~np.concatenate([goes_on, [False]]))
+                goes_on = copied[1:] & copied[:-1] & (source[1:] == source[:-1])
+                begin = np.flatnonzero(copied & ~np.concatenate([[False], goes_on]))
+                end = np.flatnonzero(copied & ~np.concatenate([goes_on, [False]]))
                 start = own.starts[begin]
                 length = own.starts[end] + own.counts[end] + WINDOW - 1 - start
-                check = np.flatnonzero(hit & ~uniform)
+                check = np.flatnonzero(checked)
                 open_at = np.concatenate([np.arange(own.starts[i], own.starts[i] + own.counts[i]) for i in check]) if len(check) else np.empty(0, np.int64)
                 w1, w2 = own.windows(open_at) if len(open_at) else (open_at, open_at)
                 n, m = len(start), len(open_at)
