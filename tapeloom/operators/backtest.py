@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.costs import CostModel
 from tapeloom.functions.expr import ieee_div
-from tapeloom.operators.indicators import rsi_levels, rsi_reach, zip_levels
-from tapeloom.operators.series import DAILY, Layout, Series, ewm_frames, lay_out, running
+from tapeloom.operators.indicators import rsi_recipe, with_averages, zip_levels
+from tapeloom.operators.series import DAILY, Layout, Series, lay_out, running
 from tapeloom.operators.summary import summary_by_symbol
 from tapeloom.session import settle
 
@@ -21,17 +21,20 @@ class Draft:
 
     raw: Column
     levels: list[dict[str, Column]] = field(default_factory=list)
-    alphas: tuple[float, ...] = ()
 
 
 @dataclass(frozen=True)
 class Signal:
-    """Target weight per bar.  ``latch`` keeps the last non-NULL target (0 before the first)."""
+    """Target weight per bar.  ``latch`` keeps the last non-NULL target (0 before the first).
+
+    ``rsi`` is a (column, window) whose RSI ``cook`` finds in ``{prefix}_rsi``.
+    """
 
     name: str
     lookback: int
     cook: Callable[[Layout, str], Draft]
     latch: bool = False
+    rsi: tuple[str, int] | None = None
 
 
 def buy_and_hold() -> Signal:
@@ -53,9 +56,9 @@ def rsi_reversion(
     def cook(lay: Layout, p: str) -> Draft:
         level = F.col(f"{p}_rsi")
         raw = F.when(level < low, 1.0).when(level > high, 0.0)
-        return Draft(raw, rsi_levels(lay, p, column, window), (1.0 / window,))
+        return Draft(raw)
 
-    return Signal(f"rsi_reversion_{window}", rsi_reach(window), cook, latch=True)
+    return Signal(f"rsi_reversion_{window}", 0, cook, latch=True, rsi=(column, window))
 
 
 def scaled_rsi(
@@ -66,13 +69,9 @@ def scaled_rsi(
         ramp = F.when(F.isnan(ramp), F.lit(0.0)).otherwise(
             F.least(F.greatest(ramp, F.lit(0.0)), F.lit(1.0))
         )
-        return Draft(
-            F.when(F.col(f"{p}_rsi").isNull(), F.lit(0.0)).otherwise(ramp),
-            rsi_levels(lay, p, column, window),
-            (1.0 / window,),
-        )
+        return Draft(F.when(F.col(f"{p}_rsi").isNull(), F.lit(0.0)).otherwise(ramp))
 
-    return Signal(f"scaled_rsi_{window}", rsi_reach(window), cook)
+    return Signal(f"scaled_rsi_{window}", 0, cook, rsi=(column, window))
 
 
 SIGNALS: dict[str, Callable[..., Signal]] = {
@@ -89,13 +88,27 @@ def build_signal(name: str, params: Mapping[str, object] | None = None) -> Signa
     return SIGNALS[name](**dict(params or {}))
 
 
+def _with_rsi(df: DataFrame, signals: Sequence[Signal], series: Series) -> DataFrame:
+    """The averages that signals look back on, before rows are laid out for looking back."""
+    wanted = {f"_sig{k}": signal.rsi for k, signal in enumerate(signals) if signal.rsi}
+    if not wanted:
+        return df
+    lay = lay_out(df, series, 1)
+    recipes = [rsi_recipe(lay, p, column, window) for p, (column, window) in wanted.items()]
+    lay = with_averages(lay.with_levels(zip_levels(*[r.levels for r in recipes])), recipes)
+    return lay.df.select(*df.columns, *[f"{p}_rsi" for p in wanted])
+
+
+def _laid_out(df: DataFrame, signals: Sequence[Signal], series: Series, more: int) -> Layout:
+    return lay_out(_with_rsi(df, signals, series), series, max(s.lookback for s in signals) + more)
+
+
 def _targets(lay: Layout, signals: Sequence[Signal], ages: int) -> Layout:
     """Columns ``_s0t0 _s0t1 ..`` = target of signal 0 now, one bar ago, ..; drops halo rows.
 
     The levels of all signals are merged, so any number of signals shares one sort.
     """
     drafts = [signal.cook(lay, f"_sig{k}") for k, signal in enumerate(signals)]
-    lay = lay.with_levels(ewm_frames(lay, [a for d in drafts for a in d.alphas]))
     lay = lay.with_levels(zip_levels(*[d.levels for d in drafts]))
     lay = lay.with_levels([{f"_s{k}t0": d.raw for k, d in enumerate(drafts)}])
     past = {
@@ -112,7 +125,7 @@ def _targets(lay: Layout, signals: Sequence[Signal], ages: int) -> Layout:
 
 def with_target(df: DataFrame, signal: Signal, series: Series = DAILY) -> DataFrame:
     """``df`` plus ``target``."""
-    lay = _targets(lay_out(df, series, signal.lookback), [signal], 1)
+    lay = _targets(_laid_out(df, [signal], series, 0), [signal], 1)
     return lay.df.select(*df.columns, F.col("_s0t0").alias("target"))
 
 
@@ -146,7 +159,7 @@ def backtest_each(
 
     One scan, one exchange and one sort serve all signals; trades follow one bar after.
     """
-    lay = lay_out(df, series, max(s.lookback for s in signals) + 2)
+    lay = _laid_out(df, signals, series, 2)
     lay = lay.with_levels([{"asset_ret": ieee_div("close", lay.lag("close")) - 1}])
     lay = _targets(lay, signals, 3)
     positions: dict[str, Column] = {}

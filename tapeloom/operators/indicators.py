@@ -18,20 +18,24 @@ from tapeloom.operators.series import (
     Layout,
     Scan,
     Series,
-    decay_rows,
-    ewm_frames,
-    ewm_levels,
+    averaged,
     lay_out,
     running,
 )
 
 
+# Exponential averages ``name: (x, alpha)``, and columns of the same row that use them.
+Averages = tuple[dict[str, tuple[Column, float]], dict[str, Column]]
+
+
 @dataclass(frozen=True)
 class Recipe:
+    """Levels over earlier rows first, then averages and scans over the whole series."""
+
     result: Column
     levels: list[dict[str, Column]] = field(default_factory=list)
     scans: dict[str, Scan] = field(default_factory=dict)
-    alphas: tuple[float, ...] = ()
+    averages: list[Averages] = field(default_factory=list)
 
 
 @dataclass(frozen=True)
@@ -101,10 +105,8 @@ def ema(column: str = "close", span: int = 20) -> Indicator:
     alpha = 2.0 / (span + 1)
     return Indicator(
         "ema",
-        decay_rows(alpha),
-        lambda lay, p: Recipe(
-            F.col(f"{p}_e"), ewm_levels(lay, f"{p}_e", F.col(column), alpha), alphas=(alpha,)
-        ),
+        0,
+        lambda lay, p: Recipe(F.col(f"{p}_e"), averages=[({f"{p}_e": (F.col(column), alpha)}, {})]),
     )
 
 
@@ -130,20 +132,16 @@ def macd(column: str = "close", fast: int = 12, slow: int = 26, signal: int = 9)
 
     def cook(lay: Layout, p: str) -> Recipe:
         line, smooth = F.col(f"{p}_line"), F.col(f"{p}_sig")
-        levels = zip_levels(
-            ewm_levels(lay, f"{p}_fast", F.col(column), a_fast),
-            ewm_levels(lay, f"{p}_slow", F.col(column), a_slow),
-        )
-        levels.append({f"{p}_line": F.col(f"{p}_fast") - F.col(f"{p}_slow")})
-        levels += ewm_levels(lay, f"{p}_sig", line, a_signal)
+        pair = {f"{p}_fast": (F.col(column), a_fast), f"{p}_slow": (F.col(column), a_slow)}
         return Recipe(
             F.struct(line.alias("macd"), smooth.alias("signal"), (line - smooth).alias("histogram")),
-            levels,
-            alphas=(a_fast, a_slow, a_signal),
+            averages=[
+                (pair, {f"{p}_line": F.col(f"{p}_fast") - F.col(f"{p}_slow")}),
+                ({f"{p}_sig": (line, a_signal)}, {}),
+            ],
         )
 
-    reach = max(decay_rows(a_fast), decay_rows(a_slow)) + decay_rows(a_signal)
-    return Indicator("macd", reach, cook, ("macd", "signal", "histogram"))
+    return Indicator("macd", 0, cook, ("macd", "signal", "histogram"))
 
 
 # --- momentum ----------------------------------------------------------------
@@ -163,34 +161,22 @@ def momentum(column: str = "close", periods: int = 10) -> Indicator:
     )
 
 
-def rsi_levels(lay: Layout, p: str, column: str, window: int) -> list[dict[str, Column]]:
-    """Levels that end with ``{p}_rsi``."""
+def rsi_recipe(lay: Layout, p: str, column: str, window: int) -> Recipe:
+    """Wilder's RSI: 100 - 100 / (1 + average gain / average loss)."""
     move, alpha = F.col(f"{p}_move"), 1.0 / window
     up = F.when(move > 0, move).otherwise(F.lit(0.0))
     down = F.when(move < 0, -move).otherwise(F.lit(0.0))
-    levels = [{f"{p}_move": F.col(column) - lay.lag(column)}]
-    levels.append({f"{p}_up": up, f"{p}_down": down})
-    levels += zip_levels(
-        ewm_levels(lay, f"{p}_gain", F.col(f"{p}_up"), alpha),
-        ewm_levels(lay, f"{p}_loss", F.col(f"{p}_down"), alpha),
+    pair = {f"{p}_gain": (F.col(f"{p}_up"), alpha), f"{p}_loss": (F.col(f"{p}_down"), alpha)}
+    ratio = ieee_div(f"{p}_gain", f"{p}_loss")
+    return Recipe(
+        F.col(f"{p}_rsi"),
+        [{f"{p}_move": F.col(column) - lay.lag(column)}, {f"{p}_up": up, f"{p}_down": down}],
+        averages=[(pair, {f"{p}_rsi": 100 - ieee_div(F.lit(100.0), 1 + ratio)})],
     )
-    levels.append({f"{p}_rs": ieee_div(f"{p}_gain", f"{p}_loss")})
-    levels.append({f"{p}_rsi": 100 - ieee_div(F.lit(100.0), 1 + F.col(f"{p}_rs"))})
-    return levels
-
-
-def rsi_reach(window: int) -> int:
-    return 1 + decay_rows(1.0 / window)
 
 
 def rsi(column: str = "close", window: int = 14) -> Indicator:
-    return Indicator(
-        "rsi",
-        rsi_reach(window),
-        lambda lay, p: Recipe(
-            F.col(f"{p}_rsi"), rsi_levels(lay, p, column, window), alphas=(1.0 / window,)
-        ),
-    )
+    return Indicator("rsi", 1, lambda lay, p: rsi_recipe(lay, p, column, window))
 
 
 def stochastic_oscillator(
@@ -272,12 +258,13 @@ def atr(window: int = 14, high: str = "high", low: str = "low", close: str = "cl
     alpha = 1.0 / window
 
     def cook(lay: Layout, p: str) -> Recipe:
-        # The empty level lines the average up with the one of rsi, so both share a window.
-        levels = [{f"{p}_tr": _true_range(lay, high, low, close)}, {}]
-        levels += ewm_levels(lay, f"{p}_e", F.col(f"{p}_tr"), alpha)
-        return Recipe(F.col(f"{p}_e"), levels, alphas=(alpha,))
+        return Recipe(
+            F.col(f"{p}_e"),
+            [{f"{p}_tr": _true_range(lay, high, low, close)}],
+            averages=[({f"{p}_e": (F.col(f"{p}_tr"), alpha)}, {})],
+        )
 
-    return Indicator("atr", 1 + decay_rows(alpha), cook)
+    return Indicator("atr", 1, cook)
 
 
 def bollinger_bands(column: str = "close", window: int = 20, num_std: float = 2.0) -> Indicator:
@@ -385,6 +372,15 @@ def zip_levels(*chains: list[dict[str, Column]]) -> list[dict[str, Column]]:
     return merged
 
 
+def with_averages(lay: Layout, recipes: Sequence[Recipe]) -> Layout:
+    """The averages of all recipes, those of one depth together."""
+    for depth in range(max((len(r.averages) for r in recipes), default=0)):
+        stage = [r.averages[depth] for r in recipes if depth < len(r.averages)]
+        lay = averaged(lay, {name: spec for averages, _ in stage for name, spec in averages.items()})
+        lay = lay.with_levels([{name: value for _, after in stage for name, value in after.items()}])
+    return lay
+
+
 def with_indicators(
     df: DataFrame, indicators: Iterable[Indicator], series: Series = DAILY, unnest: bool = True
 ) -> DataFrame:
@@ -393,13 +389,13 @@ def with_indicators(
     base = df.columns
     lay = lay_out(df, series, max((i.lookback for i in wanted), default=0))
     recipes = [i.cook(lay, f"_i{n}") for n, i in enumerate(wanted)]
-    frames = ewm_frames(lay, [a for r in recipes for a in r.alphas])
-    lay = lay.with_levels(frames).with_levels(zip_levels(*[r.levels for r in recipes]))
-    out = {i.alias: r.result for i, r in zip(wanted, recipes) if not r.scans}
-    lay = lay.with_levels([out])
+    lay = lay.with_levels(zip_levels(*[r.levels for r in recipes]))
+    late = [bool(r.scans or r.averages) for r in recipes]
+    lay = lay.with_levels([{i.alias: r.result for i, r, x in zip(wanted, recipes, late) if not x}])
+    lay = with_averages(lay, recipes)
     scans = {name: scan for r in recipes for name, scan in r.scans.items()}
     done = running(lay, scans).df
-    done = done.withColumns({i.alias: r.result for i, r in zip(wanted, recipes) if r.scans})
+    done = done.withColumns({i.alias: r.result for i, r, x in zip(wanted, recipes, late) if x})
     cols: list[Column] = [F.col(c) for c in base]
     for i in wanted:
         if i.fields and unnest:

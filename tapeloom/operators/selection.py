@@ -11,23 +11,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.expr import ieee_div
-from tapeloom.operators.series import Series
 
 FEATURES = ("price", "adv", "volatility", "momentum", "bars")
 YEAR = 252
+#: Shares of a group that are cut to their best rows before these meet.
+TOP_SHARES = 64
 
 
 def newest_bars(df: DataFrame, n: int, asof: datetime | None = None) -> DataFrame:
     """The last ``n`` bars per symbol, strictly before ``asof``, with ``_age`` 1 = newest.
 
-    Spark limits the groups before the shuffle, so at most ``n`` rows per symbol and map
-    task move, and everything after works on at most ``n`` rows per symbol.
+    Rows are limited per symbol and month first, so at most ``n`` rows per month of a symbol
+    meet in one task, for any ``n``, and everything after works on at most ``n`` rows per symbol.
     """
     if asof is not None:
         limit = F.lit(asof.isoformat(sep=" ")).cast("timestamp_ntz")
         df = df.where(F.col("timestamp") < limit)
-    newest = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc())
-    return df.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= n)
+    late = F.col("timestamp").desc()
+    monthly = Window.partitionBy("symbol", "_month").orderBy(late)
+    df = df.withColumn("_month", F.date_trunc("month", "timestamp")).withColumn("_age", F.row_number().over(monthly))
+    df = df.where(F.col("_age") <= n).drop("_month")
+    return df.withColumn("_age", F.row_number().over(Window.partitionBy("symbol").orderBy(late))).where(F.col("_age") <= n)
 
 
 def build_features(
@@ -101,17 +105,6 @@ def _magnitude_bucket(value: Column) -> Column:
     )
 
 
-def _ranked_in_window(
-    df: DataFrame, column: str, by: Sequence[str], out: str, descending: bool
-) -> DataFrame:
-    """Average rank with one window per group, for groups that fit a task."""
-    key = F.col(column)
-    order = key.desc() if descending else key.asc()
-    place = F.rank().over(Window.partitionBy(*by, key.isNull()).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, key))
-    return df.withColumn(out, F.when(key.isNotNull(), place + (ties - 1) / 2))
-
-
 def with_average_rank(
     df: DataFrame, column: str, by: Sequence[str], out: str, descending: bool
 ) -> DataFrame:
@@ -151,29 +144,18 @@ def with_score(
     score: Score,
     by: Sequence[str] = ("asof",),
     name: str = "score",
-    task_rows: int = 2_000_000,
 ) -> DataFrame:
-    """Add the blended score; ranks divide by the size of the group, NULLs stay unranked.
-
-    Groups are measured first: up to ``task_rows`` rows a group is ranked by plain windows
-    (one shuffle for all terms), beyond it by buckets.
-    """
+    """Add the blended score; ranks divide by the size of the group, NULLs stay unranked."""
     columns, total = df.columns, F.lit(0.0)
     if not by:
         df, by = df.withColumn("_group", F.lit(0)), ("_group",)
     ranked = {(c, marked) for _, kind, c, marked in score.terms if kind == "rank"}
     ranks = {pair: f"_rank{n}" for n, pair in enumerate(sorted(ranked))}
     if ranks:
-        small = Series(tuple(by), step=None, task_rows=task_rows).fits_task(df)
-        if small:
-            size = F.count(F.lit(1)).over(Window.partitionBy(*by))
-            df = df.withColumn("_size", size)
-        else:
-            sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-            df = df.join(sizes, list(by))
-        rank = _ranked_in_window if small else with_average_rank
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+        df = df.join(sizes, list(by))
         for (column, marked), out in ranks.items():
-            df = rank(df, column, by, out, marked)
+            df = with_average_rank(df, column, by, out, marked)
     for weight, kind, column, marked in score.terms:
         if kind == "rank":
             term = F.col(ranks[column, marked]) / F.col("_size")
@@ -209,5 +191,10 @@ def select_top_n(
     order = [F.col("symbol")]
     if score is not None:
         order.insert(0, F.col("score").desc_nulls_last())
+    # Two stages, so that of a group of any size only top_n rows per share meet in one task.
+    share = F.pmod(F.xxhash64("symbol"), F.lit(TOP_SHARES))
+    within = Window.partitionBy(*by, "_share").orderBy(*order)
+    likely = kept.withColumn("_share", share).withColumn("_place", F.row_number().over(within))
+    likely = likely.where(F.col("_place") <= top_n).drop("_share", "_place")
     best = Window.partitionBy(*by).orderBy(*order)
-    return kept.withColumn("position", F.row_number().over(best)).where(F.col("position") <= top_n)
+    return likely.withColumn("position", F.row_number().over(best)).where(F.col("position") <= top_n)

@@ -1,22 +1,22 @@
 """Ordered computation over keyed series without ever needing one task per key.
 
 A daily series holds at most one row per date, so the calendar bounds it (about
-36,500 rows a century) and a plain window per key is safe.  Of any other family the
-longest series is measured first (a count per key, combined on the map side); when it
-fits one task a plain window is used too.  Otherwise series are cut into blocks:
+36,500 rows a century) and a plain window per key is safe.  Any other series is cut into
+blocks, at every size:
 
 * rows are counted per (key, time slot) with map-side combining,
 * a running total over the slots (bounded by the calendar) assigns slots to blocks,
 * the slots that hold the last ``lookback`` rows before a block are also copied into
   it as a halo, so rolling frames inside the block see their whole history,
-* unbounded frames take a carry, computed from one summary row per block.
+* unbounded frames and exponential averages take a carry, computed from one summary row
+  per block.
 
 The result is the same as with one window per key, whatever the share of a hot key.
 """
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -42,7 +42,6 @@ class Series:
     step: str | None = "1d"
     slots: tuple[str, ...] = ()
     block_rows: int = 65_536
-    task_rows: int = 2_000_000
 
     @property
     def bounded(self) -> bool:
@@ -51,15 +50,6 @@ class Series:
     def by(self, keys: Sequence[str]) -> Series:
         return replace(self, keys=tuple(keys))
 
-    def fits_task(self, df: DataFrame) -> bool:
-        """Whether every series of ``df`` may be one window partition; counts if it must."""
-        if self.bounded:
-            return True
-        if self.task_rows <= 0:
-            return False
-        longest = df.groupBy(*self.keys).count().agg(F.max("count")).first()[0]
-        return (longest or 0) <= self.task_rows
-
     def slot_columns(self) -> list[Column]:
         if self.slots:
             return [F.expr(sql) for sql in self.slots]
@@ -116,7 +106,7 @@ class Layout:
 
 def lay_out(df: DataFrame, series: Series, lookback: int = 0) -> Layout:
     """Partition ``df`` so that every row sees ``lookback`` earlier rows of its series."""
-    if series.fits_task(df):
+    if series.bounded:
         return Layout(df, series, series.keys)
     slots = {f"_slot{i}": c for i, c in enumerate(series.slot_columns())}
     tagged = df.withColumns(slots)
@@ -211,50 +201,90 @@ def running(layout: Layout, scans: Mapping[str, Scan]) -> Layout:
     return replace(base, df=joined.drop(*carries.values()))
 
 
-def decay_rows(alpha: float) -> int:
-    """Rows after which the weight of a value has fallen below e**-600."""
-    return 0 if alpha >= 1 else max(1, math.floor(600 / -math.log1p(-alpha)))
-
-
-def ewm_frames(layout: Layout, alphas: Iterable[float]) -> list[dict[str, Column]]:
-    """Levels that number the rows and cut them into stretches, shared by all averages."""
-    spans = sorted({decay_rows(a) for a in alphas if a < 1})
-    if not spans:
-        return []
-    index = F.col("_row") - 1
-    cuts = {}
-    for span in spans:
-        cuts[f"_str{span}"] = F.floor(index / span)
-        cuts[f"_j{span}"] = index % span
-    return [{"_row": F.row_number().over(layout.rows)}, cuts]
+def _stretch_rows(alpha: float) -> int:
+    """Rows over which the weight of a value falls to e**-300, so that sums scaled by it fit a double."""
+    return max(1, math.floor(300 / -math.log1p(-alpha)))
 
 
-def ewm_levels(layout: Layout, name: str, x: Column, alpha: float) -> list[dict[str, Column]]:
-    """Levels that add ``name`` = e(t) = (1-alpha) e(t-1) + alpha x(t), seeded by the first value.
+def _average_levels(layout: Layout, name: str, x: Column, alpha: float, seed: Column) -> list[dict[str, Column]]:
+    """Levels that add ``name`` = e(t) = (1-alpha) e(t-1) + seed x(t), e before the partition = 0.
 
-    Needs the columns of ``ewm_frames``.  Inside a stretch of ``decay_rows`` rows the
-    recursion is the framed sum of x q**-j scaled by q**j; one stretch hands its last
-    value to the next.  Anything older weighs below e**-600, which no double can show.
+    Inside a stretch the recursion is the framed sum of x q**-j scaled by q**j.  A stretch
+    hands on its last value with what it was handed itself; three stretches back a weight is
+    e**-900, which is 0 as a double.
     """
-    if alpha >= 1:
-        return [{name: x}]
-    q, span, local = 1.0 - alpha, decay_rows(alpha), f"{name}_loc"
+    q, span = 1.0 - alpha, _stretch_rows(alpha)
+    local, ahead, further = (f"{name}_{s}" for s in ("loc", "ahd", "fur"))
+    index = F.col("_row") - 1
     inside = (
-        Window.partitionBy(*layout.parts, f"_str{span}")
+        Window.partitionBy(*layout.parts, F.floor(index / span))
         .orderBy(*layout.series.order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     earlier = layout.rows.rowsBetween(Window.unboundedPreceding, -1)
-    seed = F.when(F.col("_row") == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    power = F.pow(F.lit(q), F.col(f"_j{span}"))
-    closing = F.when(F.col(f"_j{span}") == span - 1, F.col(local))
-    handed = F.coalesce(F.last(closing, ignorenulls=True).over(earlier), F.lit(0.0))
+    power = F.pow(F.lit(q), index % span)
+
+    def handed(value: Column) -> Column:
+        closing = F.when(index % span == span - 1, value)
+        return F.coalesce(F.last(closing, ignorenulls=True).over(earlier), F.lit(0.0))
+
+    whole = F.lit(q**span)
     return [
         {local: power * F.sum(seed * x / power).over(inside)},
-        {name: F.col(local) + handed * power * q},
+        {ahead: handed(F.col(local))},
+        {further: handed(F.col(local) + whole * F.col(ahead))},
+        {f"{further}2": handed(F.col(local) + whole * F.col(further))},
+        {name: F.col(local) + F.col(f"{further}2") * power * q},
     ]
 
 
+def averaged(layout: Layout, averages: Mapping[str, tuple[Column, float]]) -> Layout:
+    """Add exponential averages ``name: (x, alpha)`` over whole series, seeded by the first value.
+
+    A block starts from 0 and is given what the block before it ends with, decayed row by
+    row; the ends follow from one pair (decay, local end) per block.  Halo rows are dropped.
+    """
+    if not averages:
+        return layout.own()
+    base = layout.own()
+    columns = base.df.columns
+    moving = {name: spec for name, spec in averages.items() if spec[1] < 1}
+    lay = base.with_levels([{name: x for name, (x, alpha) in averages.items() if alpha >= 1}])
+    if not moving:
+        return lay
+    first = F.col("_row") == 1
+    if not base.whole:
+        first = first & (F.col(BLOCK) == 0)
+    lay = lay.with_levels([{"_row": F.row_number().over(base.rows)}])
+    chains = [
+        _average_levels(base, name, x, alpha, F.when(first, F.lit(1.0)).otherwise(F.lit(alpha)))
+        for name, (x, alpha) in moving.items()
+    ]
+    for depth in zip(*chains):
+        lay = lay.with_levels([{k: v for level in depth for k, v in level.items()}])
+    if base.whole:
+        return replace(lay, df=lay.df.select(*columns, *averages))
+    keys, position = base.series.keys, base.series.position()
+    inner = lay.df.select(*columns, "_row", *averages)
+    ends = inner.groupBy(*base.parts).agg(
+        F.max("_row").alias("_n"), *[F.max_by(name, position).alias(f"_end_{name}") for name in moving]
+    )
+    previous = Window.partitionBy(*keys).orderBy(BLOCK)
+    for name, (_, alpha) in moving.items():
+        decay = F.pow(F.lit(1.0 - alpha), F.col("_n"))
+        for level in _blend_levels(keys, (BLOCK,), f"_all_{name}", decay, F.col(f"_end_{name}")):
+            ends = ends.withColumns(level)
+    carries = [
+        F.coalesce(F.lag(f"_all_{name}").over(previous), F.lit(0.0)).alias(f"_carry_{name}") for name in moving
+    ]
+    joined = inner.join(ends.select(*base.parts, *carries), list(base.parts))
+    exact = {
+        name: F.col(name) + F.pow(F.lit(1.0 - alpha), F.col("_row")) * F.col(f"_carry_{name}")
+        for name, (_, alpha) in moving.items()
+    }
+    return replace(base, df=joined.withColumns(exact).select(*columns, *averages))
+
+
 BAND = 300.0
 
 
@@ -266,34 +296,35 @@ def _blend_levels(
     Log-decay is cut into bands of e**-300; a band hands its last value to the next and
     a(t) = 0 starts afresh.  ``{name}_kept`` is the product of a since the start.
     """
-    reset, decay, band, local, tail = (f"{name}_{s}" for s in ("reset", "decay", "band", "loc", "tail"))
+    reset, decay, band, local = (f"{name}_{s}" for s in ("reset", "decay", "band", "loc"))
     rows = Window.partitionBy(*parts).orderBy(*order)
     upto = (Window.unboundedPreceding, 0)
     episode = Window.partitionBy(*parts, reset).orderBy(*order)
     strip = Window.partitionBy(*parts, reset, band).orderBy(*order)
     offset = F.col(decay) + BAND * F.col(band)
-    here = F.struct(reset, decay, local)
     ends = F.lead(F.struct(reset, band)).over(rows) != F.struct(reset, band)
-    before, same = F.col(tail), F.col(tail)[reset] == F.col(reset)
-    return [
+
+    def with_handed(value: Column, end: str) -> Column:
+        """The local part and what the band before ended with, ``value`` being its end."""
+        before = F.last(end, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
+        same = before[reset] == F.col(reset)
+        return value + F.coalesce(F.when(same, F.exp(F.col(decay) - before[decay]) * before["v"]), F.lit(0.0))
+
+    levels = [
         {reset: F.sum(F.when(a <= 0, 1).otherwise(0)).over(rows.rowsBetween(*upto))},
         {decay: F.sum(F.when(a > 0, F.log(a)).otherwise(0.0)).over(episode.rowsBetween(*upto))},
         {band: F.floor(-F.col(decay) / BAND)},
         {local: F.exp(offset) * F.sum(b * F.exp(-offset)).over(strip.rowsBetween(*upto))},
-        {f"{name}_end": F.when(ends, here)},
-        {
-            tail: F.last(f"{name}_end", ignorenulls=True).over(
-                rows.rowsBetween(Window.unboundedPreceding, -1)
-            )
-        },
-        {
-            name: F.col(local)
-            + F.coalesce(
-                F.when(same, F.exp(F.col(decay) - before[decay]) * before[local]), F.lit(0.0)
-            ),
-            f"{name}_kept": F.when(F.col(reset) > 0, F.lit(0.0)).otherwise(F.exp(decay)),
-        },
     ]
+    # Three bands back a weight is below e**-600 times a band's own; one more is 0 as a double.
+    full = F.col(local)
+    for depth in range(3):
+        end = f"{name}_end{depth}"
+        levels.append({end: F.when(ends, F.struct(reset, decay, full.alias("v")))})
+        levels.append({f"{name}_full{depth}": with_handed(F.col(local), end)})
+        full = F.col(f"{name}_full{depth}")
+    kept = F.when(F.col(reset) > 0, F.lit(0.0)).otherwise(F.exp(decay))
+    return [*levels, {name: full, f"{name}_kept": kept}]
 
 
 def blended(layout: Layout, name: str, a: Column, b: Column) -> Layout:

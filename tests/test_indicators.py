@@ -5,13 +5,14 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import summary
 from tapeloom.operators.series import Series
 
 approx = pytest.approx
-BLOCKS = Series(step="1m", block_rows=64, task_rows=0)
+BLOCKS = Series(step="1m", block_rows=64)
 
 
 def one(df, indicator, column):
@@ -149,3 +150,19 @@ def test_summary_in_blocks(walk):
     cut = summary.summary_by_symbol(walk, series=BLOCKS).toPandas().sort_values("symbol")
     for name in summary.ALL_METRICS:
         np.testing.assert_allclose(plain[name], cut[name], rtol=1e-8, err_msg=name)
+
+
+def test_rsi_of_a_long_flat_stretch_is_the_same_in_blocks(spark):
+    """The averages decay to the end of the range of a double, but their ratio stays."""
+    n = 9600
+    close = 50 + np.concatenate([np.cumsum(np.random.default_rng(3).normal(size=50)), np.zeros(n - 50)])
+    close[50:] = close[49]
+    stamp = pd.date_range("2024-01-01", periods=n, freq="min")
+    frame = pd.DataFrame({"symbol": "A", "timestamp": stamp, "close": close})
+    df = spark.createDataFrame(frame).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    gain = pd.Series(close).diff().clip(lower=0).fillna(0.0).ewm(alpha=1 / 14, adjust=False).mean()
+    loss = (-pd.Series(close).diff().clip(upper=0)).fillna(0.0).ewm(alpha=1 / 14, adjust=False).mean()
+    want = (100 - 100 / (1 + gain / loss)).to_numpy()
+    for series in (Series(), Series(step="1m", block_rows=4096), Series(step="1m", block_rows=1)):
+        got = ind.with_indicators(df, [ind.rsi().named("x")], series).toPandas().sort_values("timestamp")["x"]
+        np.testing.assert_allclose(got.to_numpy()[1:], want[1:], rtol=1e-6)

@@ -42,7 +42,7 @@ def test_ledgers_in_blocks(spark):
     slots = ("timestamp", "floor(seq / 3)")
     for keys, run in ((("account", "symbol"), ledger.position_ledger), (("account",), lambda f, s: ledger.cash_ledger(f, 1e6, s))):
         plain = run(fills, Series(keys, ledger.ORDER, None, slots)).toPandas().sort_values("seq")
-        cut = run(fills, Series(keys, ledger.ORDER, None, slots, block_rows=20, task_rows=0)).toPandas().sort_values("seq")
+        cut = run(fills, Series(keys, ledger.ORDER, None, slots, block_rows=20)).toPandas().sort_values("seq")
         for name in plain.columns.difference(["timestamp", "symbol", "side", "reason"]):
             np.testing.assert_allclose(plain[name].astype(float), cut[name].astype(float), rtol=1e-9, err_msg=name)
 
