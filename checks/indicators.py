@@ -1,6 +1,8 @@
 """Checks of indicators and summary statistics."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from checks.registry import add, view
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import summary
@@ -130,7 +132,7 @@ VWAP = f"sum((high + low + close) / 3 * volume) {UPTO} / sum(volume) {UPTO}"
 plain("vwap", 4, ind.vwap, VWAP)
 plain("volume_sma", 2, ind.volume_sma, rolling("avg", "volume", 20))
 
-# A panel of every kind of recipe, on the minute bars so that series are cut into blocks.
+# A panel of every kind of recipe, on the minute bars.
 PANEL = [
     ("simple_return", {}, "ret"),
     ("sma", {"window": 10}, "sma10"),
@@ -155,6 +157,29 @@ add(
     lambda s, d: ind.metric_panel(views.bars_minute(s, d), PANEL, MINUTE),
     PANEL_SQL,
 )
+SMALL = replace(MINUTE, block_rows=1)  # as many blocks as there are slots
+add(
+    "metric_panel_blocks",
+    PANEL_SPEC,
+    lambda s, d: ind.metric_panel(views.bars_minute(s, d), PANEL, SMALL),
+    PANEL_SQL,
+)
+add(
+    "rsi_blocks",
+    f"{ID} rsi:4",
+    lambda s, d: ind.with_indicators(views.bars_minute(s, d), [ind.rsi(window=7)], SMALL),
+    rsi_sql(7, "minute_moves"),
+)
+EMA_GAP = f"""SELECT a.symbol, a.timestamp, a.i, a.e - b.e AS gap FROM ({ewm('bars_minute_n', 'close', '(2e0 / 13)')}) a
+    JOIN ({ewm('bars_minute_n', 'close', '(2e0 / 27)')}) b USING (symbol, i)"""
+view("minute_gap", EMA_GAP)
+add(
+    "macd_blocks",
+    f"{ID} macd_macd:4 macd_signal:4 macd_histogram:4",
+    lambda s, d: ind.with_indicators(views.bars_minute(s, d), [ind.macd()], SMALL),
+    f"""SELECT g.symbol, g.timestamp, gap AS macd_macd, e AS macd_signal, gap - e AS macd_histogram
+    FROM minute_gap g JOIN ({ewm('minute_gap', 'gap', '(2e0 / 10)')}) s USING (symbol, i)""",
+)
 
 # --- summary -----------------------------------------------------------------
 
@@ -187,6 +212,12 @@ add(
     lambda s, d: summary.summary_by_symbol(views.bars_minute(s, d), series=MINUTE),
     summary_ctes("bars_minute", "close", "symbol"),
 )
+add(
+    "summary_blocks",
+    f"symbol {ALL_SPEC}",
+    lambda s, d: summary.summary_by_symbol(views.bars_minute(s, d), series=SMALL),
+    summary_ctes("bars_minute", "close", "symbol"),
+)
 EXPLORER = [("sma", {"window": 20}, "sma"), ("bollinger_bands", {}, "bb"), ("drawdown", {}, "dd")]
 
 

@@ -1,9 +1,12 @@
 """Checks of signals, backtests and sweeps."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.indicators import ID, UPTO, rolling, rsi_sql, summary_ctes
+from checks.indicators import ID, SMALL, UPTO, rolling, rsi_sql, summary_ctes
 from checks.registry import add, view
 from tapeloom.functions.costs import CostModel
 from tapeloom.operators import backtest as bt
@@ -121,16 +124,30 @@ add(
 )
 
 
-def _minute_reversion(s, d):
-    """Blocks, a latched signal and two carry passes."""
-    frame = bt.backtest(views.bars_minute(s, d), bt.rsi_reversion(window=7), series=MINUTE)
-    return with_growth(bt.backtest_stats(frame, series=MINUTE))
+def _minute_reversion(s, d, series=MINUTE):
+    """A latched signal on carried averages, and two carry passes."""
+    frame = bt.backtest(views.bars_minute(s, d), bt.rsi_reversion(window=7), series=series)
+    return with_growth(bt.backtest_stats(frame, series=series))
 
 
 MINUTE_RSI = f"SELECT b.*, r.rsi FROM bars_minute_n b JOIN ({rsi_sql(7, 'minute_moves')}) r USING (symbol, i)"
 view("minute_rsi7", MINUTE_RSI)
 view("bt_minute", backtest_sql(latch_sql(RAW_REVERSION, "minute_rsi7")))
 add("backtest_minute", f"symbol {GROWTH}", _minute_reversion, stats_sql("bt_minute"))
+add("backtest_blocks", f"symbol {GROWTH}", lambda s, d: _minute_reversion(s, d, SMALL), stats_sql("bt_minute"))
+add(
+    "build_signal",
+    f"strategy {ID} target:6",
+    lambda s, d: reduce(
+        DataFrame.unionByName,
+        [
+            bt.with_target(views.bars_daily(s, d), bt.build_signal(name, params)).withColumn("strategy", F.lit(name))
+            for name, params in (("sma_cross", {"fast": 10, "slow": 30}), ("scaled_rsi", {"window": 14}))
+        ],
+    ),
+    f"""SELECT 'sma_cross' AS strategy, symbol, timestamp, target FROM ({TARGETS['sig_sma_cross'][1]}) a
+    UNION ALL SELECT 'scaled_rsi', symbol, timestamp, target FROM ({TARGETS['sig_scaled_rsi'][1]}) b""",
+)
 add(
     "trades",
     f"{ID} close:6 held:6 delta:6",

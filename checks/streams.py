@@ -72,33 +72,32 @@ add(
 LATENESS = "1 day"
 
 
-def _resample(s, d):
-    """Buckets behind the final watermark; the newest ones are still open."""
+def _resample(target: str, late: bool = False):
+    def query(s, d):
+        def start(stream, root):
+            return jobs.stream_resample_updates(stream, target, f"{root}/bars", f"{root}/cp", LATENESS)
 
-    def start(stream, root):
-        bars = jobs.stream_resample(stream, "1h", LATENESS)
-        writer = bars.writeStream.outputMode("append").option("checkpointLocation", f"{root}/cp")
-        return writer.trigger(availableNow=True).start(f"{root}/bars")
+        bars, order = views.bars_minute(s, d), "timestamp"
+        if late:  # up to 23 hours behind the newest bar
+            delay = F.pmod(F.xxhash64("symbol", "timestamp"), F.lit(24))
+            bars, order = bars.withColumn("arrives", F.timestamp_add("HOUR", delay.cast("int"), "timestamp")), "arrives"
+        return jobs.newest_buckets(s.read.parquet(f"{arrive(s, bars, order, start)}/bars"))
 
-    root = arrive(s, views.bars_minute(s, d), "timestamp", start)
-    out = s.read.parquet(f"{root}/bars")
-    newest = views.bars_minute(s, d).agg(F.max("timestamp").alias("newest"))
-    closed = F.col("timestamp") < F.date_trunc("DAY", F.col("newest")) - F.make_dt_interval(F.lit(1))
-    return out.join(F.broadcast(newest)).where(closed)  # one row
+    return query
 
 
-add(
-    "stream_resample",
-    BAR,
-    _resample,
-    f"""SELECT * FROM ({resample_sql('1h')}) r
-    WHERE timestamp < (SELECT date_trunc('day', max(timestamp)) - INTERVAL 1 DAY FROM bars_minute)""",
-)
+add("stream_resample", BAR, _resample("1h"), resample_sql("1h"))
+add("stream_resample_late", BAR, _resample("1h", late=True), resample_sql("1h"))
+ORACLES["stream_resample_daily"] = ORACLES["resample_daily"]
+add("stream_resample_daily", BAR, _resample("1d"))
 
 
 def _scan(s, d):
-    """The sheet after the last micro-batch, when the table holds every bar."""
-    bars = views.bars_daily(s, d).withColumn("ingested_at", F.col("timestamp"))
+    """The sheet after the last micro-batch, when the table holds every bar.
+
+    Minute bars of the same symbols lie in the table as well and are not for the scan.
+    """
+    bars = views.bars_daily(s, d).unionByName(views.bars_minute(s, d)).withColumn("ingested_at", F.col("timestamp"))
     names, held, money = universe(s, d), settle(holdings(s, d)), accounts(s, d)
 
     def start(stream, root):

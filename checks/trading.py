@@ -49,7 +49,7 @@ DAY_CLOSE = """SELECT symbol, day, lag(c) OVER (PARTITION BY symbol ORDER BY day
 add(
     "limit_band_minute",
     f"{BAR_ID} {BAND}",
-    lambda s, d: market.limit_band(views.bars_minute(s, d), series=MINUTE),
+    lambda s, d: market.limit_band(views.bars_minute(s, d)),
     band_sql(
         f"""SELECT b.*, prev_close FROM bars_minute b JOIN ({DAY_CLOSE}) p
         ON b.symbol = p.symbol AND CAST(b.timestamp AS DATE) = p.day"""

@@ -61,11 +61,11 @@ def target_shares(
     return F.when((p > 0) & (w > 0), lots * lot).otherwise(F.lit(0)).cast("bigint")
 
 
-def previous_day_close(df: DataFrame, series: Series = DAILY) -> DataFrame:
-    """``df`` plus ``prev_close``, the last close of the symbol's trading day before."""
-    if series.bounded:
-        lay = lay_out(df, series, 1)
-        return lay.with_levels([{"prev_close": lay.lag("close")}]).df
+def previous_day_close(df: DataFrame) -> DataFrame:
+    """``df`` plus ``prev_close``, the last close of the symbol's trading day before.
+
+    Closes are aggregated per date first, so bars of any interval get the day before.
+    """
     day = F.to_date("timestamp")
     closes = df.groupBy("symbol", day.alias("_day")).agg(F.max_by("close", "timestamp").alias("_c"))
     before = F.lag("_c").over(Window.partitionBy("symbol").orderBy("_day"))  # one row per date
@@ -77,11 +77,10 @@ def limit_band(
     df: DataFrame,
     rules: MarketRules = MarketRules(),
     price: str = "open",
-    series: Series = DAILY,
 ) -> DataFrame:
     """Adds ``prev_close up_limit down_limit buy_blocked sell_blocked``; no band on day one."""
     pct, ref = limit_pct("symbol", rules.default_limit), F.col("prev_close")
-    out = previous_day_close(df, series).withColumns(
+    out = previous_day_close(df).withColumns(
         {"up_limit": F.round(ref * (1 + pct), 2), "down_limit": F.round(ref * (1 - pct), 2)}
     )
     no = F.lit(False)

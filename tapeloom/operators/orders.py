@@ -118,12 +118,16 @@ def lot_check(orders: DataFrame, lot: int = LOT) -> DataFrame:
     return orders.where((F.col("shares") > 0) & (F.col("shares") % lot == 0))
 
 
-def latest_targets(df: DataFrame, signal: Signal, lookback: int = 250) -> DataFrame:
+def latest_targets(
+    df: DataFrame, signal: Signal, lookback: int = 250, interval: str | None = None
+) -> DataFrame:
     """(symbol, timestamp, price, target) of each symbol's newest bar, from ``lookback`` bars.
 
     Only the newest rows leave the scan tasks; the signal then sees at most ``lookback``
-    rows per symbol.
+    rows per symbol.  ``interval`` picks the bars where ``df`` holds several.
     """
+    if interval is not None:
+        df = df.where(F.col("interval") == interval)
     recent = with_target(newest_bars(df, lookback), signal, DAILY)
     newest = recent.where(F.col("_age") == 1)
     return newest.select(
@@ -143,6 +147,7 @@ def order_sheet(
     limits: RiskLimits = RiskLimits(),
     lookback: int = 250,
     lot: int = LOT,
+    interval: str | None = None,
 ) -> DataFrame:
     """Dry-run scan: (account, nth, symbol, side, shares, price, reason).
 
@@ -151,7 +156,7 @@ def order_sheet(
     a dry run, so all orders follow from one snapshot: stops first, then entries and exits,
     by symbol.  Buys stop at a halt or past the order cap; every order counts for the cap.
     """
-    quotes = latest_targets(df, signal, lookback)
+    quotes = latest_targets(df, signal, lookback, interval)
     held = holdings.select("account", "symbol", "shares", "avg_price")
     scanned = universe.select("account", "symbol").distinct().withColumn("_scanned", F.lit(True))
     book = scanned.join(held, ["account", "symbol"], "full").join(quotes, "symbol")

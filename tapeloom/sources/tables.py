@@ -91,7 +91,8 @@ def dedup_bars(df: DataFrame) -> DataFrame:
     """Latest write per (symbol, interval, timestamp).
 
     An aggregate rather than a ranked window: copies of one key collapse on the map side,
-    so a key with very many copies costs no more than any other.
+    so a key with very many copies costs no more than any other.  The whole row is compared,
+    so Spark sorts by key on both sides of the exchange; ties go to the greatest row.
     """
     rest = [c for c in df.columns if c not in (*KEY, "ingested_at")]
     newest = F.max(F.struct("ingested_at", *rest)).alias("_top")

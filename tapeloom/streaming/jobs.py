@@ -7,12 +7,14 @@ writes under its id, so a replay after a failure overwrites its own output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tapeloom.functions.expr import ieee_div
+from tapeloom.functions.expr import ieee_div, utc_midnight
 from tapeloom.operators.backtest import Signal
 from tapeloom.operators.market import RiskLimits
 from tapeloom.operators.orders import order_sheet
@@ -20,20 +22,25 @@ from tapeloom.operators.resample import local_time, ohlcv, session_bucket
 from tapeloom.operators.series import Series, lay_out, running
 from tapeloom.schema import BAR_COLUMNS, minutes_of
 from tapeloom.sources.ingest import tag_faults
-from tapeloom.sources.tables import MONTH, dedup_bars, for_storage
+from tapeloom.sources.tables import MONTH, dedup_bars, for_storage, read_bars
+
+SESSION_MINUTES = 240
 
 
 def _each_batch(
-    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.exists(target)
+    """Whether ``path`` holds a written parquet folder."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def stream_validate(
@@ -62,17 +69,25 @@ def merge_into(batch: DataFrame, batch_id: int, table_path: str, staging: str) -
     """Put a batch into a parquet bars table, last write wins.
 
     Only the (interval, month) partitions the batch touches are read, deduplicated, staged
-    and put in place by dynamic partition overwrite.
+    and put in place by dynamic partition overwrite.  A batch that was staged as a whole is
+    put in place from there when it is replayed, without reading a table that the broken
+    attempt may have left half swapped.
     """
     spark = batch.sparkSession
-    merged = batch.withColumn("month", F.date_format("timestamp", MONTH))
-    if _exists(spark, table_path):
-        touched = merged.select("interval", "month").distinct()  # calendar-bounded
-        stored = spark.read.schema(merged.schema).parquet(table_path)
-        stored = stored.join(touched, ["interval", "month"], "left_semi")
-        merged = stored.select(*merged.columns).unionByName(merged)
-    staged = f"{staging}/merge/batch={batch_id}"
-    for_storage(dedup_bars(merged.drop("month"))).write.mode("overwrite").parquet(staged)
+    staged, marker = f"{staging}/merge/batch={batch_id}", f"{staging}/merged/batch={batch_id}"
+    if not _exists(spark, marker):
+        merged = batch.withColumn("month", F.date_format("timestamp", MONTH))
+        if _exists(spark, table_path):
+            touched = merged.select("interval", "month").distinct()  # calendar-bounded
+            stored = spark.read.schema(merged.schema).parquet(table_path)
+            stored = stored.join(touched, ["interval", "month"], "left_semi")
+            merged = stored.select(*merged.columns).unionByName(merged)
+        for_storage(dedup_bars(merged.drop("month"))).write.mode("overwrite").parquet(staged)
+        spark.range(1).write.mode("overwrite").parquet(marker)
+    _publish(spark, staged, table_path)
+
+
+def _publish(spark: SparkSession, staged: str, table_path: str) -> None:
     (
         spark.read.parquet(staged)
         .write.mode("overwrite")
@@ -88,26 +103,53 @@ def stream_dedup_upsert(stream: DataFrame, table_path: str, checkpoint: str) ->
 
 
 def stream_resample(stream: DataFrame, target: str, lateness: str = "1 day") -> DataFrame:
-    """Session bars of a minute stream; state holds only buckets ahead of the watermark.
+    """Bars of interval ``target`` from a minute stream; state holds only open buckets.
 
-    The bucket start is the event time, so a bucket is emitted once, when no bar that is at
-    most ``lateness`` late can reach it any more.
+    The event time is the start of the bucket, so the watermark trails by the bucket's length
+    and ``lateness``: every bar at most ``lateness`` behind the newest one is counted.  In
+    append mode a bucket is emitted once, when no such bar can reach it any more.
     """
     every = minutes_of(target)
-    cut, local = session_bucket("timestamp", every), local_time("timestamp")
-    minute_of_day = F.hour(local) * 60 + F.minute(local)
-    shift = cut["session"] + cut["bucket"].cast("int") * every - minute_of_day
-    start = F.timestamp_add("MINUTE", shift, F.date_trunc("MINUTE", "timestamp").cast("timestamp_ntz"))
+    if target == "1d":
+        start = utc_midnight(F.to_date(local_time("timestamp")))
+        stamp = F.first("bucket_start").cast("timestamp_ntz")
+    else:
+        cut, local = session_bucket("timestamp", every), local_time("timestamp")
+        minute_of_day = F.hour(local) * 60 + F.minute(local)
+        shift = cut["session"] + cut["bucket"].cast("int") * every - minute_of_day
+        start = F.timestamp_add("MINUTE", shift, F.date_trunc("MINUTE", "timestamp").cast("timestamp_ntz"))
+        stamp = F.min("timestamp")
     return (
         stream.withColumn("bucket_start", start.cast("timestamp"))
-        .withWatermark("bucket_start", lateness)
+        .withWatermark("bucket_start", f"{lateness} {every} minutes")
         .groupBy("symbol", "bucket_start")
-        .agg(F.min("timestamp").alias("timestamp"), *ohlcv())
+        .agg(stamp.alias("timestamp"), *ohlcv())
         .withColumn("interval", F.lit(target))
         .select(*BAR_COLUMNS, "bucket_start")
     )
 
 
+def stream_resample_updates(
+    stream: DataFrame, target: str, out: str, checkpoint: str, lateness: str = "1 day"
+) -> StreamingQuery:
+    """Write every change of a bucket as it happens, the newest buckets included.
+
+    ``newest_buckets`` reads the bars back.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _each_batch(stream_resample(stream, target, lateness), write, checkpoint, "update")
+
+
+def newest_buckets(updates: DataFrame) -> DataFrame:
+    """The last state of every bucket in what ``stream_resample_updates`` has written."""
+    rest = [c for c in BAR_COLUMNS if c != "symbol"]
+    last = updates.groupBy("symbol", "bucket_start").agg(F.max(F.struct("batch", *rest)).alias("_top"))
+    return last.select(*[F.col("symbol") if c == "symbol" else F.col("_top")[c].alias(c) for c in BAR_COLUMNS])
+
+
 def stream_scan(
     stream: DataFrame,
     table_path: str,
@@ -118,13 +160,25 @@ def stream_scan(
     out: str,
     checkpoint: str,
     limits: RiskLimits = RiskLimits(),
+    interval: str = "1d",
+    lookback: int = 250,
+    history_days: int | None = None,
 ) -> StreamingQuery:
-    """After every micro-batch: merge its bars into the table, then write the order sheet."""
+    """After every micro-batch: merge its bars into the table, then write the order sheet.
+
+    The sheet sees bars of ``interval`` only, and of these the months that reach back
+    ``history_days`` from the newest bar of the batch (four times the calendar days that
+    ``lookback`` bars take, if not given); the other partitions are not read.
+    """
+    per_day = 1 if interval == "1d" else SESSION_MINUTES // minutes_of(interval)
+    days = 4 * max(1, lookback // per_day) + 31 if history_days is None else history_days
 
     def scan(batch: DataFrame, batch_id: int) -> None:
         merge_into(batch, batch_id, table_path, checkpoint)
-        bars = batch.sparkSession.read.parquet(table_path)
-        sheet = order_sheet(bars, signal, universe, holdings, accounts, limits)
+        newest = batch.where(F.col("interval") == interval).agg(F.max("timestamp")).first()[0]
+        start = None if newest is None else newest - timedelta(days=days)
+        bars = read_bars(batch.sparkSession.read.parquet(table_path), interval=interval, start=start, ordered=False)
+        sheet = order_sheet(bars, signal, universe, holdings, accounts, limits, lookback)
         sheet.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _each_batch(stream, scan, checkpoint)
@@ -195,18 +249,23 @@ def stream_equity_monitor(
 ) -> StreamingQuery:
     """Running peak, drawdown and daily-loss halt of a stream of account equity.
 
-    Micro-batches are taken in order; batch n starts from the state batch n-1 left.
+    Micro-batches are taken in order; batch n starts from the state batch n-1 left, and a
+    state that is missing is an error.  Rows of a day before the one an account has reached
+    cannot change what was judged; they are written to ``{out}_late`` and not judged.
     """
     key_type = stream.schema["account"].dataType.simpleString()
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         spark, schema = batch.sparkSession, MONITOR_STATE.format(key_type)
-        path = f"{checkpoint}/monitor/batch={batch_id - 1}"
-        known = _exists(spark, path)
-        state = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
-        rows, state = monitor_batch(batch, state, max_daily_loss)
-        target = f"{out}/batch={batch_id}"
-        rows.write.mode("overwrite").parquet(target)
+        state = spark.createDataFrame([], schema)
+        if batch_id > 0:
+            state = spark.read.schema(schema).parquet(f"{checkpoint}/monitor/batch={batch_id - 1}")
+        reached = state.select(F.col("account").alias("_account"), F.col("day").alias("_reached"))
+        placed = batch.join(reached, F.col("account") == F.col("_account"), "left")
+        late = F.coalesce(F.to_date("timestamp") < F.col("_reached"), F.lit(False))
+        placed.where(late).select(*batch.columns).write.mode("overwrite").parquet(f"{out}_late/batch={batch_id}")
+        rows, state = monitor_batch(placed.where(~late).select(*batch.columns), state, max_daily_loss)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         state.write.mode("overwrite").parquet(f"{checkpoint}/monitor/batch={batch_id}")
 
     return _each_batch(stream, judge, checkpoint)
