@@ -229,7 +229,24 @@ add(
     {', '.join(f"('rsi_reversion', 'rsi_reversion_{n}')" for n in WINDOWS)}, ('guess', 'guess')) v(strategy, spec)
     GROUP BY ALL""",
 )
-add("spec_key", "spec_key strategy symbol n", _per_symbol)
+
+
+def key_sql(spec: str, strategy: str, params: dict) -> str:
+    """The key of a spec: SHA-1 of its JSON with sorted parameters, null fields left out."""
+    values = ",".join(f'"{k}":{float(v)}' for k, v in sorted(params.items()))
+    form = f'{{"strategy":"{strategy}","params":{{{values}}},"constants":"{{}}"}}'
+    return f"('{spec}', '{strategy}', substr(sha1('{form}'), 1, 12))"
+
+
+KEYS = [key_sql(f"sma_cross_{a}_{b}", "sma_cross", {"fast": a, "slow": b}) for a in FAST for b in SLOW]
+KEYS += [key_sql(f"rsi_reversion_{n}", "rsi_reversion", {"window": n}) for n in WINDOWS] + [key_sql("guess", "guess", {})]
+add(
+    "spec_key",
+    "spec_key strategy symbol n",
+    _per_symbol,
+    f"""SELECT spec_key, strategy, symbol, count(*) AS n FROM bars_daily,
+    (VALUES {', '.join(KEYS)}) v(spec, strategy, spec_key) GROUP BY ALL""",
+)
 add("sweep", f"spec symbol {GROWTH}", _swept, "SELECT * FROM sweep_stats")
 
 

@@ -1,6 +1,8 @@
 """Checks of market rules, orders, ledgers and reports."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.indicators import UPTO, lag
@@ -9,7 +11,7 @@ from checks.strategies import SMA_TARGET
 from tapeloom.functions.codes import limit_pct
 from tapeloom.operators import backtest as bt
 from tapeloom.operators import ledger, market, orders, reports
-from tapeloom.operators.series import MINUTE
+from tapeloom.operators.series import Series
 from tapeloom.session import settle
 from tapeloom.sources import views
 
@@ -133,6 +135,12 @@ add(
     lambda s, d: ledger.cash_ledger(enriched(s, d), CASH),
     "SELECT * FROM cash",
 )
+add(
+    "cash_ledger_blocks",
+    "account timestamp seq cash:2",
+    lambda s, d: ledger.cash_ledger(enriched(s, d), CASH, replace(ledger.ACCOUNT, block_rows=64)),
+    "SELECT * FROM cash",
+)
 
 
 def positions(s, d):
@@ -145,6 +153,12 @@ add(
     positions,
     "SELECT * FROM ledger",
 )
+add(
+    "position_ledger_blocks",
+    f"{FILL_ID} held avg_price:6",
+    lambda s, d: ledger.position_ledger(enriched(s, d), replace(ledger.POSITION, block_rows=64)),
+    "SELECT * FROM ledger",
+)
 MARK = "account timestamp symbol shares avg_price:6 price:6 market_value:2 unrealized_pnl:2"
 view(
     "marks",
@@ -214,6 +228,14 @@ add(
     """SELECT *, side = 'sell' OR nth <= 3 AS allowed FROM (SELECT *, row_number() OVER
     (PARTITION BY account, CAST(timestamp AS DATE) ORDER BY timestamp, seq) AS nth FROM fills) z""",
 )
+DAY_ORDERS = Series(("account", "_day"), ("timestamp", "seq"), None, ("timestamp", "floor(seq / {rows})"), 16)
+add(
+    "order_cap_blocks",
+    "account timestamp seq side nth allowed",
+    lambda s, d: orders.order_cap(views.fills(s, d), cap=3, series=DAY_ORDERS),
+    """SELECT *, side = 'sell' OR nth <= 3 AS allowed FROM (SELECT *, row_number() OVER
+    (PARTITION BY account, CAST(timestamp AS DATE) ORDER BY timestamp, seq) AS nth FROM fills) z""",
+)
 add(
     "lot_check",
     "account seq shares",
@@ -371,6 +393,31 @@ add(
         (SELECT *, least(greatest((length(symbol) + account % 3) / 10e0 * 0.25e0, 0), 0.2e0) AS w FROM sized) s1) s2) s3
     WHERE delta <> 0 AND shares > 0""",
 )
+
+
+def deltas_of_a_day(s, d):
+    """Some shares were bought today, and one account in four is halted."""
+    share = (F.length("symbol") + F.col("account") % 3) / 10.0
+    bars = candidates(s, d).withColumns({"signal": share, "budget": F.lit(0.25)})
+    held = holdings(s, d)
+    today = held.where(F.col("shares") % 200 == 0).select("account", "symbol", F.lit(100).alias("shares"))
+    halted = accounts(s, d).withColumn("halted", F.col("account") % 4 == 1)
+    return orders.order_delta(bars, held, halted, bought_today=today, rules=RULES)
+
+
+add(
+    "order_delta_t1",
+    "account symbol timestamp desired held side shares price:6",
+    deltas_of_a_day,
+    f"""SELECT *, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side, CAST(CASE WHEN delta > 0 THEN
+      CASE WHEN buy_blocked OR account % 4 = 1 THEN 0 ELSE least(delta, max_shares, cap) END
+      ELSE CASE WHEN sell_blocked THEN 0 ELSE least(-delta, greatest(h - CASE WHEN h % 200 = 0 THEN 100 ELSE 0 END, 0), cap) END
+      END AS BIGINT) AS shares, CAST(h AS BIGINT) AS held
+    FROM (SELECT *, desired - h AS delta, CAST(floor(floor(volume * 0.5e0) / 100) * 100 AS BIGINT) AS cap FROM
+      (SELECT *, {SHARES.format(w='w', e='equity', p='price')} AS desired FROM
+        (SELECT *, least(greatest((length(symbol) + account % 3) / 10e0 * 0.25e0, 0), 0.2e0) AS w FROM sized) s1) s2) s3
+    WHERE delta <> 0 AND shares > 0""",
+)
 LIMITS = market.RiskLimits(stop=0.03, orders=5)
 view(
     "quotes",

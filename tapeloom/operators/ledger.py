@@ -15,8 +15,9 @@ from tapeloom.operators.series import Series, blended, lay_out, running
 from tapeloom.session import settle
 
 ORDER = ("timestamp", "seq")
-# A slot is one fill time and a range of seq values, so one date may hold many slots.
-SLOTS = ("timestamp", "floor(seq / 268435456)")
+# Slots by day, second, time and range of seq, so that neither one of them nor the slots of
+# one parent grow with the account: a slot holds at most as many seq values as a block rows.
+SLOTS = ("to_date(timestamp)", "date_trunc('second', timestamp)", "timestamp", "floor(seq / {rows})")
 ACCOUNT = Series(("account",), ORDER, None, SLOTS)
 POSITION = Series(("account", "symbol"), ORDER, None, SLOTS)
 

@@ -101,14 +101,21 @@ def order_delta(
     return out.where(F.col("shares") > 0)
 
 
-def order_cap(orders: DataFrame, cap: int = 200, order: tuple[str, ...] = ("timestamp", "seq")) -> DataFrame:
+def order_cap(
+    orders: DataFrame,
+    cap: int = 200,
+    order: tuple[str, ...] = ("timestamp", "seq"),
+    series: Series | None = None,
+) -> DataFrame:
     """``nth`` order of the account's day and ``allowed``; the cap blocks buys only.
 
     Counting runs in blocks, so a day of one account need not fit a task.
     """
     tagged = orders.withColumn("_day", F.to_date("timestamp"))
-    slots = tuple(f"floor({c} / 268435456)" if c == "seq" else c for c in order)
-    series = Series(("account", "_day"), order, None, slots)
+    if series is None:
+        nested = {"timestamp": ("date_trunc('second', timestamp)", "timestamp"), "seq": ("floor(seq / {rows})",)}
+        slots = tuple(slot for c in order for slot in nested.get(c, (c,)))
+        series = Series(("account", "_day"), order, None, slots)
     lay = running(lay_out(tagged, series), {"nth": ("sum", F.lit(1))})
     allowed = (F.col("side") == "sell") | (F.col("nth") <= cap)
     return lay.df.select(*orders.columns, F.col("nth").cast("bigint").alias("nth"), allowed.alias("allowed"))

@@ -4,8 +4,10 @@ A daily series holds at most one row per date, so the calendar bounds it (about
 36,500 rows a century) and a plain window per key is safe.  Any other series is cut into
 blocks, at every size:
 
-* rows are counted per (key, time slot) with map-side combining,
-* a running total over the slots (bounded by the calendar) assigns slots to blocks,
+* rows are counted per (key, time slot) with map-side combining; slots can be nested, e.g.
+  day, second, time and range of a sequence number,
+* running totals over the slots assign them to blocks, one level at a time, so that a total
+  runs over the slots of one parent only (the first level is bounded by the calendar),
 * the slots that hold the last ``lookback`` rows before a block are also copied into
   it as a halo, so rolling frames inside the block see their whole history,
 * unbounded frames and exponential averages take a carry, computed from one summary row
@@ -34,7 +36,8 @@ class Series:
     """Identity of a family of ordered series.
 
     ``step`` is the bar interval; ``1d`` declares one row per key and date.  ``slots``
-    are SQL expressions, monotone in ``order``, for series that are not on a bar grid.
+    are SQL expressions, nested and monotone in ``order``, for series that are not on a bar
+    grid; ``{rows}`` in them stands for ``block_rows``.
     """
 
     keys: tuple[str, ...] = ("symbol",)
@@ -52,7 +55,7 @@ class Series:
 
     def slot_columns(self) -> list[Column]:
         if self.slots:
-            return [F.expr(sql) for sql in self.slots]
+            return [F.expr(sql.format(rows=self.block_rows)) for sql in self.slots]
         width = minutes_of(self.step) * SLOT_STEPS if self.step else 1440
         return [F.floor(epoch_minutes(self.order[0]) / width)]
 
@@ -110,18 +113,22 @@ def lay_out(df: DataFrame, series: Series, lookback: int = 0) -> Layout:
         return Layout(df, series, series.keys)
     slots = {f"_slot{i}": c for i, c in enumerate(series.slot_columns())}
     tagged = df.withColumns(slots)
-    by_key = Window.partitionBy(*series.keys)
+    keys, names = series.keys, list(slots)
+    counts = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.groupBy(*keys).agg(F.max("_n").alias("_most"))
+    plan, seen = counts, F.col("_n")
+    for i, name in enumerate(names):
+        total = Window.partitionBy(*keys, *names[:i]).orderBy(name)
+        if i == len(names) - 1:
+            plan = plan.withColumn(f"_off{i}", F.sum("_n").over(total) - F.col("_n"))
+        else:
+            level = counts.groupBy(*keys, *names[: i + 1]).agg(F.sum("_n").alias("_m"))
+            level = level.withColumn(f"_off{i}", F.sum("_m").over(total) - F.col("_m")).drop("_m")
+            plan = plan.join(level, [*keys, *names[: i + 1]])
+        seen = seen + F.col(f"_off{i}")
     plan = (
-        tagged.groupBy(*series.keys, *slots)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns(
-            {
-                "_seen": F.sum("_n").over(by_key.orderBy(*slots)),
-                "_size": F.greatest(
-                    F.lit(max(series.block_rows, lookback)), F.max("_n").over(by_key)
-                ),
-            }
-        )
+        plan.join(largest, list(keys))
+        .withColumns({"_seen": seen, "_size": F.greatest(F.lit(max(series.block_rows, lookback)), "_most")})
         .withColumn(BLOCK, F.floor((F.col("_seen") - F.col("_n")) / F.col("_size")))
     )
     if lookback:
