@@ -15,13 +15,15 @@ Classes.  Equal multisets are one node from the start, whatever the number of co
 that agree in a band of the signature share a bucket.  In every bucket all members are
 verified against its leader, the member with the largest buckets, which is what a group of
 copies has in common; linked nodes are joined.  Where a bucket still holds several
-components, the members of different components are compared by their signatures and the
-similar pairs verified as well, so no link is lost to the choice of leaders; members already
-connected are not compared, so a group of copies does not turn into all its pairs.
+components, members outside the largest one are compared with those of other components, in
+parts of bounded size: by their signatures, and by what their exact overlaps with the leader
+leave possible.  The few pairs that stay are verified as well, so no link is lost to the
+choice of leaders; members already connected are not compared, and pairs are not written out
+before both tests.
 
 Verification is exact, on the whole texts.  Two documents of similarity 0.8 share a band
 with a probability of 0.99995, and agree in less than ``LEAST_AGREEING`` slots with one below
-1e-7.  A node is named by 64 bits of its multiset.
+1e-5.  A node is named by 64 bits of its multiset.
 
 Defined results: documents with fewer than five words have one shingle of all of them;
 documents without a word (or null) are each alone, class_id their own id; the class id is
@@ -45,7 +47,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-LEAST_AGREEING = 75
+LEAST_AGREEING = 80
+#: Members of a bucket that are compared in one task, on either side.
+PART = 1500
 CACHE_WORDS = 400_000
 #: Shingles handled in one vectorised step, about 100 bytes each.
 AT_ONCE = 250_000
@@ -192,7 +196,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts overlap enough."""
+    """a, b, overlap, size_a, size_b (shingles) and linked, from the whole texts of the pairs."""
 
     @F.arrow_udf("binary")
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -205,14 +209,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         last: tuple[int, tuple] | None = None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = []
-            for i, (x, own, other) in enumerate(zip(b, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            out: list[list] = [[], [], [], []]
+            for x, own, other in zip(b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if last is None or last[0] != x:  # pairs of one leader come together
                     last = (x, multiset(press.decompress(other), cache))
-                overlap, union = similarity(multiset(press.decompress(own), cache), last[1])
-                if overlap >= SIMILARITY * union - 1e-9:
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.int64()) for c in (a, b)], ["a", "b"])
+                bag = multiset(press.decompress(own), cache)
+                overlap, union = similarity(bag, last[1])
+                for column, value in zip(out, (overlap, int(bag[1].sum()), int(last[1][1].sum()), overlap >= SIMILARITY * union - 1e-9)):
+                    column.append(value)
+            columns = [pa.array(c, pa.int64()) for c in (a, b, *out[:3])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out[3], pa.bool_())], ["a", "b", "overlap", "size_a", "size_b", "linked"])
 
     needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     chosen = nodes.join(needed, "node").select("node", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
@@ -221,7 +227,59 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = packed.join(chosen, same).groupBy("node").agg(F.max("packed").alias("packed"))
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(verify, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(
+        verify, "a bigint, b bigint, overlap bigint, size_a bigint, size_b bigint, linked boolean"
+    )
+
+
+def _open_pairs(rows: pa.Table) -> pa.Table:
+    """Pairs of a straggler and a member of another component that can still be links.
+
+    With overlaps o and rests r (size less overlap) towards the leader, two multisets share
+    at most min(o, o') + min(r, r').
+    """
+    column = {name: rows.column(name).to_numpy() for name in ("node", "root", "band", "own", "size", "overlap", "straggler")}
+    signature = np.array(rows.column("signature").to_pylist(), np.int32).reshape(-1, SLOTS)
+    left, right = np.flatnonzero(column["straggler"] & column["own"]), np.flatnonzero(~column["own"])
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in left:
+        x, y = column["node"][i], column["node"][right]
+        other = right[(column["root"][right] != column["root"][i]) & (y != x) & (~column["straggler"][right] | (x < y))]
+        agree = signature[other] == signature[i]
+        near = agree.sum(1) >= LEAST_AGREEING
+        other, agree = other[near], agree[near]
+        # Each pair in the first of its shared bands only.
+        other = other[agree.reshape(-1, BANDS, ROWS).all(2).argmax(1) == column["band"][i]]
+        size, overlap = column["size"], column["overlap"]
+        most = np.minimum(overlap[other], overlap[i]) + np.minimum(size[other] - overlap[other], size[i] - overlap[i])
+        unknown = (overlap[other] < 0) | (overlap[i] < 0)
+        other = other[unknown | (most >= SIMILARITY * (size[other] + size[i] - most) - 1e-9)]
+        pairs.append((np.full(len(other), x), column["node"][other]))
+    a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _between_components(placed: DataFrame, tried: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components of a bucket whose link the leaders leave open."""
+    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    split = split.where("roots > 1 AND n > 2").select(
+        "bucket", F.col("main.root").alias("main_root"),
+        F.ceil(F.col("n") / PART).cast("int").alias("m"), F.ceil((F.col("n") - F.col("main.n")) / PART).cast("int").alias("k"),
+    )
+    known = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "overlap", F.col("size_a").alias("size"))
+    rest = placed.where("node <> leader").join(split, "bucket").withColumn("straggler", F.col("root") != F.col("main_root"))
+    rest = rest.join(known, (F.col("node") == F.col("_a")) & (F.col("leader") == F.col("_b")), "left").drop("_a", "_b")
+    rest = rest.withColumns({"overlap": F.coalesce("overlap", F.lit(-1)), "size": F.coalesce("size", F.lit(0))})
+    # Members stand in one part each, stragglers meet every part, in parts of their own.
+    place = F.xxhash64("node")
+    members = rest.withColumns({"own": F.lit(False), "i": F.pmod(place, "m").cast("int")})
+    members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    stragglers = rest.where("straggler").withColumns({"own": F.lit(True), "j": F.pmod(place, "k").cast("int")})
+    stragglers = stragglers.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    columns = ["bucket", "i", "j", "node", "root", "band", "own", "size", "overlap", "straggler"]
+    both = members.select(columns).unionAll(stragglers.select(columns)).join(nodes.select("node", "signature"), "node")
+    return both.groupBy("bucket", "i", "j").applyInArrow(_open_pairs, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,31 +315,24 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     nodes = settle(nodes)
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.slice("signature", i * ROWS + 1, ROWS))).alias("band", "part")
-    bands = nodes.select("node", band).select("node", F.xxhash64("band", "part").alias("bucket"))
+    bands = nodes.select("node", band).select("node", "band", F.xxhash64("band", "part").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = settle(bands.join(shared, "bucket"))
     score = members.groupBy("node").agg(F.sum("size").alias("score"))
     leaders = members.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("best")).select("bucket", F.col("best.node").alias("leader"))
-    stars = members.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    near = settle(_similar(stars, nodes))
-    links = settle(_verified(near, nodes, docs))
+    placed = settle(members.join(leaders, "bucket").select("bucket", "band", "node", "leader"))
+    stars = placed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    tried = settle(_verified(settle(_similar(stars, nodes)), nodes, docs))
+    links = tried.where("linked").select("a", "b")
     joined = components(links)
 
     # What the leaders have not connected: other pairs of a bucket, of different components.
-    placed = members.join(leaders, "bucket").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.first("size").alias("n")).where("r0 <> r1 AND n > 2").select("bucket")
-    rest = placed.where("node <> leader").join(split, "bucket").join(nodes.select("node", "signature"), "node")
-    rest = settle(rest.select("bucket", "node", "root", "signature"))
-    if rest.head(1):
-        x, y = (rest.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "signature")]) for side in "xy")
-        apart = (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y"))
-        alike = _agreeing(F.col("signature_x"), F.col("signature_y")) >= LEAST_AGREEING
-        on = (F.col("l.bucket") == F.col("r.bucket")) & apart & alike
-        pairs = settle(x.alias("l").join(y.alias("r"), on).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
-        if pairs.head(1):
-            more = settle(_verified(pairs, nodes, docs))
-            if more.head(1):
-                joined = components(links.unionAll(more))
+    rooted = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = settle(_between_components(rooted, tried, nodes))
+    if pairs.head(1):
+        more = settle(_verified(pairs, nodes, docs)).where("linked").select("a", "b")
+        if more.head(1):
+            joined = components(links.unionAll(more))
 
     of_node = nodes.select("node", "least_id").join(joined, "node", "left").withColumn("class_key", F.coalesce("root", "node"))
     ids = of_node.groupBy("class_key").agg(F.min("least_id").alias("class_id"))
