@@ -16,8 +16,8 @@ that agree in a band of the signature share a bucket.  In every bucket all membe
 verified against its leader, the member with the largest buckets, which is what a group of
 copies has in common; linked nodes are joined.  Where a bucket still holds several
 components, members outside the largest one are compared with those of other components, in
-parts of bounded size: by their signatures, and by what their exact overlaps with the leader
-leave possible.  The few pairs that stay are verified as well, so no link is lost to the
+parts of bounded size: by their signatures, and by bitmaps of their shingles, which bound the
+overlap from above.  The few pairs that stay are verified as well, so no link is lost to the
 choice of leaders; members already connected are not compared, and pairs are not written out
 before both tests.
 
@@ -47,7 +47,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-LEAST_AGREEING = 80
+LEAST_AGREEING = 78
+#: Bits of the bitmap of a document's shingles; it bounds overlaps well up to about as many shingles.
+BITS = 4096
 #: Members of a bucket that are compared in one task, on either side.
 PART = 1500
 CACHE_WORDS = 400_000
@@ -195,8 +197,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_agreeing(F.col("sa"), F.col("sb")) >= LEAST_AGREEING).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, overlap, size_a, size_b (shingles) and linked, from the whole texts of the pairs."""
+def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and packed, the compressed text of one document of each of the nodes."""
 
     @F.arrow_udf("binary")
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -204,41 +206,61 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.array([press.compress((t or "").encode("utf-8", "replace")) for t in batch.to_pylist()], pa.binary())
 
+    chosen = nodes.join(needed.distinct(), "node").select("node", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
+    packed = docs.select("doc_id", "text_hash", pack("text").alias("packed"))
+    same = packed["doc_id"].eqNullSafe(chosen["d"]) & (packed["text_hash"] == chosen["h"])
+    return packed.join(chosen, same).groupBy("node").agg(F.max("packed").alias("packed"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts overlap enough."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, press = word_hashes(), zstandard.ZstdDecompressor()
         last: tuple[int, tuple] | None = None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[list] = [[], [], [], []]
-            for x, own, other in zip(b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            good = []
+            for i, (x, own, other) in enumerate(zip(b, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 if last is None or last[0] != x:  # pairs of one leader come together
                     last = (x, multiset(press.decompress(other), cache))
-                bag = multiset(press.decompress(own), cache)
-                overlap, union = similarity(bag, last[1])
-                for column, value in zip(out, (overlap, int(bag[1].sum()), int(last[1][1].sum()), overlap >= SIMILARITY * union - 1e-9)):
-                    column.append(value)
-            columns = [pa.array(c, pa.int64()) for c in (a, b, *out[:3])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out[3], pa.bool_())], ["a", "b", "overlap", "size_a", "size_b", "linked"])
-
-    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.join(needed, "node").select("node", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    packed = docs.select("doc_id", "text_hash", pack("text").alias("packed"))
-    same = packed["doc_id"].eqNullSafe(chosen["d"]) & (packed["text_hash"] == chosen["h"])
-    texts = packed.join(chosen, same).groupBy("node").agg(F.max("packed").alias("packed"))
+                overlap, union = similarity(multiset(press.decompress(own), cache), last[1])
+                if overlap >= SIMILARITY * union - 1e-9:
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    texts = _texts(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))), nodes, docs)
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(
-        verify, "a bigint, b bigint, overlap bigint, size_a bigint, size_b bigint, linked boolean"
-    )
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(verify, "a bigint, b bigint")
+
+
+def _bitmaps(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, size (shingles) and bitmap (a bit per distinct shingle) of the nodes."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, press = word_hashes(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            sizes, bitmaps = [], []
+            for packed in batch.column(1).to_pylist():
+                shingles, counts = multiset(press.decompress(packed), cache)
+                bits = np.zeros(BITS, np.uint8)
+                bits[(shingles % np.uint64(BITS)).astype(np.int64)] = 1
+                sizes.append(int(counts.sum()))
+                bitmaps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary())], ["node", "size", "bitmap"])
+
+    return _texts(needed, nodes, docs).mapInArrow(draw, "node bigint, size bigint, bitmap binary")
 
 
 def _open_pairs(rows: pa.Table) -> pa.Table:
     """Pairs of a straggler and a member of another component that can still be links.
 
-    With overlaps o and rests r (size less overlap) towards the leader, two multisets share
-    at most min(o, o') + min(r, r').
+    Every bit that only one of two bitmaps has stands for a shingle that the other document
+    lacks, so the overlap is at most the size less the number of such bits.
     """
-    column = {name: rows.column(name).to_numpy() for name in ("node", "root", "band", "own", "size", "overlap", "straggler")}
+    column = {name: rows.column(name).to_numpy() for name in ("node", "root", "band", "own", "size", "straggler")}
+    bitmap = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
     signature = np.array(rows.column("signature").to_pylist(), np.int32).reshape(-1, SLOTS)
     left, right = np.flatnonzero(column["straggler"] & column["own"]), np.flatnonzero(~column["own"])
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -250,16 +272,18 @@ def _open_pairs(rows: pa.Table) -> pa.Table:
         other, agree = other[near], agree[near]
         # Each pair in the first of its shared bands only.
         other = other[agree.reshape(-1, BANDS, ROWS).all(2).argmax(1) == column["band"][i]]
-        size, overlap = column["size"], column["overlap"]
-        most = np.minimum(overlap[other], overlap[i]) + np.minimum(size[other] - overlap[other], size[i] - overlap[i])
-        unknown = (overlap[other] < 0) | (overlap[i] < 0)
-        other = other[unknown | (most >= SIMILARITY * (size[other] + size[i] - most) - 1e-9)]
+        size = column["size"]
+        most = np.minimum(
+            size[i] - np.bitwise_count(bitmap[i] & ~bitmap[other]).sum(1, dtype=np.int64),
+            size[other] - np.bitwise_count(bitmap[other] & ~bitmap[i]).sum(1, dtype=np.int64),
+        )
+        other = other[most >= SIMILARITY * (size[other] + size[i] - most) - 1e-9]
         pairs.append((np.full(len(other), x), column["node"][other]))
     a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _between_components(placed: DataFrame, tried: DataFrame, nodes: DataFrame) -> DataFrame:
+def _between_components(placed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components of a bucket whose link the leaders leave open."""
     by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots"))
@@ -267,18 +291,17 @@ def _between_components(placed: DataFrame, tried: DataFrame, nodes: DataFrame) -
         "bucket", F.col("main.root").alias("main_root"),
         F.ceil(F.col("n") / PART).cast("int").alias("m"), F.ceil((F.col("n") - F.col("main.n")) / PART).cast("int").alias("k"),
     )
-    known = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "overlap", F.col("size_a").alias("size"))
     rest = placed.where("node <> leader").join(split, "bucket").withColumn("straggler", F.col("root") != F.col("main_root"))
-    rest = rest.join(known, (F.col("node") == F.col("_a")) & (F.col("leader") == F.col("_b")), "left").drop("_a", "_b")
-    rest = rest.withColumns({"overlap": F.coalesce("overlap", F.lit(-1)), "size": F.coalesce("size", F.lit(0))})
+    rest = settle(rest)
+    known = _bitmaps(rest.select("node"), nodes, docs).join(nodes.select("node", "signature"), "node")
     # Members stand in one part each, stragglers meet every part, in parts of their own.
     place = F.xxhash64("node")
     members = rest.withColumns({"own": F.lit(False), "i": F.pmod(place, "m").cast("int")})
     members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     stragglers = rest.where("straggler").withColumns({"own": F.lit(True), "j": F.pmod(place, "k").cast("int")})
     stragglers = stragglers.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    columns = ["bucket", "i", "j", "node", "root", "band", "own", "size", "overlap", "straggler"]
-    both = members.select(columns).unionAll(stragglers.select(columns)).join(nodes.select("node", "signature"), "node")
+    columns = ["bucket", "i", "j", "node", "root", "band", "own", "straggler"]
+    both = members.select(columns).unionAll(stragglers.select(columns)).join(known, "node")
     return both.groupBy("bucket", "i", "j").applyInArrow(_open_pairs, "a bigint, b bigint").distinct()
 
 
@@ -322,15 +345,14 @@ def classes(docs: DataFrame) -> DataFrame:
     leaders = members.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("best")).select("bucket", F.col("best.node").alias("leader"))
     placed = settle(members.join(leaders, "bucket").select("bucket", "band", "node", "leader"))
     stars = placed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    tried = settle(_verified(settle(_similar(stars, nodes)), nodes, docs))
-    links = tried.where("linked").select("a", "b")
+    links = settle(_verified(settle(_similar(stars, nodes)), nodes, docs))
     joined = components(links)
 
     # What the leaders have not connected: other pairs of a bucket, of different components.
     rooted = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = settle(_between_components(rooted, tried, nodes))
+    pairs = settle(_between_components(rooted, nodes, docs))
     if pairs.head(1):
-        more = settle(_verified(pairs, nodes, docs)).where("linked").select("a", "b")
+        more = settle(_verified(pairs, nodes, docs))
         if more.head(1):
             joined = components(links.unionAll(more))
 
