@@ -249,6 +249,28 @@ add(
 )
 add("sweep", f"spec symbol {GROWTH}", _swept, "SELECT * FROM sweep_stats")
 
+SETTINGS = {
+    "early": ({"universe": ["600519", "000001", "FAKE001"], "end": "1998-01-01"}, "symbol IN ('600519', '000001', 'FAKE001') AND timestamp < '1998-01-01'"),
+    "late": ({"start": "1997-07-01", "interval": "1d"}, "timestamp >= '1997-07-01'"),
+}
+
+
+def _windows(s, d):
+    chosen = [sweep.param_grid(s, "sma_cross", constants=fixed, label=name, fast=[5], slow=[30]) for name, (fixed, _) in SETTINGS.items()]
+    chosen = reduce(DataFrame.unionByName, chosen)
+    stats = with_growth(sweep.sweep(views.bars_daily(s, d), chosen))
+    return stats.join(chosen.select("spec_key", F.col("label").alias("spec")), "spec_key")
+
+
+for name, (_, condition) in SETTINGS.items():
+    view(f"means_{name}", f"SELECT *, {rolling('avg', 'close', 5)} AS m5, {rolling('avg', 'close', 30)} AS m30 FROM bars_daily WHERE {condition}")
+WINDOW_TARGETS = " UNION ALL ".join(
+    f"SELECT '{name}' AS spec, symbol, timestamp, close, CASE WHEN m5 > m30 THEN 1e0 ELSE 0e0 END AS target FROM means_{name}"
+    for name in SETTINGS
+)
+view("bt_windows", backtest_sql(WINDOW_TARGETS, "spec, symbol"))
+add("sweep_windows", f"spec symbol {GROWTH}", _windows, stats_sql("bt_windows", "spec, symbol"))
+
 
 def _failures(s, d):
     chosen = specs(s, failing=True)

@@ -32,8 +32,6 @@ FAMILIES: dict[str, dict[str, float]] = {
     "rsi_reversion": {"window": 14, "low": 30, "high": 70},
     "scaled_rsi": {"window": 14, "low": 30, "high": 70},
 }
-# Specs are small rows; up to this many the counted list is broadcast.
-BROADCAST_SPECS = 100_000
 WINDOWED = {"sma_cross": ("fast", "slow"), "rsi_reversion": ("window",), "scaled_rsi": ("window",)}
 
 
@@ -122,37 +120,74 @@ def _raw_target(families: set[str]) -> Column:
     return out
 
 
+def _constants(text: str | None) -> dict:
+    return json.loads(text) if text else {}
+
+
+Setting = tuple[tuple[str, ...] | None, str | None, str | None, str | None]
+
+
+def _setting(text: str | None) -> Setting:
+    """(universe, start, end, interval) of a spec."""
+    fixed = _constants(text)
+    universe = fixed.get("universe")
+    return (None if universe is None else tuple(universe), fixed.get("start"), fixed.get("end"), fixed.get("interval"))
+
+
+def _taken(setting: Setting, columns: Sequence[str]) -> Column:
+    """Whether a bar belongs to the data of a setting."""
+    universe, start, end, interval = setting
+    out = F.lit(True)
+    if universe is not None:
+        out = out & F.col("symbol").isin(list(universe))
+    if start is not None:
+        out = out & (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        out = out & (F.col("timestamp") < F.lit(end).cast("timestamp_ntz"))
+    if interval is not None and "interval" in columns:
+        out = out & (F.col("interval") == interval)
+    return out
+
+
 def sweep_backtest(
     df: DataFrame, specs: DataFrame, costs: CostModel = CostModel(), series: Series = DAILY
 ) -> DataFrame:
     """Backtest frames of all runnable specs, keyed by (spec_key, symbol).
 
-    Each distinct window is computed once per bar and looked up per spec.  The backtest then
-    runs per (spec_key, symbol) inside the partitioning the indicators already have.
+    A spec's ``constants`` can set ``universe`` (symbols), ``start`` and ``end`` (half-open),
+    ``interval`` and ``costs`` (fields of the cost model).  Each distinct window is computed
+    once per bar and setting and looked up per spec; the backtest runs per (spec_key, symbol).
     """
     runnable = sweep_failures(specs).where(F.col("error").isNull())
-    # Specs are what the caller typed; the driver reads them to know the window lengths.
-    chosen = runnable.select("spec_key", "strategy", "params").collect()
+    # Specs are what the caller typed; the driver reads them to know windows and settings.
+    chosen = runnable.select("spec_key", "strategy", "params", "constants").collect()
+    settings = [_setting(row.constants) for row in chosen]
+    distinct = list(dict.fromkeys(settings))
+    rows = []
+    for row, setting in zip(chosen, settings):
+        own = replace(costs, **_constants(row.constants).get("costs", {}))
+        rates = (own.commission + own.transfer + own.slippage, own.stamp)
+        rows.append((distinct.index(setting), row.spec_key, row.strategy, row.params, *map(float, rates)))
     numbered = df.sparkSession.createDataFrame(
-        [(n, *row) for n, row in enumerate(chosen)],
-        "_spec int, spec_key string, strategy string, params map<string, double>",
+        rows,
+        "_setting int, spec_key string, strategy string, params map<string, double>, _both double, _stamp double",
     )
     means, strengths = _window_lengths(chosen)
     wanted: list[Indicator] = [sma(window=n).named(f"_m{n}") for n in means]
     wanted += [rsi(window=n).named(f"_r{n}") for n in strengths]
-    panel = with_indicators(df, wanted, series) if wanted else df
+    # Every bar once per setting that takes it, so that warm-up starts where the setting does.
+    marks = [F.when(_taken(setting, df.columns), F.lit(n)) for n, setting in enumerate(distinct)]
+    taken = F.array_compact(F.array(*marks)) if marks else F.array().cast("array<int>")
+    bars = df.withColumn("_setting", F.explode(taken))
+    panel = with_indicators(bars, wanted, series.by(("_setting", *series.keys))) if wanted else bars
 
     def lookup(prefix: str, windows: list[int], length: Column) -> Column:
-        out = F.lit(None).cast("double")
-        for n in windows:
-            out = F.when(length == n, F.col(f"{prefix}{n}")).otherwise(out)
-        return out
-
-    # Every bar is repeated once per spec, by number.
-    if len(chosen) <= BROADCAST_SPECS:
-        numbered = F.broadcast(numbered)
-    ids = F.sequence(F.lit(0), F.lit(len(chosen) - 1)) if chosen else F.array().cast("array<int>")
-    fanned = panel.withColumn("_spec", F.explode(ids)).join(numbered, "_spec").withColumns(
+        if not windows:
+            return F.lit(None).cast("double")
+        pairs = [x for n in windows for x in (F.lit(n), F.col(f"{prefix}{n}"))]
+        return F.try_element_at(F.create_map(*pairs), length.cast("int"))
+
+    fanned = panel.join(numbered, "_setting").withColumns(
         {
             "_fast": lookup("_m", means, _param("fast", 10)),
             "_slow": lookup("_m", means, _param("slow", 30)),
@@ -160,14 +195,16 @@ def sweep_backtest(
         }
     )
     fanned = fanned.withColumn("_raw", _raw_target(set(FAMILIES)))
-    fanned = fanned.select(*df.columns, "spec_key", "_raw")
+    # Partitioned anew: by symbol alone, all specs of a symbol would share a task.
+    fanned = fanned.select(*df.columns, "spec_key", "_raw", "_both", "_stamp").repartition("spec_key", *series.keys)
     lay = lay_out(fanned, series.by(("spec_key", *series.keys)), 2)
     lags = {f"_t{a}": lay.lag("_raw", a) for a in (1, 2)}
     lay = lay.with_levels([{**lags, "asset_ret": ieee_div("close", lay.lag("close")) - 1}])
     names = {"target": "_raw", "held": "_t1", "_before": "_t2"}
     lay = running(lay, {n: ("last", F.col(src)) for n, src in names.items()})
     rows = lay.df.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
-    rows = rows.withColumn("cost", costs.turnover_cost("held", "_before"))
+    sold = F.greatest(F.col("_before") - F.col("held"), F.lit(0.0))
+    rows = rows.withColumn("cost", F.abs(F.col("held") - F.col("_before")) * F.col("_both") + sold * F.col("_stamp"))
     gain = F.col("held") * F.coalesce("asset_ret", F.lit(0.0)) - F.col("cost")
     rows = rows.withColumn("ret", gain)
     lay = running(replace(lay, df=rows), {"equity": ("product", 1 + F.col("ret"))})
