@@ -47,8 +47,6 @@ def epoch_ns(ts: str = "timestamp") -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), F.col(ts)) * 1000
 
 
-
-
 def telemetry_log(
     equity: DataFrame, marks: DataFrame, df: DataFrame, fills: DataFrame, series: Series = DAILY
 ) -> DataFrame:
