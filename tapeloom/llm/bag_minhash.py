@@ -197,22 +197,35 @@ def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_agreeing(F.col("sa"), F.col("sb")) >= LEAST_AGREEING).select("a", "b")
 
 
-def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and packed, the compressed text of one document of each of the nodes."""
-
+def _pack(text: Column) -> Column:
     @F.arrow_udf("binary")
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.array([press.compress((t or "").encode("utf-8", "replace")) for t in batch.to_pylist()], pa.binary())
+            yield pa.array([None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.to_pylist()], pa.binary())
+
+    return pack(text)
+
+
+def _unpack(packed: Column) -> Column:
+    @F.arrow_udf("string")
+    def unpack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            yield pa.array([None if t is None else press.decompress(t).decode("utf-8", "surrogatepass") for t in batch.to_pylist()], pa.string())
 
+    return unpack(packed)
+
+
+def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and packed, the compressed text of one document of each of the nodes."""
     chosen = nodes.join(needed.distinct(), "node").select("node", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    packed = docs.select("doc_id", "text_hash", pack("text").alias("packed"))
+    packed = docs.where("text IS NOT NULL").select("doc_id", "text_hash", _pack(F.col("text")).alias("packed"))
     same = packed["doc_id"].eqNullSafe(chosen["d"]) & (packed["text_hash"] == chosen["h"])
     return packed.join(chosen, same).groupBy("node").agg(F.max("packed").alias("packed"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts overlap enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +242,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.int64()) for c in (a, b)], ["a", "b"])
 
-    texts = _texts(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))), nodes, docs)
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(verify, "a bigint, b bigint")
 
 
-def _bitmaps(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _bitmaps(needed: DataFrame, texts: DataFrame) -> DataFrame:
     """node, size (shingles) and bitmap (a bit per distinct shingle) of the nodes."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +262,7 @@ def _bitmaps(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 bitmaps.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary())], ["node", "size", "bitmap"])
 
-    return _texts(needed, nodes, docs).mapInArrow(draw, "node bigint, size bigint, bitmap binary")
+    return texts.join(needed.distinct(), "node").mapInArrow(draw, "node bigint, size bigint, bitmap binary")
 
 
 def _open_pairs(rows: pa.Table) -> pa.Table:
@@ -283,7 +295,7 @@ def _open_pairs(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _between_components(placed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _between_components(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components of a bucket whose link the leaders leave open."""
     by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots"))
@@ -293,7 +305,7 @@ def _between_components(placed: DataFrame, nodes: DataFrame, docs: DataFrame) ->
     )
     rest = placed.where("node <> leader").join(split, "bucket").withColumn("straggler", F.col("root") != F.col("main_root"))
     rest = settle(rest)
-    known = _bitmaps(rest.select("node"), nodes, docs).join(nodes.select("node", "signature"), "node")
+    known = _bitmaps(rest.select("node"), texts).join(nodes.select("node", "signature"), "node")
     # Members stand in one part each, stragglers meet every part, in parts of their own.
     place = F.xxhash64("node")
     members = rest.withColumns({"own": F.lit(False), "i": F.pmod(place, "m").cast("int")})
@@ -345,14 +357,17 @@ def classes(docs: DataFrame) -> DataFrame:
     leaders = members.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("best")).select("bucket", F.col("best.node").alias("leader"))
     placed = settle(members.join(leaders, "bucket").select("bucket", "band", "node", "leader"))
     stars = placed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = settle(_verified(settle(_similar(stars, nodes)), nodes, docs))
+    near = settle(_similar(stars, nodes))
+    # All further steps read the texts of documents that share a bucket, moved once.
+    texts = settle(_texts(placed.select("node"), nodes, docs))
+    links = settle(_verified(near, texts))
     joined = components(links)
 
     # What the leaders have not connected: other pairs of a bucket, of different components.
     rooted = placed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = settle(_between_components(rooted, nodes, docs))
+    pairs = settle(_between_components(rooted, nodes, texts))
     if pairs.head(1):
-        more = settle(_verified(pairs, nodes, docs))
+        more = settle(_verified(pairs, texts))
         if more.head(1):
             joined = components(links.unionAll(more))
 
@@ -376,9 +391,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     with the least hash of its text, and one of equal rows.  Documents without a word stay.
     """
     found = settle(classes(docs))
-    least = found.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("row")
-    wordless = found.where("class_key IS NULL").select(F.struct("doc_id", "text_hash").alias("row")).distinct()
-    stays = least.unionAll(wordless).select(F.col("row.doc_id").alias("_stay_id"), F.col("row.text_hash").alias("_stay_hash"))
-    keyed = docs.withColumn("_row_hash", F.xxhash64(F.col("text").cast("string")))
-    same = keyed["doc_id"].cast("bigint").eqNullSafe(stays["_stay_id"]) & (keyed["_row_hash"] == stays["_stay_hash"])
-    return keyed.join(stays, same).drop("_stay_id", "_stay_hash").dropDuplicates(["doc_id", "_row_hash"]).drop("_row_hash")
+    rows = found.groupBy("class_key", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    row = F.struct("doc_id", "text_hash", "times").alias("row")
+    least = rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(row).alias("row")).select("row")
+    stays = least.unionAll(rows.where("class_key IS NULL").select(row))
+    stays = stays.select(F.col("row.doc_id").alias("_stay_id"), F.col("row.text_hash").alias("_stay_hash"), F.col("row.times").alias("_times"))
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_row_hash": F.xxhash64(text), "text": _pack(text)})
+
+    def staying(which: DataFrame) -> DataFrame:
+        same = keyed["doc_id"].cast("bigint").eqNullSafe(which["_stay_id"]) & (keyed["_row_hash"] == which["_stay_hash"])
+        return keyed.join(which, same).drop("_stay_id", "_stay_hash", "_times")
+
+    once = staying(stays.where("_times = 1"))
+    again = staying(stays.where("_times > 1")).dropDuplicates(["doc_id", "_row_hash"])
+    return once.unionAll(again).drop("_row_hash").withColumn("text", _unpack(F.col("text"))).select(docs.columns)
