@@ -141,16 +141,15 @@ class Index:
         out = []
         for k in np.nonzero((times > 0).sum(axis=0) >= self.needs)[0].tolist():
             held = order[times[order, k] > 0]
-            # A pair counts no more often in a span than the items hold it.
+            # A pair counts no more often in a window than the items hold it: it counts in the windows
+            # that reach it and start after its times-th predecessor of the same pair.
             back = np.arange(len(held)) - times[held, k]
             earlier = held[np.maximum(back, 0)]
-            again = (back >= 0) & (place[earlier] == place[held]) & (near[held] - near[earlier] < self.spans[k] - 1)
-            total = np.zeros(len(code) + 1, np.int64)
-            total[near[held[~again]] + 1] = 1
-            total = np.cumsum(total)  # total[i]: pairs that start before word i
-            starts = np.arange(len(code))
-            ends = np.minimum(starts + int(self.spans[k]) - 1, len(code))
-            out.append((int(self.lengths[k]), starts[total[ends] - total[starts] >= self.needs[k]]))
+            after = np.where((back >= 0) & (place[earlier] == place[held]), near[earlier] + 1, 0)
+            first = np.maximum(after, near[held] - int(self.spans[k]) + 2)
+            change = np.bincount(first, minlength=len(code) + 1) - np.bincount(near[held] + 1, minlength=len(code) + 1)
+            total = np.cumsum(change)[:-1]  # total[i]: pairs that count in the window from word i
+            out.append((int(self.lengths[k]), np.nonzero(total >= self.needs[k])[0]))
         return [(n, starts) for n, starts in out if len(starts)]
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:

@@ -225,3 +225,32 @@ def test_items_in_several_blocks(spark, monkeypatch):
     got = sorted((x.doc_id, x.item_id) for x in benchmark_decontamination.contaminated(docs, items).collect())
     assert got == [(i, i) for i in range(5)]
     assert benchmark_decontamination.uncontaminated(docs, items).count() == 0
+
+
+@pytest.mark.parametrize("length, before", [(50, 35), (20, 14), (30, 21), (80, 56), (10, 7)])
+@pytest.mark.parametrize("between", [0, 5, 20])
+def test_leaks_after_a_part_of_themselves(length, before, between):
+    item = cases.prose(31, length).replace(".", "").split()
+    index = benchmark_decontamination.Index([1], [[w.encode() for w in item]])
+    text = " ".join(item[:before] + cases.prose(32, between).split() + item)
+    assert index.matches([text]) == [[(1, before + between, length, 0)]]
+
+
+def test_filter_counts_pairs_per_window():
+    r = random.Random(6)
+    items = [[r.choice([b"a", b"b", b"c", b"d"]) for _ in range(r.choice([6, 9, 15]))] for _ in range(5)]
+    index = benchmark_decontamination.Index(list(range(5)), items)
+    code = np.array([r.randrange(index.base) for _ in range(400)], np.int64)
+    kept = dict((n, set(s.tolist())) for n, s in index.windows(code))
+    for n in index.lengths.tolist():
+        d = benchmark_decontamination.slack(n)
+        most: dict = {}
+        for t in index.coded:
+            if len(t) == n:
+                pairs = list(zip(t.tolist(), t.tolist()[1:]))
+                most |= {p: max(most.get(p, 0), pairs.count(p)) for p in pairs}
+        for start in range(len(code)):
+            window = code[start : start + n + d].tolist()
+            pairs = list(zip(window, window[1:]))
+            shared = sum(min(pairs.count(p), most.get(p, 0)) for p in set(pairs))
+            assert (start in kept.get(n, set())) == (shared >= max(1, n - 1 - 2 * d))
