@@ -166,20 +166,29 @@ def stream_scan(
 ) -> StreamingQuery:
     """After every micro-batch: merge its bars into the table, then write the order sheet.
 
-    The sheet sees bars of ``interval`` only, and of these the months that reach back
-    ``history_days`` from the newest bar of the batch (four times the calendar days that
-    ``lookback`` bars take, if not given); the other partitions are not read.
+    The sheet is that of the whole table.  Bars of ``interval`` are read from the months that
+    reach back ``history_days`` from the newest bar of the batch (four times the calendar days
+    that ``lookback`` bars take, if not given).  The months before are read only when a symbol
+    of ``universe`` or ``holdings`` has fewer than ``lookback`` bars there, for such symbols.
     """
     per_day = 1 if interval == "1d" else SESSION_MINUTES // minutes_of(interval)
     days = 4 * max(1, lookback // per_day) + 31 if history_days is None else history_days
+    watched = universe.select("symbol").union(holdings.select("symbol")).distinct()
 
     def scan(batch: DataFrame, batch_id: int) -> None:
         merge_into(batch, batch_id, table_path, checkpoint)
+        table = batch.sparkSession.read.parquet(table_path)
         newest = batch.where(F.col("interval") == interval).agg(F.max("timestamp")).first()[0]
         start = None if newest is None else newest - timedelta(days=days)
-        bars = read_bars(batch.sparkSession.read.parquet(table_path), interval=interval, start=start, ordered=False)
+        bars = read_bars(table, interval=interval, start=start, ordered=False)
+        short = watched.join(bars.groupBy("symbol").count(), "symbol", "left")
+        short = short.where(F.coalesce("count", F.lit(0)) < lookback).select("symbol").persist()
+        if start is not None and short.head(1):
+            older = read_bars(table, interval=interval, end=start, ordered=False)
+            bars = bars.unionByName(older.join(short, "symbol", "left_semi"))
         sheet = order_sheet(bars, signal, universe, holdings, accounts, limits, lookback)
         sheet.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        short.unpersist()
 
     return _each_batch(stream, scan, checkpoint)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators import backtest as bt
 from tapeloom.operators import ledger, market, orders
 from tapeloom.operators.series import Series, lay_out
+from tapeloom.streaming import jobs
 
 approx = pytest.approx
 FILL = "account long, timestamp timestamp_ntz, seq long, symbol string, side string, shares long, price double, reason string"
@@ -181,3 +182,24 @@ def test_order_delta_scales_in_and_out(spark, bars):
     halted = accounts.withColumn("halted", F.lit(True))
     out = {r.symbol for r in orders.order_delta(rows, held(spark, ("B", 300, 10.0)), halted).collect()}
     assert out == {"B"}
+
+
+def test_scan_sees_bars_of_any_age(spark, bars, account, tmp_path):
+    # A is traded throughout, B and C were suspended long ago, D has few bars, spread over years.
+    day, long_ago = DAY + timedelta(days=1500), timedelta(days=400)
+    df = bars([10] * 90, "A", start=day).unionByName(bars([10] * 40, "B")).unionByName(bars(list(range(9, 49)), "C"))
+    df = df.unionByName(bars([9, 10, 11, 12, 30], "D", start=day - 3 * long_ago, step=long_ago))
+    holdings = held(spark, ("B", 100, 20.0), ("D", 300, 15.0))
+    names = spark.createDataFrame([(1, n) for n in "ACD"], "account long, symbol string")
+    source = str(tmp_path / "landing")
+    stored = df.withColumn("ingested_at", F.col("timestamp"))
+    stored.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(stored.schema).parquet(source)
+    out, signal = str(tmp_path / "sheets"), bt.sma_cross(2, 4)
+    jobs.stream_scan(
+        stream, str(tmp_path / "table"), signal, names, holdings, account, out, str(tmp_path / "cp"), lookback=20, history_days=60
+    ).awaitTermination()
+    columns = ["account", "nth", "symbol", "side", "shares", "price", "reason"]
+    got = sorted(map(tuple, spark.read.parquet(out).select(columns).collect()))
+    whole = sorted(map(tuple, orders.order_sheet(df, signal, names, holdings, account, lookback=20).select(columns).collect()))
+    assert got == whole and [(r[2], r[6]) for r in got] == [("B", "stop_loss"), ("C", "signal")]
