@@ -5,7 +5,7 @@ compressed once with every dictionary; the language whose dictionary gives the f
 is chosen, and the text is rejected when the runner-up is as good.
 
 ``train`` takes a bounded sample: per language at most ``SAMPLES`` excerpts of ``EXCERPT``
-characters, from the texts and places that come first in hash order.  Prediction reads every
+characters, from the distinct texts and places that come first in hash order.  Prediction reads every
 character of every text.
 
 Defined results: a text that is null or has no letter is ``und``, score 0, rejected.  Ties
@@ -56,8 +56,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     order = F.xxhash64("text")
     start = F.pmod(order, F.greatest(F.lit(1), F.length("text") - EXCERPT + 1)).cast("int") + 1
     drawn = known.select("lang", order.alias("h"), F.substring("text", start, F.lit(EXCERPT)).alias("excerpt")).where(F.col("excerpt").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy("h", "excerpt")
-    sample = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLES)
+    # Copies of a text share hash and place; hashes are made distinct first, so that only they are moved.
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = drawn.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLES)
+    sample = drawn.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "n").agg(F.min("excerpt").alias("excerpt"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for row in sample.select("lang", "n", "excerpt").collect():

@@ -151,3 +151,10 @@ def test_escapes_hide_control_strings(spark, text):
 
     row = spark.range(1).select(chat_formatting.escaped(F.lit(text)).alias("e"), chat_formatting.unescaped(chat_formatting.escaped(F.lit(text))).alias("u")).first()
     assert row.u == text and not any(c in row.e for c in chat_formatting.controls())
+
+
+def test_copies_of_a_text_take_one_excerpt(spark):
+    texts = [cases.prose(40 + i, 60) for i in range(8)]
+    docs = cases.frame(spark, texts * 100, langs=["xx"] * 800)
+    content = language_id.train(docs)["xx"]
+    assert content.count(language_id.cleaned(texts[0])) == 1 and all(language_id.cleaned(t) in content for t in texts)
