@@ -37,11 +37,15 @@ FEMALE = ("Mrs.", "Ms.", "Miss", "Frau", "Madame", "Señora", "госпожа")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}[\p{L}’']*(?:[ -]\p{Lu}[\p{L}’']*){0,2}"
 _TITLE = "(?:" + "|".join(t.replace(".", r"\.") for t in MALE + FEMALE) + ")"
+_LOCAL = r"[\p{L}\p{N}._%+-]"
+_HOST = r"@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}(?![\p{L}\p{N}])"
 #: Each part starts where no longer run of its kind could start, so a scan is linear.
 PATTERN = "|".join(
     (
-        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}(?![\p{L}\p{N}])",
-        r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}+(?![\p{L}\p{N}])",
+        rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+{_HOST}",
+        # A longer run of such characters; a rule of signs in it ends what stands before.
+        rf"(?:(?<!{_LOCAL})(?={_LOCAL}{{65}})|(?<=[._%+-]{{8}})(?![._%+-]))(?!{_LOCAL}*?[._%+-]{{8}}){_LOCAL}++{_HOST}",
+        r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}.+])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?![\p{L}\p{N}])",
         r"(?<![\p{L}\p{N}+(])\(\d{3}\) ?\d{3}[-.]\d{4}(?![\p{L}\p{N}])",
@@ -72,7 +76,7 @@ def _pick(alphabet: str, n: Column) -> Column:
 
 
 def _chars(text: Column) -> Column:
-    return F.filter(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1))), lambda c: c != "")
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def _drawn(seed: Column, text: Column, char: Callable[[Column, Column, Column], Column]) -> Column:
@@ -125,7 +129,7 @@ def kind_of(mention: Column) -> Column:
     digits = _digits(mention)
     return (
         F.when(mention.contains("@"), "email")
-        .when(mention.rlike(r"^[0-9a-fA-F]{32,64}$"), "secret")
+        .when(mention.rlike(r"^[0-9a-fA-F]{32,}$"), "secret")
         .when(mention.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$"), F.when(_luhn_sum(digits) % 10 == 0, "card"))
         .when(mention.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "address")
         .when(mention.rlike(r"^[+(\d]"), "phone")
@@ -247,15 +251,14 @@ def shown(mention: Column, kind: Column, surrogate: Column) -> Column:
         place = F.length(_digits(F.substring(mention, F.lit(1), (i + 1).cast("int"))))
         return F.when(c.rlike("[0-9]"), F.substring(surrogate, place, F.lit(1))).otherwise(c)
 
-    def cased(c: Column, i: Column) -> Column:
-        own = F.substring(content, (i + 1).cast("int"), F.lit(1))
+    def cased(c: Column, own: Column) -> Column:
         return F.when((own == F.upper(own)) & (own != F.lower(own)), F.upper(c)).otherwise(c)
 
     numbers = F.array_join(F.transform(_chars(mention), digit), "")
     letters = (
         F.when(content == F.lower(content), surrogate)
         .when(content == F.upper(content), F.upper(surrogate))
-        .when(F.length(content) == F.length(surrogate), F.array_join(F.transform(_chars(surrogate), cased), ""))
+        .when(F.length(content) == F.length(surrogate), F.array_join(F.zip_with(_chars(surrogate), _chars(content), cased), ""))
         .otherwise(F.initcap(surrogate))
     )
     return F.concat(title, F.when(kind.isin("phone", "card"), numbers).otherwise(letters))

@@ -125,3 +125,16 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     rows = kept.select("doc_id", F.lower("text").alias("t")).collect()
     assert max(r.doc_id for r in rows) < len(texts) and len({r.t for r in rows}) == len(rows)
+
+
+def test_long_secrets_and_addresses_after_long_runs(spark):
+    key = "0123456789abcdef" * 8
+    dashes, dots, name = "-" * 70, "." * 70, "anna.b" * 20
+    texts = [key, key[:65].upper(), "aB1" * 50_000, f"{dashes}joe@x.com", "joe@x.com", f"call 652-555-4544{dots}joe@x.com", f"{name}@x.com", f"{dashes}{name}@x.com", dashes]
+    sha, half, mixed, rule, plain, leader, long, both, none = rewritten(spark, texts)
+    assert re.fullmatch("[0-9a-f]{128}", sha) and sha != key
+    assert re.fullmatch("[0-9A-F]{65}", half) and half != key[:65].upper()
+    assert re.fullmatch("[0-9a-fA-F]{150000}", mixed) and mixed != texts[2]
+    assert plain != "joe@x.com" and rule == dashes + plain
+    assert re.fullmatch(r"call \d{3}-\d{3}-\d{4}", leader.removesuffix(dots + plain)) and "555" not in leader
+    assert len(long) == len(texts[6]) and "anna" not in long and both == dashes + long and none == dashes
