@@ -11,6 +11,7 @@ from tapeloom.llm import (
     bag_minhash,
     benchmark_decontamination,
     chat_formatting,
+    importance_resampling,
     language_id,
     pii_surrogates,
     quality_classifier,
@@ -18,6 +19,7 @@ from tapeloom.llm import (
     sequence_packing,
     substring_dedup,
     token_counts,
+    vector_codes,
 )
 from tapeloom.llm.common import table
 
@@ -77,6 +79,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return benchmark_decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resampling.resampling(docs, target, percent=10).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -90,6 +101,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_substring_dedup,
         op10_benchmark_decontamination,
+        op11_importance_resampling,
+        op12_vector_codes,
     )
 }
-ORACLES: dict[str, str] = {"op6_chat_formatting": chat_formatting.oracle()}
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": chat_formatting.oracle(),
+    "op11_importance_resampling": importance_resampling.oracle(),
+    "op12_vector_codes": vector_codes.oracle(),
+}
