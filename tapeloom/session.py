@@ -1,6 +1,8 @@
 """Spark session defaults and lineage cutting."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,23 @@ def settle(df: DataFrame) -> DataFrame:
         return held.checkpoint()
     finally:
         held.unpersist()
+
+
+class Scratch:
+    """Tables of one run in a folder of their own below the shared folder.
+
+    ``keep`` writes a frame and reads it back, which cuts its lineage; ``remove`` deletes the
+    folder, after which no frame read from it can be used.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str) -> None:
+        self._spark = spark
+        self.folder = f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self._spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def remove(self) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
