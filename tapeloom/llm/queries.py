@@ -14,6 +14,7 @@ from tapeloom.llm import (
     importance_resampling,
     language_id,
     pii_surrogates,
+    pitman_yor,
     quality_classifier,
     quality_rules,
     sequence_packing,
@@ -88,6 +89,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op13_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_benchmark_decontamination,
         op11_importance_resampling,
         op12_vector_codes,
+        op13_pitman_yor_scores,
     )
 }
 ORACLES: dict[str, str] = {
