@@ -12,8 +12,8 @@ spread of that number, not with c (``draw_tables``).  The dishes of a restaurant
 side by side given its tables so far.  Rounds alternate between the contexts and the parent;
 after ``burn_in`` rounds the predictive probabilities are averaged over the rounds.
 
-How it is spread: documents are gathered into chunks of about CHUNK_TOKENS tokens that hold
-their distinct words once.  A chunk asks buckets of words and buckets of pairs (a third of
+How it is spread: documents are gathered into chunks of about ``chunk_tokens`` tokens that
+hold their distinct words once.  A chunk asks buckets of words and buckets of pairs (a third of
 all tokens costs no more than one entry per chunk); a bucket counts, draws tables and
 answers.  Contexts with over a thousandth of the training tokens are at most a thousand; their
 dishes are spread over all buckets and only their numbers of tables pass through the driver.
@@ -39,8 +39,6 @@ from pyspark.sql import functions as F
 from tapeloom.llm.language_id import held_out
 from tapeloom.session import Scratch, settle
 
-#: Tokens of a chunk; a longer text is a chunk of its own.
-CHUNK_TOKENS = 2_000_000
 #: Tokens, or words of chunks, for each bucket; at least LEAST_BUCKETS buckets.
 PER_BUCKET, LEAST_BUCKETS = 500_000, 64
 #: A context with more than this share of the training tokens is spread over all buckets.
@@ -52,7 +50,11 @@ MESSAGE = "level string, dest bigint, kind string, source bigint, data array<bin
 
 @dataclass(frozen=True)
 class Settings:
-    """``strength`` of the contexts' restaurants and of the parent's; rounds of drawing."""
+    """``strength`` of the contexts' restaurants and of the parent's; rounds of drawing.
+
+    Without ``sweeps`` nothing is drawn and every dish keeps one table, which is interpolated
+    Kneser-Ney smoothing.  A text longer than ``chunk_tokens`` is a chunk of its own.
+    """
 
     strength: float = 1.0
     parent_strength: float = 1.0
@@ -61,6 +63,7 @@ class Settings:
     sweeps: int = 2
     seed: int = 1
     floor: float = 0.1  # added to each count by the base score
+    chunk_tokens: int = 2_000_000
 
 
 # Tables of a dish.
@@ -210,7 +213,7 @@ def short(hashes: np.ndarray) -> np.ndarray:
 START_48 = hashed(START) >> 16
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     """Chunks of documents: ids, flags (1 null id, 2 held out), sizes, tokens and words.
 
     Tokens are numbers of the chunk's words, the commonest first; a text ends with END.
@@ -234,7 +237,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text, held in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or "").encode("utf-8", "replace").lower().split()
-                if flat and len(flat) + len(words) >= CHUNK_TOKENS:
+                if flat and len(flat) + len(words) >= chunk_tokens:
                     yield flushed()
                     number += 1
                     ids, flags, sizes, flat, known = [], [], [], [], {END: 0}
@@ -380,7 +383,9 @@ def count_pairs(spread: Spread):
         c = np.bincount(cell, n, minlength=int(fresh.sum())).astype(np.int64)
         cell_u, cell_w = u[order][fresh], w[order][fresh]
         seen, large = c > 0, c > 1
-        contexts, context = np.unique(cell_u[seen], return_inverse=True)
+        # A spread context is listed wherever it is asked for: its numbers come from all buckets.
+        contexts = np.unique(np.concatenate([cell_u[seen], np.intersect1d(cell_u, spread.hot)]))
+        context = np.searchsorted(contexts, cell_u[seen])
         customers = np.bincount(context, c[seen], minlength=len(contexts))
         singles = np.bincount(context[c[seen] == 1], minlength=len(contexts))
         hot = np.where(np.isin(contexts, spread.hot), np.searchsorted(spread.hot, contexts) + 1, 0)
@@ -434,7 +439,7 @@ class Parent:
         return (customers - tables / 2 + (self.strength + self.tables / 2) * self.base) / (self.strength + self.customers)
 
 
-def parent_step(parent: Parent, seed: list[int], sample: bool):
+def parent_step(parent: Parent, settings: Settings, seed: list[int], sample: bool):
     """New tables of the words; answers to the pair buckets; a sample is appended to the dish."""
 
     def answer(bucket: int, got: Inbox, out: Outbox) -> None:
@@ -443,8 +448,9 @@ def parent_step(parent: Parent, seed: list[int], sample: bool):
         sums = {source: data[0] for source, data in got.all("sums")}
         for source, (place,) in got.all("wants"):
             np.add.at(customers, place, sums[source])
-        rng = np.random.default_rng([*seed, bucket])
-        tables = draw_tables(customers, parent.tables - tables, np.full(len(fixed), parent.base), parent.strength, rng)
+        if settings.sweeps:
+            rng = np.random.default_rng([*seed, bucket])
+            tables = draw_tables(customers, parent.tables - tables, np.full(len(fixed), parent.base), parent.strength, rng)
         if sample:
             samples += [customers, tables]
         out.send("word", bucket, "dish", -1, fixed, tables, customers, *samples)
@@ -559,7 +565,7 @@ def _total(messages: DataFrame, width: int, read: Callable[[int, list[np.ndarray
 
 
 def _scored(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
-    chunks = scratch.keep(chunked(docs), "chunks")
+    chunks = scratch.keep(chunked(docs, settings.chunk_tokens), "chunks")
     n_tokens, n_words = _total(chunks, 2, lambda _, d: [(len(d[3]), len(d[4]))])
     spread = Spread(max(LEAST_BUCKETS, n_words // PER_BUCKET), max(LEAST_BUCKETS, n_tokens // PER_BUCKET))
     kind = lambda df, *names: df.where(F.col("kind").isin(*names))
@@ -589,7 +595,7 @@ def _scored(docs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     parent, samples = Parent(distinct, 0, 1 / (distinct + 1), settings.parent_strength), []
     for turn in range(settings.rounds + 1):
         sample = turn > settings.burn_in
-        step = parent_step(parent, [settings.seed, 0, turn], sample)
+        step = parent_step(parent, settings, [settings.seed, 0, turn], sample)
         drawn = scratch.keep(answered(dishes.unionByName(wants).unionByName(sums), "word", step), f"parent{turn}")
         dishes = kind(drawn, "dish")
         tables, customers = _total(dishes, 2, lambda _, d: [(d[1].sum(), d[2].sum())])

@@ -42,8 +42,7 @@ def drawn_by_hand(docs, target, percent, least, settings):
 
 
 @pytest.mark.parametrize("settings", [resampling.Settings(), resampling.Settings(1, 3, 500), resampling.Settings(2, 2, 50)])
-def test_resampling_agrees_with_the_formulas(spark, settings, monkeypatch):
-    monkeypatch.setattr(resampling, "BATCH_BYTES", 2000)
+def test_resampling_agrees_with_the_formulas(spark, settings):
     r = random.Random(1)
     docs = [(i, cases.prose(i % 60, r.randrange(60), 200).replace("b", "B")) for i in range(400)]
     docs += [(1000, None), (1001, ""), (1002, "É é Ç\x00x 日本 a-b\n_C"), (1003, cases.LONG), (1004, docs[0][1]), (1004, docs[0][1])]
@@ -54,6 +53,20 @@ def test_resampling_agrees_with_the_formulas(spark, settings, monkeypatch):
     assert found == drawn_by_hand(docs, target, 30, 20, settings)
 
 
+def test_features_do_not_depend_on_the_batch(monkeypatch):
+    settings, texts = resampling.Settings(1, 3, 500), [cases.prose(i, i % 7 * 9) for i in range(60)] + [None, "a", "", "b c"]
+    monkeypatch.setattr(resampling, "BATCH_BYTES", 700)
+    parts = list(resampling.reader(settings)(texts))
+    assert len(parts) > 5
+    at = 0
+    for part in parts:
+        for i, n in enumerate(part.words):
+            words, buckets = runs(texts[at], settings)
+            assert n == words and sorted(part.bucket[part.text == i]) == sorted(buckets)
+            at += 1
+    assert at == len(texts)
+
+
 def test_resampling_of_odd_and_empty_tables(spark):
     target = spark.createDataFrame([("kon taba 12",), (None,)], "text string")
     rows = resampling.resampling(cases.odd(spark), target, 50)
