@@ -157,7 +157,7 @@ add(
     lambda s, d: ind.metric_panel(views.bars_minute(s, d), PANEL, MINUTE),
     PANEL_SQL,
 )
-SMALL = replace(MINUTE, block_rows=1)  # as many blocks as there are slots
+SMALL = replace(MINUTE, cuts=97)  # many small blocks
 add(
     "metric_panel_blocks",
     PANEL_SPEC,

@@ -138,7 +138,7 @@ add(
 add(
     "cash_ledger_blocks",
     "account timestamp seq cash:2",
-    lambda s, d: ledger.cash_ledger(enriched(s, d), CASH, replace(ledger.ACCOUNT, block_rows=64)),
+    lambda s, d: ledger.cash_ledger(enriched(s, d), CASH, replace(ledger.ACCOUNT, cuts=97)),
     "SELECT * FROM cash",
 )
 
@@ -156,7 +156,7 @@ add(
 add(
     "position_ledger_blocks",
     f"{FILL_ID} held avg_price:6",
-    lambda s, d: ledger.position_ledger(enriched(s, d), replace(ledger.POSITION, block_rows=64)),
+    lambda s, d: ledger.position_ledger(enriched(s, d), replace(ledger.POSITION, cuts=97)),
     "SELECT * FROM ledger",
 )
 MARK = "account timestamp symbol shares avg_price:6 price:6 market_value:2 unrealized_pnl:2"
@@ -189,10 +189,10 @@ view(
 
 
 def session_tables(s, d):
-    """Enriched fills, marks and equity; marks feed several tables, so they are kept."""
+    """Enriched fills, marks and equity."""
     trades, bars = enriched(s, d), views.bars_daily(s, d)
-    clock = settle(ledger.clock_of(bars))
-    marked = settle(ledger.mark_to_market(ledger.position_ledger(trades), bars, clock))
+    clock = ledger.clock_of(bars)
+    marked = ledger.mark_to_market(ledger.position_ledger(trades), bars, clock)
     cash = ledger.cash_ledger(trades, CASH)
     return trades, marked, ledger.equity_curve(cash, marked, bars, CASH, clock)
 
@@ -228,7 +228,7 @@ add(
     """SELECT *, side = 'sell' OR nth <= 3 AS allowed FROM (SELECT *, row_number() OVER
     (PARTITION BY account, CAST(timestamp AS DATE) ORDER BY timestamp, seq) AS nth FROM fills) z""",
 )
-DAY_ORDERS = Series(("account", "_day"), ("timestamp", "seq"), None, ("timestamp", "floor(seq / {rows})"), 16)
+DAY_ORDERS = Series(("account", "_day"), ("timestamp", "seq"), None, 97)
 add(
     "order_cap_blocks",
     "account timestamp seq side nth allowed",

@@ -12,7 +12,6 @@ from tapeloom.functions.expr import ieee_div
 from tapeloom.operators.indicators import rsi_recipe, with_averages, zip_levels
 from tapeloom.operators.series import DAILY, Layout, Series, lay_out, running
 from tapeloom.operators.summary import summary_by_symbol
-from tapeloom.session import settle
 
 
 @dataclass(frozen=True)
@@ -174,8 +173,6 @@ def backtest_each(
         f"s{k}_ret": F.col(f"s{k}_held") * move - F.col(f"s{k}_cost") for k in range(len(signals))
     }
     out = out.withColumns(gains)
-    if any(s.latch for s in signals) and not lay.whole:
-        out = settle(out)  # two dependent carry passes: compute the first one once
     growth = {f"s{k}_equity": ("product", 1 + F.col(f"s{k}_ret")) for k in range(len(signals))}
     lay = running(replace(lay, df=out), growth)
     parts = ("target", "held", "cost", "ret", "equity")

@@ -5,21 +5,15 @@ orders fills of equal time.  Ledgers run over accounts of any size in blocks.
 """
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.costs import CostModel
 from tapeloom.operators.series import Series, blended, lay_out, running
-from tapeloom.session import settle
 
 ORDER = ("timestamp", "seq")
-# Slots by day, second, time and range of seq, so that neither one of them nor the slots of
-# one parent grow with the account: a slot holds at most as many seq values as a block rows.
-SLOTS = ("to_date(timestamp)", "date_trunc('second', timestamp)", "timestamp", "floor(seq / {rows})")
-ACCOUNT = Series(("account",), ORDER, None, SLOTS)
-POSITION = Series(("account", "symbol"), ORDER, None, SLOTS)
+ACCOUNT = Series(("account",), ORDER, None)
+POSITION = Series(("account", "symbol"), ORDER, None)
 
 
 def _is_sell() -> Column:
@@ -53,13 +47,11 @@ def position_ledger(fills: DataFrame, series: Series = POSITION) -> DataFrame:
     unchanged on a sell: a linear recursion that runs blockwise.
     """
     lay = running(lay_out(fills, series), {"held": ("sum", _signed(F.col("shares")))})
-    if not lay.whole:
-        lay = replace(lay, df=settle(lay.df))  # two dependent carry passes
     fresh = ~_is_sell() & (F.col("held") <= F.col("shares"))
     weight = (
         F.when(_is_sell(), F.lit(0.0)).when(fresh, F.lit(1.0)).otherwise(F.col("shares") / F.col("held"))
     )
-    lay = blended(lay, "_avg", 1 - weight, weight * F.col("price"))
+    lay = blended(lay, "_avg", weight, F.col("price"))
     avg = F.when(F.col("held") > 0, F.col("_avg"))
     return lay.df.select(*fills.columns, F.col("held").cast("bigint").alias("held"), avg.alias("avg_price"))
 
@@ -94,22 +86,25 @@ def clock_of(df: DataFrame) -> DataFrame:
 
 
 def _tick_at(states: DataFrame, clock: DataFrame) -> DataFrame:
-    """``states`` plus ``tick``, the first tick at or after their time (later states have none)."""
+    """``states`` plus ``tick``, the first tick at or after their time; NULL after the last one.
+
+    The dates from the first to the last bar come from the clock alone, so the states are
+    read once.
+    """
     days = clock.groupBy(F.to_date("timestamp").alias("_day")).agg(
         F.sort_array(F.collect_list(F.struct("timestamp", "tick"))).alias("_ticks"),
         F.min("tick").alias("_first"),
     )
-    own = states.select(F.to_date("timestamp").alias("_day")).distinct()
-    calendar = days.select("_day", "_first").join(own, "_day", "full")
+    bounds = clock.agg(F.min(F.to_date("timestamp")).alias("a"), F.max(F.to_date("timestamp")).alias("b"))
+    dates = bounds.select(F.explode(F.sequence("a", "b")).alias("_day"))
     after = Window.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
-    calendar = calendar.withColumn("_next", F.min("_first").over(after)).select("_day", "_next")
+    calendar = dates.join(days, "_day", "left").withColumn("_next", F.min("_first").over(after)).drop("_first")
+    opening = clock.agg(F.min(F.to_date("timestamp"))).scalar()
     in_day = F.filter("_ticks", lambda t: t["timestamp"] >= F.col("timestamp"))
     return (
-        states.withColumn("_day", F.to_date("timestamp"))
-        .join(calendar, "_day")
-        .join(days.drop("_first"), "_day", "left")
+        states.withColumn("_day", F.greatest(F.to_date("timestamp"), opening))
+        .join(calendar, "_day", "left")
         .withColumn("tick", F.coalesce(F.get(in_day, F.lit(0))["tick"], F.col("_next")))
-        .where(F.col("tick").isNotNull())
         .drop("_day", "_ticks", "_next")
     )
 
@@ -119,14 +114,13 @@ def _spread(states: DataFrame, keys: tuple[str, ...], clock: DataFrame) -> DataF
 
     ``states`` has at most one row per key and tick, so the window is bounded by the clock.
     """
-    ends = clock.groupBy(F.lit(0).alias("_one")).agg(F.max("tick").alias("_end"))
+    end = clock.agg(F.max("tick")).scalar()
     until = F.lead("tick").over(Window.partitionBy(*keys).orderBy("tick")) - 1
     return (
-        states.withColumn("_one", F.lit(0))
-        .join(F.broadcast(ends), "_one")  # one row
-        .withColumn("_until", F.coalesce(until, F.col("_end")))
+        states.withColumn("_until", F.least(F.coalesce(until, end), end))
+        .where(F.col("tick") <= F.col("_until"))
         .withColumn("tick", F.explode(F.sequence("tick", "_until")))
-        .drop("_one", "_end", "_until")
+        .drop("_until")
     )
 
 
@@ -142,11 +136,12 @@ def mark_to_market(ledger: DataFrame, df: DataFrame, clock: DataFrame | None = N
     """Open positions at every bar time: price, market value and unrealised P&L.
 
     The price is the last known close of the symbol, else the entry price.  ``clock`` is
-    ``settle(clock_of(df))`` when it is already at hand.
+    ``clock_of(df)`` when it is already at hand.
     """
-    clock = clock or settle(clock_of(df))  # small, and read by every step below
+    clock = clock_of(df) if clock is None else clock
     keys = ("account", "symbol")
-    states = _last_per_tick(_tick_at(ledger, clock), keys, ("held", "avg_price"))
+    ticked = _tick_at(ledger, clock).where(F.col("tick").isNotNull())
+    states = _last_per_tick(ticked, keys, ("held", "avg_price"))
     open_ = _spread(states, keys, clock).where(F.col("held") > 0)
     closes = df.select("symbol", "timestamp", "close").join(clock, "timestamp")
     prices = _spread(closes.select("symbol", "tick", "close"), ("symbol",), clock)
@@ -175,15 +170,17 @@ def equity_curve(
     clock: DataFrame | None = None,
 ) -> DataFrame:
     """(account, timestamp, cash, market_value, equity) at every bar time."""
-    clock = clock or settle(clock_of(df))  # small, and read by every step below
-    states = _last_per_tick(_tick_at(cash, clock), ("account",), ("cash",))
-    opening = (
-        cash.select("account")
-        .distinct()
-        .select("account", F.lit(1).cast("bigint").alias("tick"), F.lit(float(start_cash)).alias("cash"))
-        .join(states, ["account", "tick"], "left_anti")
-    )
-    balances = _spread(states.unionByName(opening), ("account",), clock).join(clock, "tick")
+    clock = clock_of(df) if clock is None else clock
+    end = clock.agg(F.max("tick")).scalar()
+    ticked = _tick_at(cash, clock).withColumn("tick", F.coalesce("tick", end + 1))
+    states = _last_per_tick(ticked, ("account",), ("cash",))
+    # The first state of an account comes with the opening balance before it.
+    earlier = F.lag("tick").over(Window.partitionBy("account").orderBy("tick"))
+    opening = F.struct(F.lit(1).cast("bigint").alias("tick"), F.lit(float(start_cash)).alias("cash"))
+    own = F.struct("tick", "cash")
+    both = F.when(earlier.isNull() & (F.col("tick") > 1), F.array(opening, own)).otherwise(F.array(own))
+    known = states.withColumn("_both", both).select("account", F.explode("_both").alias("_s")).select("account", "_s.*")
+    balances = _spread(known, ("account",), clock).join(clock, "tick")
     value = marks.groupBy("account", "timestamp").agg(F.sum("market_value").alias("_mv"))
     worth = F.coalesce("_mv", F.lit(0.0))
     return balances.join(value, ["account", "timestamp"], "left").select(

@@ -113,9 +113,7 @@ def order_cap(
     """
     tagged = orders.withColumn("_day", F.to_date("timestamp"))
     if series is None:
-        nested = {"timestamp": ("date_trunc('second', timestamp)", "timestamp"), "seq": ("floor(seq / {rows})",)}
-        slots = tuple(slot for c in order for slot in nested.get(c, (c,)))
-        series = Series(("account", "_day"), order, None, slots)
+        series = Series(("account", "_day"), order, None)
     lay = running(lay_out(tagged, series), {"nth": ("sum", F.lit(1))})
     allowed = (F.col("side") == "sell") | (F.col("nth") <= cap)
     return lay.df.select(*orders.columns, F.col("nth").cast("bigint").alias("nth"), allowed.alias("allowed"))

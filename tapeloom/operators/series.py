@@ -1,17 +1,24 @@
 """Ordered computation over keyed series without ever needing one task per key.
 
-A daily series holds at most one row per date, so the calendar bounds it (about
-36,500 rows a century) and a plain window per key is safe.  Any other series is cut into
-blocks, at every size:
-
-* rows are counted per (key, time slot) with map-side combining; slots can be nested, e.g.
-  day, second, time and range of a sequence number,
-* running totals over the slots assign them to blocks, one level at a time, so that a total
-  runs over the slots of one parent only (the first level is bounded by the calendar),
-* the slots that hold the last ``lookback`` rows before a block are also copied into
-  it as a halo, so rolling frames inside the block see their whole history,
-* unbounded frames and exponential averages take a carry, computed from one summary row
-  per block.
+A series with a declared step holds at most one row per key and step, so the calendar
+bounds it and a plain window per key is safe: a century has 36,500 days, and 6 million
+minutes at 240 a day, which one task sorts within its memory or by spilling.  This follows
+from the declaration, never from a count of rows.  A series without a step (fills, ticks),
+or one that asks for ``cuts``, is cut by range, at every size:
+
+* ``repartitionByRange`` on keys, order and a hash of the row gives partitions of about equal
+  size that are runs of rows in order; a position numbers the rows of each run, and (key,
+  partition) is the block,
+* a key lies in several blocks only where a boundary between partitions cuts it, so at most
+  twice as many blocks as there are partitions need more than their own rows; one summary
+  row for each of them is broadcast,
+* the last ``lookback`` rows before a block are also copied into it as a halo, so rolling
+  frames inside the block see their whole history,
+* unbounded frames and exponential averages take a carry, computed from the summary rows.
+
+Rows move twice, once by range and once by block, and are read once: the cut refers to every
+column, so all passes over it share the same exchange.  Positions are compared with the
+summary, and a pass that was cut elsewhere fails instead of giving another result.
 
 The result is the same as with one window per key, whatever the share of a hot key.
 """
@@ -20,45 +27,37 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeloom.functions.expr import as_col, epoch_minutes
-from tapeloom.schema import minutes_of
+from tapeloom.functions.expr import as_col
 
-BLOCK, OWN = "_block", "_own"
-SLOT_STEPS = 1024
+BLOCK, OWN, AT = "_block", "_own", "_at"
 
 
 @dataclass(frozen=True)
 class Series:
     """Identity of a family of ordered series.
 
-    ``step`` is the bar interval; ``1d`` declares one row per key and date.  ``slots``
-    are SQL expressions, nested and monotone in ``order``, for series that are not on a bar
-    grid; ``{rows}`` in them stands for ``block_rows``.
+    ``step`` is the bar interval and declares one row per key and step at most.  A series
+    without it is cut into ``cuts`` ranges, by default as many as there are shuffle partitions;
+    one with a step is cut only if ``cuts`` is given.
     """
 
     keys: tuple[str, ...] = ("symbol",)
     order: tuple[str, ...] = ("timestamp",)
     step: str | None = "1d"
-    slots: tuple[str, ...] = ()
-    block_rows: int = 65_536
+    cuts: int | None = None
 
     @property
     def bounded(self) -> bool:
-        return self.step == "1d" and not self.slots
+        return self.step is not None and self.cuts is None
 
     def by(self, keys: Sequence[str]) -> Series:
         return replace(self, keys=tuple(keys))
 
-    def slot_columns(self) -> list[Column]:
-        if self.slots:
-            return [F.expr(sql.format(rows=self.block_rows)) for sql in self.slots]
-        width = minutes_of(self.step) * SLOT_STEPS if self.step else 1440
-        return [F.floor(epoch_minutes(self.order[0]) / width)]
-
     def position(self) -> Column:
         return F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
 
@@ -107,43 +106,74 @@ class Layout:
         return self if self.whole else replace(self, df=self.df.where(F.col(OWN)))
 
 
+def _placed(df: DataFrame, series: Series) -> DataFrame:
+    """``df`` cut by range, with block, position and the mark of rows in their own block.
+
+    The number of ranges is given, so that adaptive execution does not merge some of them.
+    The hash makes the order total and keeps every column below the exchange.
+    """
+    cuts = series.cuts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*series.keys, *series.order, F.xxhash64(*df.columns)]
+    cut = df.repartitionByRange(cuts, *order).sortWithinPartitions(*order)
+    # The upper bits of the id are the partition, the lower ones count its rows.
+    return cut.withColumn(AT, F.monotonically_increasing_id()).withColumns(
+        {BLOCK: F.shiftrightunsigned(AT, 33), OWN: F.lit(True)}
+    )
+
+
+def _shared(df: DataFrame, series: Series, *totals: Column) -> DataFrame:
+    """One row per block of the keys that lie in several blocks: rows, first position, ``totals``.
+
+    Two neighbours share at most one key, so there are at most twice as many rows as ranges.
+    """
+    blocks = df.groupBy(*series.keys, BLOCK).agg(
+        F.count(F.lit(1)).alias("_block_n"), F.min(AT).alias("_block_from"), *totals
+    )
+    several = F.count(F.lit(1)).over(Window.partitionBy(*series.keys))
+    return blocks.withColumn("_block_several", several).where(F.col("_block_several") > 1).drop("_block_several")
+
+
+def _with_shared(df: DataFrame, series: Series, blocks: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns ``names`` of rows of ``_shared``, NULL where a key lies in one block."""
+    own = {c: f"_block_of{i}" for i, c in enumerate((*series.keys, BLOCK))}
+    right = blocks.select("_block_n", "_block_from", *names, *[F.col(c).alias(n) for c, n in own.items()])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in own.items()])
+    out = df.join(F.broadcast(right), same, "left")
+    elsewhere = F.col(OWN) & ((F.col(AT) < F.col("_block_from")) | (F.col(AT) >= F.col("_block_from") + F.col("_block_n")))
+    failed = F.raise_error(F.lit("two passes over a series were cut at different rows"))
+    values = {name: F.when(elsewhere, failed).otherwise(F.col(name)) for name in names}
+    return out.withColumns(values).drop("_block_n", "_block_from", *own.values())
+
+
 def lay_out(df: DataFrame, series: Series, lookback: int = 0) -> Layout:
     """Partition ``df`` so that every row sees ``lookback`` earlier rows of its series."""
     if series.bounded:
         return Layout(df, series, series.keys)
-    slots = {f"_slot{i}": c for i, c in enumerate(series.slot_columns())}
-    tagged = df.withColumns(slots)
-    keys, names = series.keys, list(slots)
-    counts = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.groupBy(*keys).agg(F.max("_n").alias("_most"))
-    plan, seen = counts, F.col("_n")
-    for i, name in enumerate(names):
-        total = Window.partitionBy(*keys, *names[:i]).orderBy(name)
-        if i == len(names) - 1:
-            plan = plan.withColumn(f"_off{i}", F.sum("_n").over(total) - F.col("_n"))
-        else:
-            level = counts.groupBy(*keys, *names[: i + 1]).agg(F.sum("_n").alias("_m"))
-            level = level.withColumn(f"_off{i}", F.sum("_m").over(total) - F.col("_m")).drop("_m")
-            plan = plan.join(level, [*keys, *names[: i + 1]])
-        seen = seen + F.col(f"_off{i}")
-    plan = (
-        plan.join(largest, list(keys))
-        .withColumns({"_seen": seen, "_size": F.greatest(F.lit(max(series.block_rows, lookback)), "_most")})
-        .withColumn(BLOCK, F.floor((F.col("_seen") - F.col("_n")) / F.col("_size")))
+    placed = _placed(df, series)
+    parts = (*series.keys, BLOCK)
+    if not lookback:
+        return Layout(placed, series, parts)
+    blocks = Window.partitionBy(*series.keys).orderBy(BLOCK)
+    upto = F.sum("_block_n").over(blocks.rowsBetween(Window.unboundedPreceding, 0))
+    # A block has a row at least, so no more than ``lookback`` blocks can need its rows.
+    behind = F.collect_list(F.struct(F.col(BLOCK).alias("block"), (F.col("_block_upto") - F.col("_block_n")).alias("before")))
+    ends = (
+        _shared(placed, series)
+        .withColumn("_block_upto", upto)
+        .withColumn("_block_later", behind.over(blocks.rowsBetween(1, lookback)))
+        .withColumn("_block_end", F.col("_block_from") + F.col("_block_n"))
     )
-    if lookback:
-        reach = F.floor((F.col("_seen") + F.lit(lookback - 1)) / F.col("_size"))
-        plan = plan.withColumn("_into", F.sequence(BLOCK, reach))
-    else:
-        plan = plan.withColumn("_into", F.array(BLOCK))
-    plan = plan.select(*series.keys, *slots, F.col(BLOCK).alias("_home"), "_into")
-    placed = (
-        tagged.join(plan, [*series.keys, *slots])
-        .withColumn(BLOCK, F.explode("_into"))
-        .withColumn(OWN, F.col(BLOCK) == F.col("_home"))
-        .drop("_home", "_into", *slots)
+    joined = _with_shared(placed, series, ends, ("_block_upto", "_block_later", "_block_end"))
+    # Rows of the series from this one to the end of the block before, this one included.
+    near = F.filter("_block_later", lambda b: F.col("_block_end") - F.col(AT) + b["before"] - F.col("_block_upto") <= lookback)
+    into = F.concat(F.array(BLOCK), F.coalesce(F.transform(near, lambda b: b["block"]), F.array().cast("array<bigint>")))
+    copied = (
+        joined.withColumns({"_block_home": F.col(BLOCK), "_block_into": into})
+        .withColumn(BLOCK, F.explode("_block_into"))
+        .withColumn(OWN, F.col(BLOCK) == F.col("_block_home"))
+        .drop("_block_home", "_block_into", "_block_upto", "_block_later", "_block_end")
     )
-    return Layout(placed, series, (*series.keys, BLOCK))
+    return Layout(copied, series, parts)
 
 
 Scan = tuple[str, Column]
@@ -185,13 +215,9 @@ def running(layout: Layout, scans: Mapping[str, Scan]) -> Layout:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carries = {name: f"_carry_{name}" for name in scans}
-    totals = base.df.groupBy(*base.parts).agg(
-        *[total(kind, expr).alias(carries[name]) for name, (kind, expr) in scans.items()]
-    )
-    totals = totals.select(
-        *base.parts,
-        *[_INNER[kind](F.col(carries[n])).over(before).alias(carries[n]) for n, (kind, _) in scans.items()],
-    )
+    totals = _shared(
+        base.df, base.series, *[total(kind, expr).alias(carries[name]) for name, (kind, expr) in scans.items()]
+    ).withColumns({carries[n]: _INNER[kind](F.col(carries[n])).over(before) for n, (kind, _) in scans.items()})
 
     def join_up(name: str, kind: str) -> Column:
         here, carry = F.col(name), F.col(carries[name])
@@ -203,7 +229,7 @@ def running(layout: Layout, scans: Mapping[str, Scan]) -> Layout:
             return F.greatest(carry, here)
         return F.coalesce(carry, here) if kind == "first" else F.coalesce(here, carry)
 
-    joined = base.df.withColumns(local).join(totals, list(base.parts), "left")
+    joined = _with_shared(base.df.withColumns(local), base.series, totals, list(carries.values()))
     joined = joined.withColumns({n: join_up(n, kind) for n, (kind, _) in scans.items()})
     return replace(base, df=joined.drop(*carries.values()))
 
@@ -249,7 +275,8 @@ def averaged(layout: Layout, averages: Mapping[str, tuple[Column, float]]) -> La
     """Add exponential averages ``name: (x, alpha)`` over whole series, seeded by the first value.
 
     A block starts from 0 and is given what the block before it ends with, decayed row by
-    row; the ends follow from one pair (decay, local end) per block.  Halo rows are dropped.
+    row; the ends follow from one pair (decay, local end) per block.  The first block of a
+    key is given the first value, which is the same as seeding with it.  Halo rows are dropped.
     """
     if not averages:
         return layout.own()
@@ -259,10 +286,8 @@ def averaged(layout: Layout, averages: Mapping[str, tuple[Column, float]]) -> La
     lay = base.with_levels([{name: x for name, (x, alpha) in averages.items() if alpha >= 1}])
     if not moving:
         return lay
-    first = F.col("_row") == 1
-    if not base.whole:
-        first = first & (F.col(BLOCK) == 0)
     lay = lay.with_levels([{"_row": F.row_number().over(base.rows)}])
+    first = F.col("_row") == 1 if base.whole else F.lit(False)
     chains = [
         _average_levels(base, name, x, alpha, F.when(first, F.lit(1.0)).otherwise(F.lit(alpha)))
         for name, (x, alpha) in moving.items()
@@ -272,21 +297,28 @@ def averaged(layout: Layout, averages: Mapping[str, tuple[Column, float]]) -> La
     if base.whole:
         return replace(lay, df=lay.df.select(*columns, *averages))
     keys, position = base.series.keys, base.series.position()
-    inner = lay.df.select(*columns, "_row", *averages)
-    ends = inner.groupBy(*base.parts).agg(
-        F.max("_row").alias("_n"), *[F.max_by(name, position).alias(f"_end_{name}") for name in moving]
+    starts = {f"_start_{name}": F.first(x).over(base.rows) for name, (x, _) in moving.items()}
+    inner = lay.with_levels([starts]).df.select(*columns, "_row", *averages, *starts)
+    ends = _shared(
+        inner,
+        base.series,
+        *[F.max_by(name, position).alias(f"_end_{name}") for name in moving],
+        *[F.min_by(start, position).alias(start) for start in starts],
     )
     previous = Window.partitionBy(*keys).orderBy(BLOCK)
+    ends = ends.withColumn("_opens", F.row_number().over(previous) == 1)
+    carries = {}
     for name, (_, alpha) in moving.items():
-        decay = F.pow(F.lit(1.0 - alpha), F.col("_n"))
+        decay = F.pow(F.lit(1.0 - alpha), F.col("_block_n"))
+        seeded = F.when(F.col("_opens"), decay * F.coalesce(f"_start_{name}", F.lit(0.0))).otherwise(F.lit(0.0))
+        ends = ends.withColumn(f"_end_{name}", F.col(f"_end_{name}") + seeded)
         for level in _blend_levels(keys, (BLOCK,), f"_all_{name}", decay, F.col(f"_end_{name}")):
             ends = ends.withColumns(level)
-    carries = [
-        F.coalesce(F.lag(f"_all_{name}").over(previous), F.lit(0.0)).alias(f"_carry_{name}") for name in moving
-    ]
-    joined = inner.join(ends.select(*base.parts, *carries), list(base.parts))
+        carries[f"_carry_{name}"] = F.when(~F.col("_opens"), F.coalesce(F.lag(f"_all_{name}").over(previous), F.lit(0.0)))
+    joined = _with_shared(inner, base.series, ends.withColumns(carries), list(carries))
     exact = {
-        name: F.col(name) + F.pow(F.lit(1.0 - alpha), F.col("_row")) * F.col(f"_carry_{name}")
+        name: F.col(name)
+        + F.pow(F.lit(1.0 - alpha), F.col("_row")) * F.coalesce(f"_carry_{name}", f"_start_{name}", F.lit(0.0))
         for name, (_, alpha) in moving.items()
     }
     return replace(base, df=joined.withColumns(exact).select(*columns, *averages))
@@ -296,12 +328,13 @@ BAND = 300.0
 
 
 def _blend_levels(
-    parts: tuple[str, ...], order: tuple[str, ...], name: str, a: Column, b: Column
+    parts: tuple[str, ...], order: tuple[str, ...], name: str, a: Column, b: Column, depth: int = 3
 ) -> list[dict[str, Column]]:
     """Levels for ``name`` = e(t) = a(t) e(t-1) + b(t), 0 <= a <= 1, e before the start = 0.
 
     Log-decay is cut into bands of e**-300; a band hands its last value to the next and
-    a(t) = 0 starts afresh.  ``{name}_kept`` is the product of a since the start.
+    a(t) = 0 starts afresh.  ``{name}_kept`` is the product of a since the start.  ``depth``
+    bands back are handed on.
     """
     reset, decay, band, local = (f"{name}_{s}" for s in ("reset", "decay", "band", "loc"))
     rows = Window.partitionBy(*parts).orderBy(*order)
@@ -325,36 +358,37 @@ def _blend_levels(
     ]
     # Three bands back a weight is below e**-600 times a band's own; one more is 0 as a double.
     full = F.col(local)
-    for depth in range(3):
-        end = f"{name}_end{depth}"
+    for step in range(depth):
+        end = f"{name}_end{step}"
         levels.append({end: F.when(ends, F.struct(reset, decay, full.alias("v")))})
-        levels.append({f"{name}_full{depth}": with_handed(F.col(local), end)})
-        full = F.col(f"{name}_full{depth}")
+        levels.append({f"{name}_full{step}": with_handed(F.col(local), end)})
+        full = F.col(f"{name}_full{step}")
     kept = F.when(F.col(reset) > 0, F.lit(0.0)).otherwise(F.exp(decay))
     return [*levels, {name: full, f"{name}_kept": kept}]
 
 
-def blended(layout: Layout, name: str, a: Column, b: Column) -> Layout:
-    """Add ``name`` = e(t) = a(t) e(t-1) + b(t), 0 <= a <= 1, over whole series.
+def blended(layout: Layout, name: str, weight: Column, x: Column) -> Layout:
+    """Add ``name`` = e(t) = (1-weight) e(t-1) + weight x(t), 0 <= weight <= 1, over whole series.
+
+    The weights of all earlier values add up to 1, so what lies two bands of decay back is
+    below e**-300 of it and one band is handed on; values of one sign and of like size are meant.
 
     Blocks are summarised by one (a, b) pair each and scanned by the same recursion, so a
     series of any length needs no task larger than a block.  Halo rows are dropped.
     """
     base, columns = layout.own(), layout.df.columns
     order, kept = base.series.order, f"{name}_kept"
-    inner = base.with_levels(_blend_levels(base.parts, order, name, a, b))
+    inner = base.with_levels(_blend_levels(base.parts, order, name, 1 - weight, weight * x, 1))
     if base.whole:
         return replace(base, df=inner.df.select(*columns, name))
     keys, position = base.series.keys, base.series.position()
     inner = replace(base, df=inner.df.select(*columns, name, kept))
-    blocks = inner.df.groupBy(*base.parts).agg(
-        F.max_by(name, position).alias("_b"), F.max_by(kept, position).alias("_a")
+    blocks = _shared(
+        inner.df, base.series, F.max_by(name, position).alias("_b"), F.max_by(kept, position).alias("_a")
     )
-    for level in _blend_levels(keys, (BLOCK,), "_carry", F.col("_a"), F.col("_b")):
+    for level in _blend_levels(keys, (BLOCK,), "_all", F.col("_a"), F.col("_b"), 1):
         blocks = blocks.withColumns(level)
-    previous = F.lag("_carry").over(Window.partitionBy(*keys).orderBy(BLOCK))
-    blocks = blocks.select(*base.parts, F.coalesce(previous, F.lit(0.0)).alias("_carry"))
-    joined = inner.df.join(blocks, list(base.parts)).withColumn(
-        name, F.col(name) + F.col(kept) * F.col("_carry")
-    )
+    previous = F.lag("_all").over(Window.partitionBy(*keys).orderBy(BLOCK))
+    joined = _with_shared(inner.df, base.series, blocks.withColumn("_carry", previous), ["_carry"])
+    joined = joined.withColumn(name, F.col(name) + F.col(kept) * F.coalesce("_carry", F.lit(0.0)))
     return replace(base, df=joined.select(*columns, name))

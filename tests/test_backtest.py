@@ -12,7 +12,7 @@ from tapeloom.operators.series import Series
 from tapeloom.plans import explore, sweep
 
 approx = pytest.approx
-BLOCKS = Series(step="1m", block_rows=32)
+BLOCKS = Series(step="1m", cuts=31)
 
 
 def scripted(*targets):

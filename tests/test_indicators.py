@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import summary
-from tapeloom.operators.series import Series
+from tapeloom.operators.series import Series, _placed, _shared, _with_shared, lay_out, running
 
 approx = pytest.approx
-BLOCKS = Series(step="1m", block_rows=64)
+BLOCKS = Series(step="1m", cuts=23)
 
 
 def one(df, indicator, column):
@@ -163,6 +164,39 @@ def test_rsi_of_a_long_flat_stretch_is_the_same_in_blocks(spark):
     gain = pd.Series(close).diff().clip(lower=0).fillna(0.0).ewm(alpha=1 / 14, adjust=False).mean()
     loss = (-pd.Series(close).diff().clip(upper=0)).fillna(0.0).ewm(alpha=1 / 14, adjust=False).mean()
     want = (100 - 100 / (1 + gain / loss)).to_numpy()
-    for series in (Series(), Series(step="1m", block_rows=4096), Series(step="1m", block_rows=1)):
+    for series in (Series(), Series(step="1m", cuts=3), Series(step="1m", cuts=60)):
         got = ind.with_indicators(df, [ind.rsi().named("x")], series).toPandas().sort_values("timestamp")["x"]
         np.testing.assert_allclose(got.to_numpy()[1:], want[1:], rtol=1e-6)
+
+
+def fills_of(spark, n, key="'A'"):
+    return spark.range(n).selectExpr(f"{key} AS symbol", "timestampadd(SECOND, CAST(id div 3 AS INT), TIMESTAMP_NTZ '2024-01-02') AS timestamp", "id AS seq", "id % 7 AS x")
+
+
+def test_passes_over_a_cut_series_share_one_exchange(spark):
+    series = Series(order=("timestamp", "seq"), step=None, cuts=9)
+    lay = running(lay_out(fills_of(spark, 4000), series, 5), {"total": ("sum", F.col("x"))})
+    lay = running(lay, {"most": ("max", F.col("total"))})
+    rows = lay.df.orderBy("seq").select("total", "most")
+    got = [tuple(r) for r in rows.collect()]
+    sums = np.cumsum([i % 7 for i in range(4000)]).tolist()
+    assert got == list(zip(sums, sums))
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Range (") == 1 and "ReusedExchange" in plan
+
+
+def test_a_cut_series_keeps_null_keys_and_keys_in_one_block(spark):
+    key = "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 100 = 1 THEN CAST(id AS STRING) ELSE 'A' END"
+    series = Series(order=("timestamp", "seq"), step=None)
+    for cuts in (1, 7):
+        lay = running(lay_out(fills_of(spark, 3000, key), replace(series, cuts=cuts)), {"nth": ("sum", F.lit(1))})
+        ends = {r.symbol: (r.n, r.m) for r in lay.df.groupBy("symbol").agg(F.count("*").alias("n"), F.max("nth").alias("m")).collect()}
+        assert len(ends) == 32 and all(n == m for n, m in ends.values()) and ends[None] == (600, 600)
+
+
+def test_passes_that_were_cut_elsewhere_fail(spark):
+    series = Series(order=("timestamp", "seq"), step=None, cuts=5)
+    rows = _placed(fills_of(spark, 2000), series)
+    other = _placed(fills_of(spark, 2000).where("seq < 1500"), series)
+    with pytest.raises(Exception, match="cut at different rows"):
+        _with_shared(rows, series, _shared(other, series, F.sum("x").alias("s")), ["s"]).agg(F.sum("s")).collect()

@@ -41,21 +41,20 @@ def test_ledgers_in_blocks(spark):
         held += -n if sell else n
         rows.append((i // 5, "A", "sell" if sell else "buy", n, 10 + rng.random()))
     fills = ledger.fills_enriched(fill_rows(spark, *rows))
-    slots = ("timestamp", "floor(seq / 3)")
     for keys, run in ((("account", "symbol"), ledger.position_ledger), (("account",), lambda f, s: ledger.cash_ledger(f, 1e6, s))):
         plain = run(fills, Series(keys, ledger.ORDER)).toPandas().sort_values("seq")
-        cut = run(fills, Series(keys, ledger.ORDER, None, slots, block_rows=20)).toPandas().sort_values("seq")
+        cut = run(fills, Series(keys, ledger.ORDER, None, 35)).toPandas().sort_values("seq")
         for name in plain.columns.difference(["timestamp", "symbol", "side", "reason"]):
             np.testing.assert_allclose(plain[name].astype(float), cut[name].astype(float), rtol=1e-9, err_msg=name)
 
 
 def test_a_day_of_one_account_is_cut_into_blocks(spark):
-    """Whether its fills share one time or not, a block holds at most about block_rows of them."""
+    """Whether its fills share one time or not, a block holds about its share of them."""
     fills = spark.range(40_000).selectExpr(
         "1 AS account", "'A' AS symbol", "id AS seq",
         "timestampadd(MICROSECOND, IF(id < 30000, 0, CAST(id AS INT)), TIMESTAMP_NTZ '2024-01-02 10:00:00') AS timestamp",
     )
-    lay = lay_out(fills, replace(ledger.ACCOUNT, block_rows=1000))
+    lay = lay_out(fills, replace(ledger.ACCOUNT, cuts=40))
     sizes = [r["count"] for r in lay.df.groupBy(*lay.parts).count().collect()]
     assert sum(sizes) == 40_000 and max(sizes) <= 2000 and len(sizes) >= 20
 
