@@ -97,6 +97,14 @@ daily(
     STOCHASTIC_SQL,
 )
 plain("williams_r", 4, ind.williams_r, f"-100 * ({HH} - close) / ({HH} - {LL})")
+LONG = 1000
+LONG_HH, LONG_LL = rolling("max", "high", LONG), rolling("min", "low", LONG)
+plain(
+    "williams_r_long",
+    4,
+    lambda: ind.williams_r(LONG),
+    f"-100 * ({LONG_HH} - close) / ({LONG_HH} - {LONG_LL})",
+)
 daily(
     "cci",
     "cci:4",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.expr import as_col, ieee_div
@@ -179,16 +179,49 @@ def rsi(column: str = "close", window: int = 14) -> Indicator:
     return Indicator("rsi", 1, lambda lay, p: rsi_recipe(lay, p, column, window))
 
 
+#: Up to this window a sliding frame, which reads the window again for each row, is cheaper.
+SLIDING = 64
+
+
+def rolling_extremes(lay: Layout, p: str, specs: dict[str, tuple[str, str]], window: int) -> list[dict[str, Column]]:
+    """Levels that add ``name: (max or min, column)`` over the last ``window`` rows, NULL until full.
+
+    For long windows rows are cut into stretches as long as the window: a window reaches from
+    the end of one stretch into the next, so its extreme is that of a running extreme towards
+    the stretch's end, looked up ``window - 1`` rows before, and of one from the start of the
+    row's own stretch.  The cost of a row does not depend on the window.
+    """
+    pick, either = {"max": F.max, "min": F.min}, {"max": F.greatest, "min": F.least}
+    if window <= SLIDING:
+        return [{name: lay.rolling(pick[kind], column, window) for name, (kind, column) in specs.items()}]
+    stretch = (*lay.parts, F.floor((F.col(f"{p}_at") - 1) / window))
+    first, last = Window.unboundedPreceding, Window.currentRow
+    onwards = Window.partitionBy(*stretch).orderBy(*lay.series.order).rowsBetween(first, last)
+    backwards = Window.partitionBy(*stretch).orderBy(*[F.desc(c) for c in lay.series.order]).rowsBetween(first, last)
+    so_far = lay.rows.rowsBetween(first, last)
+    counts = {f"{p}_of_{c}": F.count(c).over(so_far) for c in {c for _, c in specs.values()}}
+    from_start = {f"{n}_on": pick[kind](c).over(onwards) for n, (kind, c) in specs.items()}
+    to_end = {f"{n}_back": pick[kind](c).over(backwards) for n, (kind, c) in specs.items()}
+
+    def full(column: str) -> Column:
+        seen = F.col(f"{p}_of_{column}")
+        return seen - F.coalesce(lay.lag(seen, window), F.lit(0)) == window
+
+    extremes = {
+        n: F.when(full(c), either[kind](f"{n}_on", lay.lag(f"{n}_back", window - 1))) for n, (kind, c) in specs.items()
+    }
+    return [{f"{p}_at": F.row_number().over(lay.rows), **counts}, from_start, to_end, extremes]
+
+
 def stochastic_oscillator(
     window: int = 14, smooth: int = 3, high: str = "high", low: str = "low", close: str = "close"
 ) -> Indicator:
     def cook(lay: Layout, p: str) -> Recipe:
-        bottom, top = lay.rolling(F.min, low, window), lay.rolling(F.max, high, window)
         k = F.col(f"{p}_k")
         return Recipe(
             F.struct(k.alias("percent_k"), lay.rolling(F.avg, k, smooth).alias("percent_d")),
             [
-                {f"{p}_bot": bottom, f"{p}_top": top},
+                *rolling_extremes(lay, p, {f"{p}_bot": ("min", low), f"{p}_top": ("max", high)}, window),
                 {
                     f"{p}_k": ieee_div(
                         100 * (F.col(close) - F.col(f"{p}_bot")),
@@ -208,12 +241,7 @@ def williams_r(
         top, bottom = F.col(f"{p}_top"), F.col(f"{p}_bot")
         return Recipe(
             ieee_div(-100 * (top - F.col(close)), top - bottom),
-            [
-                {
-                    f"{p}_top": lay.rolling(F.max, high, window),
-                    f"{p}_bot": lay.rolling(F.min, low, window),
-                }
-            ],
+            rolling_extremes(lay, p, {f"{p}_top": ("max", high), f"{p}_bot": ("min", low)}, window),
         )
 
     return Indicator("williams_r", window - 1, cook)

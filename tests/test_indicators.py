@@ -200,3 +200,20 @@ def test_passes_that_were_cut_elsewhere_fail(spark):
     other = _placed(fills_of(spark, 2000).where("seq < 1500"), series)
     with pytest.raises(Exception, match="cut at different rows"):
         _with_shared(rows, series, _shared(other, series, F.sum("x").alias("s")), ["s"]).agg(F.sum("s")).collect()
+
+
+@pytest.mark.parametrize("window", [3, 65, 200])
+@pytest.mark.parametrize("cuts", [None, 11])
+def test_rolling_extremes_agree_with_a_sliding_frame(spark, bars, window, cuts):
+    rng = np.random.default_rng(window)
+    close = (100 + rng.normal(size=700).cumsum()).tolist()
+    rows = [(c, c + rng.random(), c - rng.random(), c, 1) for c in close]
+    df = bars(rows).unionByName(bars(rows[:window], symbol="B"))
+    df = df.withColumn("high", F.when(F.dayofyear("timestamp") != 90, F.col("high")))
+    out = ind.with_indicators(df, [ind.williams_r(window), ind.stochastic_oscillator(window)], Series(cuts=cuts)).toPandas()
+    for _, part in out.groupby("symbol"):
+        part = part.sort_values("timestamp")
+        top, low = part["high"].rolling(window).max(), part["low"].rolling(window).min()
+        want = -100 * (top - part["close"]) / (top - low)
+        np.testing.assert_allclose(part["williams_r"].astype(float), want, rtol=1e-9)
+        np.testing.assert_allclose(part["stochastic_percent_k"].astype(float), want + 100, rtol=1e-9, atol=1e-9)
