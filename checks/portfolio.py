@@ -123,6 +123,28 @@ add(
     _both_ranks,
     f"SELECT *, {rank_sql(False)} AS score, {rank_sql(True)} AS inverse FROM customers",
 )
+# All values within a millionth of each other, half of the rows with the same one.
+view(
+    "narrow",
+    """SELECT c_custkey AS symbol, c_mktsegment AS asof,
+  CASE WHEN c_custkey % 2 = 0 THEN 100e0 ELSE 100e0 + (c_custkey * 7919 % 4999) * 1e-9 END AS value FROM customer""",
+)
+
+
+def narrow(s, d):
+    key = F.col("c_custkey")
+    near = 100.0 + (key * 7919 % 4999) * F.lit(1e-9)
+    value = F.when(key % 2 == 0, F.lit(100.0)).otherwise(near)
+    table = views.table(s, d, "customer")
+    return table.select(key.alias("symbol"), F.col("c_mktsegment").alias("asof"), value.alias("value"))
+
+
+add(
+    "score_rank_narrow",
+    "asof symbol score:6",
+    lambda s, d: sel.with_score(narrow(s, d), sel.rank_score("value")),
+    f"SELECT *, {rank_sql(False)} AS score FROM narrow",
+)
 add(
     "score_raw",
     "symbol score:6",

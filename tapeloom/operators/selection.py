@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.expr import ieee_div
+from tapeloom.operators.series import Series, lay_out, running
 
 FEATURES = ("price", "adv", "volatility", "momentum", "bars")
 YEAR = 252
@@ -90,53 +91,30 @@ def blend(parts: Sequence[tuple[float, Score]]) -> Score:
     return reduce(lambda a, b: a + b, [weight * score for weight, score in parts])
 
 
-def _magnitude_bucket(value: Column) -> Column:
-    """Monotone bucket: 64 per factor e, by sign and size; at most ~190,000 buckets exist."""
-    v = value.cast("double")
-    size = F.floor(F.log(F.abs(v)) * 64) + 100_000
-    return (
-        F.when(F.isnan(v), F.lit(1_000_000))
-        .when(v == float("inf"), F.lit(900_000))
-        .when(v == float("-inf"), F.lit(-900_000))
-        .when(v > 0, size)
-        .when(v < 0, -size)
-        .otherwise(F.lit(0))
-        .cast("bigint")
-    )
-
-
 def with_average_rank(
-    df: DataFrame, column: str, by: Sequence[str], out: str, descending: bool
+    df: DataFrame,
+    column: str,
+    by: Sequence[str],
+    out: str,
+    descending: bool,
+    cuts: int | None = None,
 ) -> DataFrame:
     """``out`` = average rank of ``column`` among the non-NULL values of its group.
 
-    For groups of any size: equal values are counted first (map-side), distinct values are
-    ordered inside magnitude buckets, and bucket totals give the offsets, so no task sees a
-    whole group.
+    For groups of any size and any distribution: equal values are counted first (map-side),
+    and the distinct values are a series in their own order, cut by range into parts of about
+    equal size with running totals carried across, so values may lie as close as they like.
+    The lookup by value is a plain left join, whose common values adaptive execution splits.
     """
-    values = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*by, column)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", _magnitude_bucket(F.col(column)))
-    )
-    over_buckets = Window.partitionBy(*by).orderBy("_bucket")
-    offsets = (
-        values.groupBy(*by, "_bucket")
-        .agg(F.sum("_n").alias("_in"))
-        .withColumn("_below", F.sum("_in").over(over_buckets) - F.col("_in"))
-        .withColumn("_all", F.sum("_in").over(Window.partitionBy(*by)))
-        .drop("_in")
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(column)
-    ascending_rank = F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2
-    rank = F.col("_all") + 1 - ascending_rank if descending else ascending_rank
-    ranks = (
-        values.join(offsets, [*by, "_bucket"])
-        .withColumn("_upto", F.sum("_n").over(inside))
-        .select(*by, column, rank.alias(out))
-    )
-    return df.join(ranks, [*by, column], "left")
+    values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    lay = running(lay_out(values, Series(tuple(by), (column,), None, cuts)), {"_to": ("sum", F.col("_n"))})
+    ranks = lay.df.select(*by, column, (F.col("_to") - (F.col("_n") - 1) / 2).alias(out))
+    ranked = df.join(ranks, [*by, column], "left")
+    if not descending:
+        return ranked
+    known = df.groupBy(*by).agg(F.count(column).alias("_known"))
+    turned = ranked.join(known, list(by)).withColumn(out, F.col("_known") + 1 - F.col(out))
+    return turned.select(*df.columns, out)
 
 
 def with_score(
@@ -152,10 +130,13 @@ def with_score(
     ranked = {(c, marked) for _, kind, c, marked in score.terms if kind == "rank"}
     ranks = {pair: f"_rank{n}" for n, pair in enumerate(sorted(ranked))}
     if ranks:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+        known = {f"_known_{c}": F.count(c) for c in sorted({c for c, _ in ranks})}
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), *[n.alias(k) for k, n in known.items()])
+        for (column, _), out in ranks.items():
+            df = with_average_rank(df, column, by, out, False)
         df = df.join(sizes, list(by))
-        for (column, marked), out in ranks.items():
-            df = with_average_rank(df, column, by, out, marked)
+        turned = {out: F.col(f"_known_{c}") + 1 - F.col(out) for (c, marked), out in ranks.items() if marked}
+        df = df.withColumns(turned)
     for weight, kind, column, marked in score.terms:
         if kind == "rank":
             term = F.col(ranks[column, marked]) / F.col("_size")

@@ -131,3 +131,12 @@ def test_budget_in_force(switch, spark):
     assert out["A", datetime(2024, 1, 31)] == 0.2 and out["A", datetime(2024, 2, 1)] == 0
     assert out["B", datetime(2024, 1, 15)] == 0
     assert {r.budget for r in al.static_budget(switch).collect()} == {1.0}
+
+
+def test_ranks_of_close_and_common_values_are_spread(spark):
+    """Half of the rows hold one value, the others differ by less than a millionth of it."""
+    frame = spark.range(6000).selectExpr("id AS symbol", "'g' AS g", "CASE WHEN id % 2 = 0 THEN 100.0D WHEN id % 7 = 1 THEN NULL ELSE 100.0D + (id % 1999) * 1e-9 END AS v")
+    for descending in (False, True):
+        out = sel.with_average_rank(frame, "v", ("g",), "r", descending, cuts=13).toPandas().sort_values("symbol")
+        want = out["v"].rank(method="average", ascending=not descending)
+        np.testing.assert_allclose(out["r"].astype(float), want)
