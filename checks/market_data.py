@@ -1,6 +1,7 @@
 """Checks of sources, tables and resampling."""
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from checks.registry import add, code_sql, view
 from tapeloom.functions.codes import from_exchange_code, to_exchange_code
 from tapeloom.operators.resample import resample, session_bucket
 from tapeloom.schema import INTERVAL_MINUTES, interval_minutes, is_intraday
+from tapeloom.session import checkpoint_root
 from tapeloom.sources import ingest, tables, views
 
 BAR = "symbol interval timestamp open:8 high:8 low:8 close:8 volume"
@@ -23,6 +25,38 @@ add(
     AND timestamp >= TIMESTAMP '1997-03-01' AND timestamp < TIMESTAMP '1998-09-15'""",
 )
 
+
+
+def fresh(s, purpose: str) -> tuple[str, str]:
+    """A table name and a folder that no other run uses."""
+    name = f"{purpose}_{uuid.uuid4().hex}"
+    return name, f"{checkpoint_root(s)}/{name}"
+
+
+def _written(s, d):
+    name, folder = fresh(s, "bars")
+    tables.create_bars_table(s, name, folder)
+    tables.create_bars_table(s, name, folder)
+    n = tables.write_bars(views.bars_daily(s, d).unionByName(views.bars_minute(s, d)), name)
+    return tables.read_bars(s.table(name), ordered=False).withColumn("written", F.lit(n))
+
+
+def _artifacts(s, d):
+    _, folder = fresh(s, "artifacts")
+    closes = views.bars_daily(s, d).select(F.col("symbol").alias("spec_key"), "timestamp", F.col("close").alias("equity"))
+    tables.write_artifacts(closes, folder)
+    tables.write_artifacts(closes, folder)  # a second write replaces the first
+    return s.read.parquet(folder)
+
+
+add(
+    "write_bars",
+    f"{BAR} written",
+    _written,
+    """SELECT *, (SELECT count(*) FROM bars_daily) + (SELECT count(*) FROM bars_minute) AS written
+    FROM (SELECT * FROM bars_daily UNION ALL BY NAME SELECT * FROM bars_minute) z""",
+)
+add("equity_artifacts", "spec_key timestamp equity", _artifacts, "SELECT symbol AS spec_key, timestamp, close AS equity FROM bars_daily")
 view(
     "bars_versions",
     """SELECT *, timestamp AS ingested_at FROM bars_minute UNION ALL

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.indicators import ID, SMALL, UPTO, rolling, rsi_sql, summary_ctes
+from checks.market_data import fresh
 from checks.registry import add, view
 from tapeloom.functions.costs import CostModel
 from tapeloom.operators import backtest as bt
 from tapeloom.operators import ledger
 from tapeloom.operators.series import MINUTE
 from tapeloom.plans import explore, sweep
-from tapeloom.sources import views
+from tapeloom.sources import tables, views
 
 COSTS = CostModel()
 SMA_TARGET = (
@@ -124,6 +125,16 @@ add(
 )
 
 
+def _bucketed(s, d):
+    """The same backtest over a catalog table bucketed by symbol."""
+    name, folder = fresh(s, "bucketed")
+    tables.save_bucketed(views.bars_daily(s, d), name, 8, folder)
+    return with_growth(bt.backtest_stats(bt.backtest(s.table(name), bt.sma_cross())))
+
+
+add("backtest_bucketed", f"symbol {GROWTH}", _bucketed, stats_sql("bt_sma"))
+
+
 def _minute_reversion(s, d, series=MINUTE):
     """A latched signal on carried averages, and two carry passes."""
     frame = bt.backtest(views.bars_minute(s, d), bt.rsi_reversion(window=7), series=series)

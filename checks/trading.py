@@ -470,6 +470,12 @@ add(
       count(*) FILTER (side = 'sell') AS ns, sum(cost) AS costs FROM costed GROUP BY ALL) t USING (account, date)
     LEFT JOIN (SELECT account, CAST(timestamp AS DATE) AS date, count(*) AS k FROM marks GROUP BY ALL) p USING (account, date)""",
 )
+add(
+    "daily_report_trades",
+    "account date symbol side shares price:6 cost:6 reason",
+    lambda s, d: report(s, d)[1],
+    "SELECT *, CAST(timestamp AS DATE) AS date FROM costed",
+)
 add(
     "daily_report_positions",
     "account date symbol shares avg_price:6 price:6 unrealized_pnl:2",

@@ -56,6 +56,20 @@ def write_bars(df: DataFrame, table: str) -> int:
     return int(seen.get["rows"])
 
 
+def save_bucketed(df: DataFrame, table: str, buckets: int, location: str | None = None) -> None:
+    """Bars as a catalog table whose files hold whole symbols in order of time.
+
+    Windows, aggregates and joins by symbol over the table need no exchange.  The rows are
+    dealt by bucket first, so every bucket is one file and stays sorted.
+    """
+    check_bar_columns(df)
+    dealt = df.select(*BAR_COLUMNS).repartition(buckets, "symbol")
+    out = dealt.write.format("parquet").bucketBy(buckets, "symbol").sortBy("symbol", "timestamp")
+    if location:
+        out = out.option("path", location)
+    out.saveAsTable(table)
+
+
 def read_bars(
     bars: DataFrame,
     symbols: Sequence[str] | None = None,

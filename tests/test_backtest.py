@@ -9,6 +9,7 @@ import pytest
 from tapeloom.functions.costs import FREE, CostModel
 from tapeloom.operators import backtest as bt
 from tapeloom.operators.series import Series
+from tapeloom.sources import tables
 from tapeloom.plans import explore, sweep
 
 approx = pytest.approx
@@ -128,3 +129,16 @@ def test_multi_strategy_compare(bars):
     df = bars([10 + i % 5 for i in range(60)], start=datetime(2024, 1, 1))
     rows = explore.multi_strategy_compare(df, [("buy_and_hold", {}), ("sma_cross", {"fast": 2, "slow": 4})]).collect()
     assert {r.strategy for r in rows} == {"buy_and_hold", "sma_cross_2_4"}
+
+
+def test_a_backtest_over_a_bucketed_table_needs_no_exchange(spark, bars, tmp_path):
+    df = bars([float(100 + i % 9) for i in range(80)]).unionByName(bars([50.0] * 80, symbol="B"))
+    tables.save_bucketed(df, "bucketed_bars", 4, str(tmp_path / "bars"))
+    try:
+        stored = spark.table("bucketed_bars")
+        stats = bt.backtest_stats(bt.backtest(stored, bt.sma_cross(3, 7)))
+        assert "Exchange" not in stats._jdf.queryExecution().executedPlan().toString()
+        want = bt.backtest_stats(bt.backtest(df, bt.sma_cross(3, 7)))
+        assert sorted(map(repr, stats.collect())) == sorted(map(repr, want.collect()))
+    finally:
+        spark.sql("DROP TABLE bucketed_bars")
