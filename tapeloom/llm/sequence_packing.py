@@ -4,9 +4,11 @@
 places pieces by a configuration linear program over the histogram of lengths: a
 configuration is a multiset of lengths that fits a sequence, and the program asks for the
 fewest configurations that cover every length.  It is solved by multiplicative weights
-whose pricing step is a knapsack (dynamic programming over the capacity); whole parts of
-the solution are kept, what remains of the histogram is placed by best fit, and the plan is
-then used to give every piece a sequence and an offset.
+whose pricing step is a knapsack (dynamic programming over the capacity, bounded by what is
+still uncovered); purchases are rounded to whole sequences as they are made.  A rest of many
+sequences is solved again, a small one
+is placed by best fit, and the plan is then used to give every piece
+a sequence and an offset.
 
 The driver sees only the histogram (at most ``capacity`` counts) and the plan (one entry
 per configuration and length), both bounded by the capacity and not by the data.  Pieces
@@ -37,8 +39,15 @@ from tapeloom.session import settle
 
 #: Words remembered by a worker, about 200 bytes each.
 CACHE_WORDS = 300_000
-#: Rounds of multiplicative weights; each adds one configuration.
-ROUNDS = 240
+#: Share of a scarcest length's demand that one round of multiplicative weights buys.
+STEP = 1.0
+#: Share of all tokens that is left to best fit.
+REST = 0.08
+#: The first price of a length is its share of a sequence to this power: above 1, short
+#: lengths go a little later, and are there for best fit.
+TILT = 1.1
+#: Share of the highest price that a configuration without waste needs at least.
+ENOUGH = 0.5
 
 PIECES = T.StructType(
     [
@@ -123,53 +132,77 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
 # The plan: histogram -> configurations with their multiplicity.
 
 
-def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths that fits; ``values`` are those of ``lengths``."""
-    best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
-    for room in range(int(lengths[0]), capacity + 1):
-        fit = np.searchsorted(lengths, room, "right")
-        worth = best[room - lengths[:fit]] + values[:fit]
-        k = int(np.argmax(worth))
-        best[room], taken[room] = worth[k], k
-        if best[room - 1] > best[room]:
-            best[room], taken[room] = best[room - 1], -1
+def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int, copies: np.ndarray | None = None, enough: float = np.inf) -> dict[int, int]:
+    """The most valuable multiset of lengths that fits, with at most ``copies`` of each.
+
+    One that fills the capacity and is worth ``enough`` is taken as soon as it is found.
+    """
+    best, taken, parts = np.full(capacity + 1, -np.inf), [], []
+    best[0] = 0.0
+    for i, (length, value) in enumerate(zip(lengths.tolist(), values.tolist())):
+        left = capacity // length if copies is None else min(capacity // length, int(copies[i]))
+        if best[capacity] >= enough:
+            break
+        # Copies in parts of 1, 2, 4, ... make every number of them.
+        n = 1
+        while left > 0:
+            n = min(n, left)
+            worth = best[: capacity + 1 - n * length] + n * value
+            better = worth > best[n * length :]
+            np.maximum(best[n * length :], worth, out=best[n * length :])
+            taken.append(better)
+            parts.append((length, n))
+            left -= n
+            n *= 2
     chosen: Counter[int] = Counter()
-    room = capacity
-    while room >= lengths[0]:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            chosen[int(lengths[taken[room]])] += 1
-            room -= int(lengths[taken[room]])
+    room = capacity if best[capacity] >= enough else int(np.argmax(best))
+    for (length, n), better in zip(reversed(parts), reversed(taken)):
+        if room >= n * length and better[room - n * length]:
+            chosen[length] += n
+            room -= n * length
     return dict(chosen)
 
 
-def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and fractional multiplicities that about cover the histogram.
+def priced(price: np.ndarray, lengths: np.ndarray, copies: np.ndarray, capacity: int) -> dict[int, int]:
+    """A configuration that is full and whose price is at least ``ENOUGH`` of the highest.
 
-    Multiplicative weights for the covering program: the weights are prices of the lengths;
-    the configuration of the highest price is bought, and prices of what it covers fall.
+    No configuration is worth more than ``capacity`` times the highest price of a token, so
+    lengths are added in the order of that price until a full configuration comes close to
+    the bound.  Without such a one the configuration of the highest price is returned.
+    """
+    density = price / lengths
+    # Equal prices are taken in mixed order, so that long and short lengths go at the same pace.
+    order = np.lexsort((lengths * 2654435761 % 2**32, -density))
+    return knapsack(price[order], lengths[order], capacity, copies[order], ENOUGH * capacity * density[order[0]])
+
+
+def configuration_lp(histogram: dict[int, int], capacity: int, step: float = STEP) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Configurations with whole multiplicities inside the histogram, and what they leave.
+
+    Multiplicative weights for the covering program: a length's price is its share of a
+    sequence, times a weight that falls by the factor e while its demand is covered once.
+    Each round buys the configuration of the highest price, ``step`` of the demand of its
+    scarcest length, so all lengths are covered at the same pace.  A purchase is rounded down
+    to whole sequences, at least one, and never exceeds what is still uncovered, so there is
+    nothing to scale or to take back at the end.  Rounds end when the share ``REST`` of all
+    tokens is uncovered, which goes to best fit.
     """
     lengths = np.array(sorted(histogram))
-    demand = np.array([histogram[n] for n in lengths], float)
-    place = {int(n): i for i, n in enumerate(lengths)}
-    price = lengths / capacity
-    bought: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
-    for _ in range(rounds):
-        config = knapsack(price, lengths, capacity)
-        at = np.array([place[n] for n in config])
-        count = np.array([config[n] for n in config], float)
-        step = max(float(np.min(demand[at] / count)), 1.0)
-        key = tuple(sorted(config.items()))
-        bought[key] = bought.get(key, 0.0) + step
-        covered[at] += count * step
-        # Prices fall with the share of the demand that is covered, and are never zero.
-        price = lengths / capacity * np.exp(-np.minimum(covered / demand, 60.0))
-    share = float(np.min(np.where(covered > 0, covered / demand, np.inf)))
-    scale = 1.0 / max(share, 1.0)
-    return [(dict(key), times * scale) for key, times in bought.items()]
+    demand = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    left = demand.copy()
+    bought: Counter[tuple] = Counter()
+    open_ = np.arange(len(lengths))
+    while int(left @ lengths) > REST * int(demand @ lengths):
+        price = (lengths[open_] / capacity) ** TILT * np.exp(left[open_] / demand[open_] - 1.0)
+        config = priced(price, lengths[open_], left[open_], capacity)
+        at = np.searchsorted(lengths, list(config))
+        count = np.array(list(config.values()))
+        times = int(min(np.min(left[at] // count), max(1, np.floor(step * np.min(demand[at] / count)))))
+        bought[tuple(sorted(config.items()))] += times
+        left[at] -= count * times
+        open_ = open_[left[open_] > 0]
+    rest = {int(n): int(c) for n, c in zip(lengths, left) if c}
+    return [(dict(key), times) for key, times in bought.items()], rest
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -208,25 +241,19 @@ def _counted(parts: tuple[tuple[int, int], ...]) -> dict[int, int]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int, step: float = STEP) -> list[tuple[dict[int, int], int]]:
     """Configurations with whole multiplicities that hold exactly the histogram."""
     if not histogram:
         return []
     if min(histogram) < 1 or max(histogram) > capacity:
         raise ValueError(f"lengths must lie in 1..{capacity}")
-    left = dict(histogram)
-    kept: list[tuple[dict[int, int], int]] = []
-    for config, times in sorted(configuration_lp(histogram, capacity, rounds), key=lambda x: -sum(n * c for n, c in x[0].items())):
-        # A configuration with waste is left to best fit, which sees all that remains.
-        if sum(n * c for n, c in config.items()) < capacity:
-            continue
-        whole = min([int(times), *(left.get(n, 0) // c for n, c in config.items())])
-        if whole > 0:
-            kept.append((config, whole))
-            for n, c in config.items():
-                left[n] -= c * whole
-    rest = best_fit({n: c for n, c in left.items() if c}, capacity)
-    return kept + rest
+    out, rest = [], histogram
+    while True:
+        bought, rest = configuration_lp(rest, capacity, step)
+        out += bought
+        # A rest of many sequences is a histogram of its own for the program.
+        if sum(n * c for n, c in rest.items()) <= capacity**2:
+            return out + best_fit(rest, capacity)
 
 
 # Giving pieces their places.
@@ -261,7 +288,7 @@ def ranked(pieces: DataFrame, order: list[str], buckets: int) -> DataFrame:
     return joined.withColumn("rank", F.col("_start") + F.col("_row")).drop("_length", "_b", "_start", "_row", "_bucket")
 
 
-def pack(pieces: DataFrame, order: list[str], capacity: int, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, order: list[str], capacity: int, step: float = STEP) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (column ``length``, long).
 
     ``order`` names columns that tell pieces apart; rows equal in them are interchangeable.
@@ -269,10 +296,10 @@ def pack(pieces: DataFrame, order: list[str], capacity: int, rounds: int = ROUND
     """
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = _slots(plan(histogram, capacity, rounds))
+    slots = _slots(plan(histogram, capacity, step))
     schema = "s_length bigint, s_first bigint, s_ranks bigint, s_sequence bigint, s_per bigint, s_offset bigint"
     entries = spark.createDataFrame([tuple(map(int, s)) for s in slots], schema)
-    # One row per length: its entries in rank order, found by binary search through their starts.
+    # One row per length: its entries, each with the ranks it holds.
     by_length = entries.groupBy("s_length").agg(F.array_sort(F.collect_list(F.struct("s_first", "s_ranks", "s_sequence", "s_per", "s_offset"))).alias("s_entries"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     placed = ranked(pieces, order, buckets).join(F.broadcast(by_length), F.col("length") == F.col("s_length"))

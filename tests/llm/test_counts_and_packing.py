@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -85,7 +87,7 @@ def test_plan_holds_the_histogram_in_few_sequences(seed):
     histogram: dict[int, int] = {}
     for _ in range(r.randrange(1, 60)):
         histogram[r.randrange(1, capacity + 1)] = r.choice([1, 3, 50, 1000])
-    plan = packing.plan(histogram, capacity, 80)
+    plan = packing.plan(histogram, capacity)
     held: dict[int, int] = {}
     for config, times in plan:
         assert sum(n * c for n, c in config.items()) <= capacity and times > 0
@@ -97,6 +99,22 @@ def test_plan_holds_the_histogram_in_few_sequences(seed):
     assert sum(t for _, t in plan) <= 1.25 * max(-(-volume // capacity), large) + 2
 
 
+def test_program_places_most_tokens_and_never_needs_more_than_best_fit():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
+    once = Counter(min(2048, len((t or "").split()) + 1) for t in texts)
+    for scale in (1, 10, 1000):
+        histogram = {n: c * scale for n, c in once.items()}
+        volume = sum(n * c for n, c in histogram.items())
+        bought, rest = packing.configuration_lp(histogram, 2048)
+        assert sum(n * c for n, c in rest.items()) < 0.1 * volume
+        held = Counter(rest)
+        for config, times in bought:
+            held.update({n: c * times for n, c in config.items()})
+        assert held == histogram and len(bought) > 100
+        alone = sum(times for _, times in packing.best_fit(histogram, 2048))
+        assert -(-volume // 2048) <= sum(times for _, times in packing.plan(histogram, 2048)) <= alone
+
+
 def test_knapsack_against_all_choices():
     lengths, values = np.array([2, 3, 5]), np.array([1.0, 1.9, 3.1])
     best = max(
