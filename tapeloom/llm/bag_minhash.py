@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import BoundedCache
+from tapeloom.llm.common import BoundedCache, free_names
 from tapeloom.session import settle
 
 SHINGLE = 5
@@ -395,14 +395,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     row = F.struct("doc_id", "text_hash", "times").alias("row")
     least = rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(row).alias("row")).select("row")
     stays = least.unionAll(rows.where("class_key IS NULL").select(row))
-    stays = stays.select(F.col("row.doc_id").alias("_stay_id"), F.col("row.text_hash").alias("_stay_hash"), F.col("row.times").alias("_times"))
+    stay_id, stay_hash, times, row_hash = free_names(docs.columns, "stay_id", "stay_hash", "times", "row_hash")
+    stays = stays.select(F.col("row.doc_id").alias(stay_id), F.col("row.text_hash").alias(stay_hash), F.col("row.times").alias(times))
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"_row_hash": F.xxhash64(text), "text": _pack(text)})
+    keyed = docs.withColumns({row_hash: F.xxhash64(text), "text": _pack(text)})
 
     def staying(which: DataFrame) -> DataFrame:
-        same = keyed["doc_id"].cast("bigint").eqNullSafe(which["_stay_id"]) & (keyed["_row_hash"] == which["_stay_hash"])
-        return keyed.join(which, same).drop("_stay_id", "_stay_hash", "_times")
+        same = keyed["doc_id"].cast("bigint").eqNullSafe(which[stay_id]) & (keyed[row_hash] == which[stay_hash])
+        return keyed.join(which, same).drop(stay_id, stay_hash, times)
 
-    once = staying(stays.where("_times = 1"))
-    again = staying(stays.where("_times > 1")).dropDuplicates(["doc_id", "_row_hash"])
-    return once.unionAll(again).drop("_row_hash").withColumn("text", _unpack(F.col("text"))).select(docs.columns)
+    once = staying(stays.where(F.col(times) == 1))
+    again = staying(stays.where(F.col(times) > 1)).dropDuplicates(["doc_id", row_hash])
+    return once.unionAll(again).drop(row_hash).withColumn("text", _unpack(F.col("text"))).select(docs.columns)

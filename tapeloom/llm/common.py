@@ -14,6 +14,17 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("doc_id"), F.xxhash64(text, F.length(text)).alias("text_hash"))
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores before them, so that no name is among ``columns``."""
+    used, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        name = "_" + name
+        while name.lower() in used:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 class BoundedCache(dict):
     """``cache[key]`` computes a missing value; the cache is emptied when it holds ``limit`` keys."""
 
