@@ -4,14 +4,17 @@ Detected kinds: e-mail addresses, phone numbers, payment cards (only numbers tha
 Luhn check), IPv4 addresses, hexadecimal secrets of 32 digits or more, and names after a
 form of address.  Every entity, a mention without its formatting, gets a surrogate drawn from
 a keyed hash: digits become digits, letters letters of their script, cards pass the Luhn
-check again, octets stay octets of as many digits, addresses keep their top-level domain and
-share a surrogate domain, names follow the gender of the form of address and keep their
-surname's surrogate.  A mention shows the surrogate in its own format and case.
-
-Collision check.  Surrogates are drawn for the distinct entities of the whole corpus.  One
-that equals a real entity, or another surrogate, is drawn again until all are distinct, so
-different entities stay different and mentions of one entity stay the same.  Crowded kinds
-are widened after ``NARROW_ATTEMPTS`` draws.
+check again, octets stay octets of as many digits, e-mail addresses keep their top-level
+domain.  Names and addresses are put together from the surrogates of their parts: a surname
+has one surrogate wherever it stands, a given name one for each gender of the form of
+address, a domain one for all its addresses.  A mention shows the surrogate in its own format
+and case.
+
+Collision check.  Surrogates are drawn for the distinct entities and parts of the whole
+corpus.  One that equals a real one, or another surrogate, is drawn again until all are
+distinct, so different entities stay different and mentions of one entity stay the same.
+Mr. and Mrs. of one surname share its surrogate and are told apart by the form of address.
+Crowded kinds are widened after ``NARROW_ATTEMPTS`` draws.
 
 Only DataFrame functions are used.  Entities are aggregated before they are joined, and only
 texts with a mention are shuffled.
@@ -27,13 +30,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import free_names
 from tapeloom.session import settle
 
 NARROW_ATTEMPTS = 3
 MOST_ATTEMPTS = 60
+#: Copies of the table of domains, over which the addresses of a common domain are dealt.
+DOMAIN_COPIES = 16
 #: Forms of address; fixed values of the detector.
 MALE = ("Mr.", "Herr", "Herrn", "Monsieur", "Señor", "господин")
 FEMALE = ("Mrs.", "Ms.", "Miss", "Frau", "Madame", "Señora", "госпожа")
+#: Parts of names before the surname, by the kind of the name.
+GIVEN = {"man": "given of a man", "woman": "given of a woman"}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}[\p{L}’']*(?:[ -]\p{Lu}[\p{L}’']*){0,2}"
 _TITLE = "(?:" + "|".join(t.replace(".", r"\.") for t in MALE + FEMALE) + ")"
@@ -168,20 +176,22 @@ def _name_word(seed: Column, word: Column, ending: Column | None) -> Column:
 
 
 def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
-    """The ``attempt``-th draw for an entity, in canonical form."""
+    """The ``attempt``-th draw for an entity or a part of one, in canonical form.
+
+    Of an e-mail address the local part is drawn; its domain, a part, is put in later.
+    """
 
-    def seed(what: str, of: Column, again: bool = True) -> Column:
-        return F.concat(F.lit(f"{key}|{what}|{attempt if again else 0}|"), of)
+    def seed(what: str, of: Column) -> Column:
+        return F.concat(F.lit(f"{key}|{what}|{attempt}|"), of)
 
     wide = attempt >= NARROW_ATTEMPTS
     more = "x" * (attempt - NARROW_ATTEMPTS + 3) if wide else ""
 
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(
-        _drawn(seed("email", entity), F.concat(local, F.lit(more)), _same_kind), F.lit("@"), _drawn(seed("domain", domain, False), labels, _same_kind), top
-    )
+    local, at = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
+    email = F.concat(_drawn(seed("email", entity), F.concat(local, F.lit(more)), _same_kind), F.lit("@"), at)
+    top = F.substring_index(entity, ".", -1)
+    labels = F.concat(F.lit(more), F.substring(entity, F.lit(1), F.length(entity) - F.length(top)))
+    domain = F.concat(_drawn(seed("domain", entity), labels, _same_kind), top)
     secret = _drawn(seed("secret", entity), entity, lambda c, n, i: _pick("0123456789abcdef", n))
     # Cards keep their first digit; the last one makes the Luhn sum a multiple of ten.
     body = F.substring(_drawn(seed("card", entity), entity, lambda c, n, i: F.when(i == 0, c).otherwise(_pick("0123456789", n))), F.lit(1), F.length(entity) - 1)
@@ -198,33 +208,55 @@ def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
         return F.when(F.length(o) == 3, 100 + n % 156).when(F.length(o) == 2, 10 + n % 90).otherwise(n % 10).cast("string")
 
     address = F.array_join(F.transform(F.split(entity, r"\."), octet), ".")
-    words = F.split(entity, " ")
-    female = kind == "woman"
-
-    def name_word(w: Column, i: Column) -> Column:
-        surname = _name_word(seed("surname", w, False), w, None)
-        alone = _name_word(seed("surname", w), F.concat(w, F.lit(more)), None)
-        given = _name_word(F.concat(seed("given", w), F.when(female, "f").otherwise("m")), F.concat(w, F.lit(more)), female)
-        return F.when(F.size(words) == 1, alone).when(i == F.size(words) - 1, surname).otherwise(given)
-
-    name = F.array_join(F.transform(words, name_word), " ")
+    longer = F.concat(entity, F.lit(more))
+    surname = _name_word(seed("surname", entity), longer, None)
+    male, female = (_name_word(seed(part, entity), longer, F.lit(part == "given of a woman")) for part in GIVEN.values())
     return (
-        F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "card", card)
-        .when(kind == "phone", phone).when(kind == "address", address).otherwise(name)
+        F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "secret", secret).when(kind == "card", card)
+        .when(kind == "phone", phone).when(kind == "address", address)
+        .when(kind == "surname", surname).when(kind == GIVEN["man"], male).otherwise(female)
     )
 
 
+def _name_parts(entities: DataFrame) -> DataFrame:
+    """kind, entity, place, part kind and word of names; the last word is the surname."""
+    names = entities.where(F.col("kind").isin(*GIVEN)).withColumn("words", F.split("entity", " "))
+    words = names.select("kind", "entity", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
+    given = F.when(F.col("kind") == "man", GIVEN["man"]).otherwise(GIVEN["woman"])
+    return words.select("kind", "entity", "place", F.when(F.col("place") == F.col("n") - 1, "surname").otherwise(given).alias("part"), "word")
+
+
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, entity, surrogate: one to one, and no surrogate is an entity.
+    """kind, entity, surrogate: one to one within a kind, and no surrogate is an entity.
 
-    Men and women share their names: a surrogate belongs to one entity of either.
+    All words of names have different surrogates, and none is a word of a name.
     """
-    group = F.when(F.col("kind").isin("man", "woman"), "name").otherwise(F.col("kind")).alias("family")
-    pending = settle(entities.select("kind", "entity").distinct())
-    taken = pending.select(group, F.col("entity").alias("surrogate"))
+    entities = settle(entities.select("kind", "entity").distinct())
+    parts = _name_parts(entities)
+    domain_of = F.substring_index("entity", "@", -1)
+    emails = entities.where("kind = 'email'")
+    domains = emails.select(F.lit("domain").alias("kind"), domain_of.alias("entity"))
+    atoms = entities.where(~F.col("kind").isin(*GIVEN)).unionAll(domains.unionAll(parts.select("part", "word")).distinct())
+    drawn = _drawn_apart(settle(atoms), key)
+
+    words = drawn.where(F.col("kind").isin("surname", *GIVEN.values())).toDF("part", "word", "surrogate")
+    names = parts.join(words, ["part", "word"]).groupBy("kind", "entity").agg(F.array_sort(F.collect_list(F.struct("place", "surrogate"))).alias("words"))
+    names = names.select("kind", "entity", F.array_join("words.surrogate", " ").alias("surrogate"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(DOMAIN_COPIES - 1))).alias("copy")
+    new_domains = drawn.where("kind = 'domain'").select(F.col("entity").alias("domain"), F.col("surrogate").alias("new_domain"), copies)
+    emails = drawn.where("kind = 'email'").withColumns({"domain": domain_of, "copy": F.pmod(F.xxhash64("entity"), F.lit(DOMAIN_COPIES)).cast("int")})
+    local = F.substring_index("surrogate", "@", 1)
+    emails = emails.join(new_domains, ["domain", "copy"]).select("kind", "entity", F.concat(local, F.lit("@"), "new_domain").alias("surrogate"))
+    return drawn.where(~F.col("kind").isin("email", "domain", "surname", *GIVEN.values())).unionAll(names).unionAll(emails)
+
+
+def _drawn_apart(pending: DataFrame, key: str) -> DataFrame:
+    """kind, entity, surrogate of distinct entities and parts, drawn until all are distinct."""
+    family = F.when(F.col("kind").isin("surname", *GIVEN.values()), "name").otherwise(F.col("kind")).alias("family")
+    taken = pending.select(family, F.col("entity").alias("surrogate"))
     done: list[DataFrame] = []
     for attempt in range(MOST_ATTEMPTS):
-        drawn = pending.select("kind", "entity", group, surrogate(F.col("kind"), F.col("entity"), attempt, key).alias("surrogate"))
+        drawn = pending.select("kind", "entity", family, surrogate(F.col("kind"), F.col("entity"), attempt, key).alias("surrogate"))
         offers = drawn.select("family", "surrogate", F.concat_ws("|", "kind", "entity").alias("by"))
         held = taken.select("family", "surrogate", F.lit(None).cast("string").alias("by"))
         # A surrogate goes to one entity, and to none if it is held already.
@@ -277,15 +309,15 @@ def anonymised(docs: DataFrame, key: str) -> DataFrame:
     columns = docs.columns
     table = settle(replacements(docs, key))
     text = F.col("text").cast("string")
-    found = docs.withColumn("_found", mentions(text))
-    clean = found.where("_found IS NULL OR size(_found) = 0").drop("_found")
-    touched = found.where("size(_found) > 0").withColumn("_hash", F.xxhash64(text))
-    each = touched.select("_hash", F.explode(F.array_distinct("_found")).alias("mention")).distinct()
-    maps = each.join(table, "mention").groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("_map"))
-    maps = maps.withColumnRenamed("_hash", "_of")
-    joined = touched.join(maps, touched["_hash"] == maps["_of"], "left")
+    found, hashed, of, mapped = free_names(columns, "found", "hash", "of", "map")
+    docs = docs.withColumn(found, mentions(text))
+    clean = docs.where(F.col(found).isNull() | (F.size(found) == 0)).drop(found)
+    touched = docs.where(F.size(found) > 0).withColumn(hashed, F.xxhash64(text))
+    each = touched.select(F.col(hashed).alias(of), F.explode(F.array_distinct(found)).alias("mention")).distinct()
+    maps = each.join(table, "mention").groupBy(of).agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias(mapped))
+    joined = touched.join(maps, F.col(hashed) == F.col(of), "left")
     parts = F.split(text, PATTERN, -1)
-    new = F.transform("_found", lambda m: F.coalesce(F.col("_map")[m], m))
+    new = F.transform(found, lambda m: F.coalesce(F.col(mapped)[m], m))
     woven = F.zip_with(parts, new, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
     rewritten = joined.withColumn("text", F.array_join(woven, ""))
     return clean.select(columns).unionAll(rewritten.select(columns))
