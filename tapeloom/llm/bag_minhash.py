@@ -407,3 +407,32 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     once = staying(stays.where(F.col(times) == 1))
     again = staying(stays.where(F.col(times) > 1)).dropDuplicates(["doc_id", row_hash])
     return once.unionAll(again).drop(row_hash).withColumn("text", _unpack(F.col("text"))).select(docs.columns)
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query: overlaps of all pairs that share a shingle, and their components."""
+    return r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words FROM documents
+), shingles AS (
+  SELECT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, least(len(words) + 1, 2)))) AS i FROM texts)
+), bags AS (
+  SELECT doc_id, shingle, count(*) AS n FROM shingles GROUP BY doc_id, shingle
+), sizes AS (
+  SELECT doc_id, sum(n) AS size FROM bags GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS common
+  FROM bags a JOIN bags b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 5 * common >= 4 * (x.size + y.size - common)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reached.a, edges.b FROM reached JOIN edges ON edges.a = reached.b
+)
+SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a
+"""

@@ -112,7 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op4_minhash_near_dedup": bag_minhash.oracle(),
     "op6_chat_formatting": chat_formatting.oracle(),
+    "op9_substring_dedup": substring_dedup.oracle(),
     "op11_importance_resampling": importance_resampling.oracle(),
     "op12_vector_codes": vector_codes.oracle(),
 }

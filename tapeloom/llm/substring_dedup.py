@@ -270,3 +270,27 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     lists = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
     joined = _packed(_keyed(docs)).join(lists, ["doc_id", "text_hash"], "left")
     return joined.select("doc_id", "packed", "spans").mapInArrow(remove, schema)
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query: every window of 50 words by its whole text."""
+    return r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i AS start, array_to_string(words[i:i + 49], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts)
+), firsts AS (
+  SELECT passage, min(doc_id) AS first_id FROM windows GROUP BY passage
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 50)) AS i FROM windows JOIN firsts USING (passage) WHERE first_id < doc_id
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts
+), kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS text
+  FROM placed ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
