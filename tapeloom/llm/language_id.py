@@ -1,8 +1,11 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary of its own sample text.  A text is
-compressed once with every dictionary; the language whose dictionary gives the fewest bytes
-is chosen, and the text is rejected when the runner-up is as good.
+compressed once with every dictionary, and once with none; the language whose dictionary gives
+the fewest bytes is chosen.  The text is rejected when the runner-up is nearly as good, or when
+the best dictionary saves next to nothing against none, as for a language that was not learned.
+Both differences are measured against the bytes without a dictionary, which is what the text
+leaves to save: a text that repeats itself leaves little, and its margin in bytes is narrow.
 
 ``train`` takes a bounded sample: per language at most ``SAMPLES`` excerpts of ``EXCERPT``
 characters, from the distinct texts and places that come first in hash order.  Prediction reads every
@@ -31,8 +34,10 @@ PIECE_BYTES = 16384
 #: Below so many bytes the compressor stores a text as it is unless it repeats; such a text is
 #: compressed several times over, so that what its words save can show.
 SHORT, COPIES = 256, 4
-#: Least difference in bytes between the best two languages.
-MARGIN = 1
+#: Least margin between the best two languages, and least saving of the best, as shares of the
+#: bytes without a dictionary; never less than one byte of margin.
+MARGIN = 0.03
+SAVING = 0.02
 #: ASCII signs and digits say nothing about a language.
 NOISE = bytes(b for b in range(33, 128) if not chr(b).isalpha())
 
@@ -68,17 +73,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 
 
 def classifier(dictionaries: dict[str, bytes]):
-    """The function text -> (language, score, margin in bytes)."""
+    """The function text -> (language, score, margin in bytes, bytes saved, rejected)."""
     parameters = zstandard.ZstdCompressionParameters(**PARAMETERS)
+    plain = zstandard.ZstdCompressor(compression_params=parameters)
     compressors = {}
     for name, content in dictionaries.items():
         own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         own.precompute_compress(compression_params=parameters)
         compressors[name] = zstandard.ZstdCompressor(compression_params=parameters, dict_data=own)
 
-    def classify(text: str | None) -> tuple[str, float, int]:
+    def classify(text: str | None) -> tuple[str, float, int, int, bool]:
         if not compressors or text is None or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0, 0
+            return UNKNOWN, 0.0, 0, 0, True
         data = cleaned(text)
         if len(data) < SHORT:
             data = (b" " + b" ".join(data.split()) + b" ") * COPIES
@@ -89,15 +95,17 @@ def classifier(dictionaries: dict[str, bytes]):
         # A byte more in the code means a likelihood lower by a factor of two at least.
         score = 1.0 / sum(math.pow(2.0, max(least - s, -1000)) for s in sizes)
         runner_up = min((s for i, s in enumerate(sizes) if i != best), default=least + 1000)
-        return list(compressors)[best], score, runner_up - least
+        alone = sum(len(plain.compress(p)) for p in pieces)
+        margin, saved = runner_up - least, alone - least
+        return list(compressors)[best], score, margin, saved, margin < max(1, MARGIN * alone) or saved < SAVING * alone
 
     return classify
 
 
 def language(text: Column, dictionaries: dict[str, bytes]) -> Column:
-    """Struct of lang_pred, score, margin (bytes) and rejected for every whole text."""
+    """Struct of lang_pred, score, margin and saved (bytes) and rejected for every whole text."""
 
-    @F.arrow_udf("lang_pred string, score double, margin bigint, rejected boolean")
+    @F.arrow_udf("lang_pred string, score double, margin bigint, saved bigint, rejected boolean")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classify = classifier(dictionaries)
         for batch in batches:
@@ -107,9 +115,10 @@ def language(text: Column, dictionaries: dict[str, bytes]) -> Column:
                     pa.array([r[0] for r in rows], pa.string()),
                     pa.array([r[1] for r in rows], pa.float64()),
                     pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([r[0] == UNKNOWN or r[2] < MARGIN for r in rows], pa.bool_()),
+                    pa.array([r[3] for r in rows], pa.int64()),
+                    pa.array([r[4] for r in rows], pa.bool_()),
                 ],
-                ["lang_pred", "score", "margin", "rejected"],
+                ["lang_pred", "score", "margin", "saved", "rejected"],
             )
 
     return predict(text)
@@ -121,7 +130,7 @@ def held_out(doc_id: Column, divisor: int, remainder: int) -> Column:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, margin and rejected per row of ``docs``."""
+    """doc_id, held_out, lang_pred, score, margin, saved and rejected per row of ``docs``."""
     out = held_out(F.col("doc_id"), 4, 2)
     dictionaries = train(docs.where(~out))
     return docs.select("doc_id", out.alias("held_out"), language(F.col("text"), dictionaries).alias("_r")).select("doc_id", "held_out", "_r.*")

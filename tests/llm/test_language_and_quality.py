@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import difference, duck
 from tapeloom.llm import chat_formatting, language_id, quality_classifier, quality_rules, text_stats
@@ -25,6 +26,30 @@ def test_language_is_right_on_held_out_texts(spark):
     assert rows[words >= 20].rejected.mean() < 0.01
 
 
+@pytest.mark.parametrize("unseen", ["en", "fr", "de", "es"])
+def test_languages_that_were_not_learned_are_rejected(spark, unseen):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    out = language_id.held_out(F.col("doc_id"), 4, 2)
+    dictionaries = language_id.train(docs.where(~out & (F.col("lang") != unseen)))
+    rows = docs.where(out).select("lang", language_id.language(F.col("text"), dictionaries).alias("r")).select("lang", "r.*").toPandas()
+    foreign = rows.lang == unseen
+    assert rows[foreign].rejected.mean() >= 0.9
+    right = rows[~foreign & (rows.lang == rows.lang_pred)]
+    assert right.rejected.mean() < 0.01
+
+
+def test_texts_in_other_languages_are_rejected(spark):
+    learned = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [
+        "To jest bardzo ciekawy tekst o historii Polski i jej mieszkańców, którzy od wieków żyją nad Wisłą. ",
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. ",
+        "Хорошая погода стоит уже третий день, и дети играют во дворе до самого вечера. ",
+    ]
+    classify = language_id.classifier(language_id.train(learned))
+    assert [classify(t * n)[4] for t in texts for n in (1, 3)] == [True] * 6
+    assert language_id.classifier({"en": b"the thing and the other thing of it " * 20})("Хорошая погода")[4]
+
+
 def test_language_of_odd_rows(spark):
     texts = ["the thing and the other thing " * 20, "der die das und nicht ein " * 20, None, "", "12 345 !!", "the thing", "the thing"]
     docs = cases.frame(spark, texts, [1, 2, 3, 4, 5, 6, 6], ["en", "de", "en", None, "de", None, None])
