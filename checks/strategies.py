@@ -258,6 +258,33 @@ add(
     f"""SELECT spec_key, strategy, symbol, count(*) AS n FROM bars_daily,
     (VALUES {', '.join(KEYS)}) v(spec, strategy, spec_key) GROUP BY ALL""",
 )
+AXES = {"fast": "month(timestamp) + 1", "slow": "20 + 10 * quarter(timestamp)", "window": "day(timestamp)"}
+
+
+def _axes_grid(s, d):
+    """Grids over values that the bars hold: windows from the calendar of the bars."""
+    bars = views.bars_daily(s, d)
+    axes = [
+        bars.select(F.lit(family).alias("strategy"), F.lit(name).alias("name"), F.expr(AXES[name]).alias("value"))
+        for family, name in (("sma_cross", "fast"), ("sma_cross", "slow"), ("rsi_reversion", "window"))
+    ]
+    grid = sweep.axes_grid(reduce(DataFrame.unionByName, axes))
+    return grid.select("spec_key", "strategy", *[F.try_element_at("params", F.lit(name)).alias(name) for name in AXES])
+
+
+view("axes_grid", f"""SELECT 'sma_cross' AS strategy, fast, slow, CAST(NULL AS DOUBLE) AS "window",
+    '{{"fast":' || fast || ',"slow":' || slow || '}}' AS params
+    FROM (SELECT DISTINCT CAST({AXES['fast']} AS DOUBLE) AS fast FROM bars_daily), (SELECT DISTINCT CAST({AXES['slow']} AS DOUBLE) AS slow FROM bars_daily)
+    UNION ALL SELECT DISTINCT 'rsi_reversion', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST({AXES['window']} AS DOUBLE),
+    '{{"window":' || CAST({AXES['window']} AS DOUBLE) || '}}' FROM bars_daily""")
+add("param_grid_axes", "strategy fast slow window", _axes_grid, 'SELECT strategy, fast, slow, "window" FROM axes_grid')
+add(
+    "spec_key_axes",
+    "spec_key strategy fast slow window",
+    _axes_grid,
+    """SELECT substr(sha1('{"strategy":"' || strategy || '","params":' || params || ',"constants":"{}"}'), 1, 12) AS spec_key,
+    strategy, fast, slow, "window" FROM axes_grid""",
+)
 add("sweep", f"spec symbol {GROWTH}", _swept, "SELECT * FROM sweep_stats")
 
 SETTINGS = {

@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,9 @@ SPEC_SCHEMA = T.StructType(
     ]
 )
 
+# Specs that one row of a grid's numbering is unfolded to.
+GRID_BLOCK = 4096
+
 # Default parameters of the families a sweep can run.
 FAMILIES: dict[str, dict[str, float]] = {
     "buy_and_hold": {},
@@ -54,6 +57,41 @@ def param_grid(
     return spec_key(spark.createDataFrame(rows, SPEC_SCHEMA))
 
 
+def axes_grid(axes: DataFrame, constants: Mapping[str, object] | None = None, label: str | None = None) -> DataFrame:
+    """Specs for the products of the axes in a table (strategy, name, value).
+
+    The grid of a strategy is numbered, and a number's digits in the mixed radix of the axes
+    choose the values, so the product is made by tasks, in blocks of GRID_BLOCK specs; only
+    the distinct values of one strategy's axes meet in one row.  Repeated values count once;
+    null values and names add no axis, and a strategy without an axis gives one default spec;
+    rows with a null strategy are ignored.
+    """
+    fixed = json.dumps(dict(constants or {}), sort_keys=True, default=str)
+    known = axes.where(F.col("strategy").isNotNull())
+    axis = known.groupBy("strategy", "name").agg(F.array_sort(F.collect_set(F.col("value").cast("double"))).alias("choices"))
+    usable = F.col("name").isNotNull() & (F.size("choices") > 0)
+    grids = axis.groupBy("strategy").agg(F.array_sort(F.collect_list(F.when(usable, F.struct("name", "choices")))).alias("_axes"))
+    grids = grids.withColumn("_total", F.expr("aggregate(_axes, 1L, (n, a) -> n * size(a.choices))"))
+    blocks = grids.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_total - 1) div {GRID_BLOCK})")))
+    blocks = blocks.repartition("strategy", "_block")
+    first = F.col("_block") * GRID_BLOCK
+    last = F.least(F.col("_total"), first + GRID_BLOCK) - 1
+    numbered = blocks.withColumn("_number", F.explode(F.sequence(first, last)))
+    params = F.expr(
+        """aggregate(
+            _axes,
+            named_struct('rest', _number, 'chosen', cast(array() AS array<struct<name: string, value: double>>)),
+            (acc, a) -> named_struct(
+                'rest', acc.rest div size(a.choices),
+                'chosen', concat(acc.chosen, array(named_struct(
+                    'name', a.name, 'value', a.choices[cast(acc.rest % size(a.choices) AS int)])))),
+            acc -> map_from_entries(acc.chosen))"""
+    )
+    return spec_key(
+        numbered.select("strategy", F.lit(label).cast("string").alias("label"), params.alias("params"), F.lit(fixed).alias("constants"))
+    )
+
+
 def spec_key(specs: DataFrame) -> DataFrame:
     """Adds ``spec_key``: 12 hex digits of the SHA-1 of the spec in a canonical order."""
     ordered = F.array_sort(F.map_entries("params"))
@@ -89,17 +127,30 @@ def sweep_failures(specs: DataFrame) -> DataFrame:
     return specs.withColumn("error", error)
 
 
-def _window_lengths(specs: Sequence[Row]) -> tuple[list[int], list[int]]:
-    """The window lengths a sweep needs: (means, rsi)."""
-    means: set[int] = set()
-    strengths: set[int] = set()
-    for row in specs:
-        chosen = FAMILIES[row.strategy] | dict(row.params or {})
-        if row.strategy == "sma_cross":
-            means |= {int(chosen["fast"]), int(chosen["slow"])}
-        elif row.strategy in ("rsi_reversion", "scaled_rsi"):
-            strengths.add(int(chosen["window"]))
-    return sorted(means), sorted(strengths)
+def _needs(specs: DataFrame) -> tuple[list[str | None], list[int], list[int]]:
+    """What the specs ask of the bars: distinct constants, lengths of means, lengths of RSI.
+
+    These distinct values reach the driver, the specs themselves do not.
+    """
+
+    def asked(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+
+    def length(family: str, name: str) -> Column:
+        return _param(name, FAMILIES[family][name]).cast("int")
+
+    constants = asked("constants", F.col("constants"))
+    crossing = F.col("strategy") == "sma_cross"
+    reverting = F.col("strategy").isin("rsi_reversion", "scaled_rsi")
+    each = (
+        F.when(crossing, F.array(constants, asked("mean", length("sma_cross", "fast")), asked("mean", length("sma_cross", "slow"))))
+        .when(reverting, F.array(constants, asked("rsi", length("rsi_reversion", "window"))))
+        .otherwise(F.array(constants))
+    )
+    found = specs.select(F.explode(each).alias("n")).select("n.*").distinct().collect()
+    texts = sorted((r.value for r in found if r.kind == "constants"), key=lambda text: text or "")
+    means, strengths = (sorted(int(r.value) for r in found if r.kind == kind) for kind in ("mean", "rsi"))
+    return texts, means, strengths
 
 
 def _raw_target(families: set[str]) -> Column:
@@ -159,20 +210,17 @@ def sweep_backtest(
     once per bar and setting and looked up per spec; the backtest runs per (spec_key, symbol).
     """
     runnable = sweep_failures(specs).where(F.col("error").isNull())
-    # Specs are what the caller typed; the driver reads them to know windows and settings.
-    chosen = runnable.select("spec_key", "strategy", "params", "constants").collect()
-    settings = [_setting(row.constants) for row in chosen]
+    texts, means, strengths = _needs(runnable)
+    settings = [_setting(text) for text in texts]
     distinct = list(dict.fromkeys(settings))
     rows = []
-    for row, setting in zip(chosen, settings):
-        own = replace(costs, **_constants(row.constants).get("costs", {}))
-        rates = (own.commission + own.transfer + own.slippage, own.stamp)
-        rows.append((distinct.index(setting), row.spec_key, row.strategy, row.params, *map(float, rates)))
-    numbered = df.sparkSession.createDataFrame(
-        rows,
-        "_setting int, spec_key string, strategy string, params map<string, double>, _both double, _stamp double",
+    for text, setting in zip(texts, settings):
+        own = replace(costs, **_constants(text).get("costs", {}))
+        rows.append((text, distinct.index(setting), float(own.commission + own.transfer + own.slippage), float(own.stamp)))
+    rates = df.sparkSession.createDataFrame(rows, "_text string, _setting int, _both double, _stamp double")
+    numbered = runnable.join(rates, F.col("constants").eqNullSafe(F.col("_text"))).select(
+        "_setting", "spec_key", "strategy", "params", "_both", "_stamp"
     )
-    means, strengths = _window_lengths(chosen)
     wanted: list[Indicator] = [sma(window=n).named(f"_m{n}") for n in means]
     wanted += [rsi(window=n).named(f"_r{n}") for n in strengths]
     # Every bar once per setting that takes it, so that warm-up starts where the setting does.

@@ -142,3 +142,24 @@ def test_a_backtest_over_a_bucketed_table_needs_no_exchange(spark, bars, tmp_pat
         assert sorted(map(repr, stats.collect())) == sorted(map(repr, want.collect()))
     finally:
         spark.sql("DROP TABLE bucketed_bars")
+
+
+def test_axes_grid_is_the_typed_grid(spark, monkeypatch):
+    rows = [("sma_cross", "fast", v) for v in (5, 10, 20, 5)] + [("sma_cross", "slow", v) for v in (30, 60)]
+    rows += [("sma_cross", "slow", None), ("buy_and_hold", None, None), ("rsi_reversion", "window", None), (None, "fast", 1)]
+    axes = spark.createDataFrame(rows, "strategy string, name string, value int")
+    typed = sweep.param_grid(spark, "sma_cross", fast=[5, 10, 20], slow=[30, 60])
+    typed = typed.unionByName(sweep.param_grid(spark, "buy_and_hold")).unionByName(sweep.param_grid(spark, "rsi_reversion"))
+    expected = sorted((r.spec_key, sorted(r.params.items())) for r in typed.collect())
+    for block in (4096, 4):
+        monkeypatch.setattr(sweep, "GRID_BLOCK", block)
+        got = sweep.axes_grid(axes)
+        assert sorted((r.spec_key, sorted(r.params.items())) for r in got.collect()) == expected
+    assert got.columns == typed.columns
+    assert sweep.axes_grid(axes.limit(0)).count() == 0
+
+
+def test_axes_grid_of_many_specs(spark):
+    axes = spark.range(60).selectExpr("'sma_cross' AS strategy", "explode(array('fast', 'slow', 'third')) AS name", "id AS value")
+    grid = sweep.axes_grid(axes)
+    assert grid.count() == grid.select("spec_key").distinct().count() == 60**3
