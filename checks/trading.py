@@ -489,10 +489,29 @@ def log(s, d):
     return reports.telemetry_log(equity, marked, views.bars_daily(s, d), trades)
 
 
+def log_rows(s, d):
+    """The log, with the nested positions of a row as text and as sums."""
+    held = F.transform("positions", lambda p: F.concat(p["symbol"], F.lit(":"), p["shares"].cast("bigint").cast("string")))
+    worth = F.aggregate("positions", F.lit(0.0), lambda total, p: total + p["market_value"])
+    return log(s, d).withColumns({"held": F.array_join(held, ","), "worth": worth})
+
+
+NO_TEXT, NO_COUNT, NO_VALUE = (f"CAST(NULL AS {t})" for t in ("VARCHAR", "BIGINT", "DOUBLE"))
 add(
     "telemetry_log",
-    "topic log_time account symbol equity:2 drawdown:6 num_positions positions close:6 shares price:6",
-    log,
+    "topic log_time account symbol equity:2 cash:2 drawdown:6 num_positions held worth:2 close:6 volume side shares price:6 cost:6 reason",
+    log_rows,
+    f"""SELECT 'equity' AS topic, epoch_ns(timestamp) AS log_time, account, {NO_TEXT} AS symbol, equity, cash,
+      equity / max(equity) {UPTO.replace('symbol', 'account')} - 1 AS drawdown, {NO_COUNT} AS num_positions, {NO_TEXT} AS held,
+      {NO_VALUE} AS worth, {NO_VALUE} AS close, {NO_VALUE} AS volume, {NO_TEXT} AS side, {NO_COUNT} AS shares,
+      {NO_VALUE} AS price, {NO_VALUE} AS cost, {NO_TEXT} AS reason FROM equity
+    UNION ALL SELECT 'portfolio', epoch_ns(timestamp), account, NULL, any_value(equity), any_value(cash), NULL, count(*),
+      string_agg(symbol || ':' || CAST(shares AS BIGINT), ',' ORDER BY symbol), sum(shares * price), NULL, NULL, NULL, NULL, NULL, NULL, NULL
+      FROM marks LEFT JOIN (SELECT account, timestamp, equity, cash FROM equity) e USING (account, timestamp) GROUP BY account, timestamp
+    UNION ALL SELECT 'bars', epoch_ns(timestamp), NULL, symbol, NULL, NULL, NULL, NULL, NULL, NULL, close, CAST(volume AS DOUBLE), NULL, NULL, NULL, NULL, NULL
+      FROM bars_daily
+    UNION ALL SELECT 'fills', epoch_ns(timestamp), account, symbol, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, side, shares, price, cost, reason
+      FROM costed""",
 )
 add(
     "telemetry_topics",
