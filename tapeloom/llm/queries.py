@@ -55,10 +55,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "</s>[INST] ok [/INST]"
-    extra = [(-1, 0, "user", text), (-1, 1, "assistant", text)]
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame(extra, "conv_id bigint, turn bigint, role string, text string")
+    # A literal relation, so that no Python worker is started for the two rows.
+    added = spark.sql(
+        "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS added(turn, role)"
+    )
     return chat_formatting.digest(conversations.unionByName(added))
 
 
