@@ -17,7 +17,9 @@ or one that asks for ``cuts``, is cut by range, at every size:
 * unbounded frames and exponential averages take a carry, computed from the summary rows.
 
 Rows move twice, once by range and once by block, and are read once: the cut refers to every
-column, so all passes over it share the same exchange.  Positions are compared with the
+column, so all passes over it share the same exchange.  The second move gives each range a
+task of its own, so a task holds the rows of one range: none share it by the chance of a
+hash, and adaptive execution does not merge them up to a share of all rows.  Positions are compared with the
 summary, and a pass that was cut elsewhere fails instead of giving another result.
 
 The result is the same as with one window per key, whatever the share of a hot key.
@@ -106,21 +108,29 @@ class Layout:
         return self if self.whole else replace(self, df=self.df.where(F.col(OWN)))
 
 
+def _ranges(df: DataFrame, series: Series) -> int:
+    return series.cuts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _placed(df: DataFrame, series: Series) -> DataFrame:
     """``df`` cut by range, with block, position and the mark of rows in their own block.
 
     The number of ranges is given, so that adaptive execution does not merge some of them.
     The hash makes the order total and keeps every column below the exchange.
     """
-    cuts = series.cuts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*series.keys, *series.order, F.xxhash64(*df.columns)]
-    cut = df.repartitionByRange(cuts, *order).sortWithinPartitions(*order)
+    cut = df.repartitionByRange(_ranges(df, series), *order).sortWithinPartitions(*order)
     # The upper bits of the id are the partition, the lower ones count its rows.
     return cut.withColumn(AT, F.monotonically_increasing_id()).withColumns(
-        {BLOCK: F.shiftrightunsigned(AT, 33), OWN: F.lit(True)}
+        {BLOCK: F.shiftrightunsigned(AT, 33).cast("int"), OWN: F.lit(True)}
     )
 
 
+def _dealt(df: DataFrame, ranges: int) -> DataFrame:
+    """Every block in the partition of its number, which windows by keys and block accept."""
+    return df.repartitionById(ranges, BLOCK)
+
+
 def _shared(df: DataFrame, series: Series, *totals: Column) -> DataFrame:
     """One row per block of the keys that lie in several blocks: rows, first position, ``totals``.
 
@@ -152,7 +162,7 @@ def lay_out(df: DataFrame, series: Series, lookback: int = 0) -> Layout:
     placed = _placed(df, series)
     parts = (*series.keys, BLOCK)
     if not lookback:
-        return Layout(placed, series, parts)
+        return Layout(_dealt(placed, _ranges(df, series)), series, parts)
     blocks = Window.partitionBy(*series.keys).orderBy(BLOCK)
     upto = F.sum("_block_n").over(blocks.rowsBetween(Window.unboundedPreceding, 0))
     # A block has a row at least, so no more than ``lookback`` blocks can need its rows.
@@ -166,14 +176,14 @@ def lay_out(df: DataFrame, series: Series, lookback: int = 0) -> Layout:
     joined = _with_shared(placed, series, ends, ("_block_upto", "_block_later", "_block_end"))
     # Rows of the series from this one to the end of the block before, this one included.
     near = F.filter("_block_later", lambda b: F.col("_block_end") - F.col(AT) + b["before"] - F.col("_block_upto") <= lookback)
-    into = F.concat(F.array(BLOCK), F.coalesce(F.transform(near, lambda b: b["block"]), F.array().cast("array<bigint>")))
+    into = F.concat(F.array(BLOCK), F.coalesce(F.transform(near, lambda b: b["block"]), F.array().cast("array<int>")))
     copied = (
         joined.withColumns({"_block_home": F.col(BLOCK), "_block_into": into})
         .withColumn(BLOCK, F.explode("_block_into"))
         .withColumn(OWN, F.col(BLOCK) == F.col("_block_home"))
         .drop("_block_home", "_block_into", "_block_upto", "_block_later", "_block_end")
     )
-    return Layout(copied, series, parts)
+    return Layout(_dealt(copied, _ranges(df, series)), series, parts)
 
 
 Scan = tuple[str, Column]
@@ -335,18 +345,22 @@ def _blend_levels(
     Log-decay is cut into bands of e**-300; a band hands its last value to the next and
     a(t) = 0 starts afresh.  ``{name}_kept`` is the product of a since the start.  ``depth``
     bands back are handed on.
+
+    Resets and bands never fall, so the windows after them order by both first: it is the
+    same order, and the one that the rows are sorted in already.
     """
     reset, decay, band, local = (f"{name}_{s}" for s in ("reset", "decay", "band", "loc"))
     rows = Window.partitionBy(*parts).orderBy(*order)
     upto = (Window.unboundedPreceding, 0)
     episode = Window.partitionBy(*parts, reset).orderBy(*order)
     strip = Window.partitionBy(*parts, reset, band).orderBy(*order)
+    strips = Window.partitionBy(*parts).orderBy(reset, band, *order)
     offset = F.col(decay) + BAND * F.col(band)
-    ends = F.lead(F.struct(reset, band)).over(rows) != F.struct(reset, band)
+    ends = F.lead(F.struct(reset, band)).over(strips) != F.struct(reset, band)
 
     def with_handed(value: Column, end: str) -> Column:
         """The local part and what the band before ended with, ``value`` being its end."""
-        before = F.last(end, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
+        before = F.last(end, ignorenulls=True).over(strips.rowsBetween(Window.unboundedPreceding, -1))
         same = before[reset] == F.col(reset)
         return value + F.coalesce(F.when(same, F.exp(F.col(decay) - before[decay]) * before["v"]), F.lit(0.0))
 

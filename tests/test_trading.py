@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import backtest as bt
 from tapeloom.operators import ledger, market, orders
-from tapeloom.operators.series import Series, lay_out
+from tapeloom.operators.series import Series, lay_out, running
 from tapeloom.streaming import jobs
 
 approx = pytest.approx
@@ -59,6 +59,21 @@ def test_a_day_of_one_account_is_cut_into_blocks(spark):
     assert sum(sizes) == 40_000 and max(sizes) <= 2000 and len(sizes) >= 20
 
 
+def test_a_task_of_a_ledger_holds_one_block(spark):
+    """Neither adaptive execution nor a hash puts several blocks into one task."""
+    fills = spark.range(40_000).selectExpr(
+        "1 AS account", "'A' AS symbol", "id AS seq", "IF(id % 2 = 0, 'buy', 'sell') AS side", "CAST(9 AS BIGINT) AS shares",
+        "10D AS price", "1D AS cost", "90D AS notional", "timestampadd(MINUTE, CAST(id AS INT), TIMESTAMP_NTZ '2024-01-02') AS timestamp",
+    )
+    deep = running(lay_out(fills, replace(ledger.ACCOUNT, cuts=40), 5), {"total": ("sum", F.col("shares"))}).df
+    cut = ledger.position_ledger(fills, replace(ledger.POSITION, cuts=40))
+    cash = ledger.cash_ledger(fills, 1e6, replace(ledger.ACCOUNT, cuts=40))
+    for out, name in ((cut, "avg_price"), (cash, "cash"), (deep, "total")):
+        tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max(name))
+        sizes = [r.n for r in tasks.collect()]
+        assert sum(sizes) == 40_000 and max(sizes) <= 2000 and len(sizes) >= 20
+
+
 def test_average_price_by_hand_over_many_sells(spark):
     rows, held, avg, want = [], 0, 0.0, []
     for i in range(400):
