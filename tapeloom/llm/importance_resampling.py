@@ -3,7 +3,8 @@
 A batch of texts is joined with a sentinel between them, one pass of a regular expression
 finds all words of the batch, ``searchsorted`` on the texts' ends tells whose each word is,
 runs of words that reach over a sentinel are masked, and ``bincount`` gives the counts of the
-buckets or the weights of the texts.
+buckets or the weights of the texts.  Batches are short and texts leave Arrow a few at a time,
+since every word of a batch is an object and a worker's memory counts once per core.
 
 ``fit`` counts the buckets of all documents and of the whole target (at most ``buckets``
 rows each reach the driver) and turns them into one integer gain per bucket.  A document's
@@ -23,7 +24,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import BoundedCache
 from tapeloom.session import settle
 
 #: Bytes of one joined batch; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 22
-#: Words remembered by a worker, about 120 bytes each.
-CACHE_WORDS = 400_000
+BATCH_BYTES = 1 << 18
+#: Texts of an Arrow column that are Python strings at a time.
+TEXTS_AT_ONCE = 64
 #: Letters a-z, digits and everything beyond ASCII, as bytes of UTF-8.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SENTINEL = b"\n"
@@ -63,7 +64,12 @@ class Features:
     bucket: np.ndarray
 
 
-def joined(texts: Sequence[str | None]) -> Iterator[list[bytes]]:
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    for start in range(0, len(column), TEXTS_AT_ONCE):
+        yield from column.slice(start, TEXTS_AT_ONCE).to_pylist()
+
+
+def joined(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     """The texts in batches of about BATCH_BYTES, ASCII letters in lower case."""
     held, size = [], 0
     for text in texts:
@@ -79,15 +85,16 @@ def joined(texts: Sequence[str | None]) -> Iterator[list[bytes]]:
 
 def reader(settings: Settings):
     """The function texts -> Features per joined batch."""
-    hashes = BoundedCache(zlib.crc32, CACHE_WORDS)
 
-    def features(texts: Sequence[str | None]) -> Iterator[Features]:
+    def features(texts: Iterable[str | None]) -> Iterator[Features]:
         for batch in joined(texts):
             ends = np.cumsum([len(data) + len(SENTINEL) for data in batch])
-            found = [(m[0], m.start()) for m in WORD.finditer(SENTINEL.join(batch))]
-            words = [w for w, _ in found]
-            owner = np.searchsorted(ends, np.fromiter((at for _, at in found), np.int64, len(found)), "right")
-            run = list(map(hashes.__getitem__, words))
+            words, starts = [], array("q")
+            for found in WORD.finditer(SENTINEL.join(batch)):
+                words.append(found[0])
+                starts.append(found.start())
+            owner = np.searchsorted(ends, np.array(starts, np.int64), "right")
+            run = list(map(zlib.crc32, words))
             owners, buckets = [], []
             for n in range(1, settings.longest + 1):
                 if n > 1:  # the run from each word on, longer by one word
@@ -108,7 +115,7 @@ def bucket_counts(texts: DataFrame, settings: Settings, text: str = "text") -> n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, total = reader(settings), np.zeros(settings.buckets, np.int64)
         for batch in batches:
-            for part in features(batch.column(0).to_pylist()):
+            for part in features(texts_of(batch.column(0))):
                 total += np.bincount(part.bucket, minlength=settings.buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
@@ -139,7 +146,7 @@ def weighed(text: Column, gains: np.ndarray, settings: Settings = Settings()) ->
         features = reader(settings)
         for batch in batches:
             parts = [(np.zeros(0, np.int64),) * 3]
-            for part in features(batch.to_pylist()):
+            for part in features(texts_of(batch)):
                 n = len(part.words)
                 # Sums of integers below 2**53 are exact in doubles.
                 weight = np.bincount(part.text, gains[part.bucket].astype(np.float64), n).astype(np.int64)

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,20 @@ def test_features_do_not_depend_on_the_batch(monkeypatch):
     assert at == len(texts)
 
 
+def test_a_worker_holds_few_words_at_a_time():
+    texts = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(800)]  # 3 MB, all words distinct
+    features = resampling.reader(resampling.Settings())
+    tracemalloc.start()
+    try:
+        n = sum(len(part.bucket) for part in features(texts))
+        assert n == 400_000 and tracemalloc.get_traced_memory()[1] < 24e6
+    finally:
+        tracemalloc.stop()
+    column = pa.array([None, "", *texts[:200]])
+    assert list(resampling.texts_of(column)) == column.to_pylist()
+    assert list(resampling.texts_of(column.slice(0, 0))) == []
+
+
 def test_resampling_of_odd_and_empty_tables(spark):
     target = spark.createDataFrame([("kon taba 12",), (None,)], "text string")
     rows = resampling.resampling(cases.odd(spark), target, 50)
