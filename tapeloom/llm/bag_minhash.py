@@ -31,7 +31,7 @@ the least id of the class, nulls aside; equal rows are of one class.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import BoundedCache, free_names
+from tapeloom.llm.common import VALUES_AT_ONCE, free_names, values_of
 from tapeloom.session import settle
 
 SHINGLE = 5
@@ -52,9 +52,8 @@ LEAST_AGREEING = 78
 BITS = 4096
 #: Members of a bucket that are compared in one task, on either side.
 PART = 1500
-CACHE_WORDS = 400_000
 #: Shingles handled in one vectorised step, about 100 bytes each.
-AT_ONCE = 250_000
+AT_ONCE = 100_000
 SIGNS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,10 +64,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def multiset(text: bytes, cache: BoundedCache) -> tuple[np.ndarray, np.ndarray]:
+def multiset(text: bytes, word_hash: Callable[[bytes], int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes in order, and their counts."""
     words = text.lower().translate(SIGNS).split() if text.isascii() else text.decode("utf-8", "replace").lower().encode().translate(SIGNS).split()
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
     width = min(SHINGLE, len(h))
     total = np.zeros(len(h) - width + 1 if width else 0, np.uint64)
     for j in range(width):
@@ -76,8 +75,9 @@ def multiset(text: bytes, cache: BoundedCache) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mixed(total), return_counts=True)
 
 
-def word_hashes() -> BoundedCache:
-    return BoundedCache(xxhash.xxh3_64_intdigest, CACHE_WORDS)
+def word_hashes() -> Callable[[bytes], int]:
+    """Hashing is as fast as remembering the hashes, and holds nothing."""
+    return xxhash.xxh3_64_intdigest
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
@@ -154,11 +154,11 @@ def signed(docs: DataFrame) -> DataFrame:
     three are null for documents without a word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_hashes()
+        word_hash = word_hashes()
         for batch in batches:
             ids, hashes, bags, size = [], [], [], 0
-            for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
-                bag = multiset((text or "").encode("utf-8", "replace"), cache)
+            for doc_id, text_hash, text in zip(*map(values_of, batch.columns)):
+                bag = multiset((text or "").encode("utf-8", "replace"), word_hash)
                 ids.append(doc_id)
                 hashes.append(text_hash)
                 bags.append(bag)
@@ -202,7 +202,7 @@ def _pack(text: Column) -> Column:
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.array([None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.to_pylist()], pa.binary())
+            yield pa.array([None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in values_of(batch)], pa.binary())
 
     return pack(text)
 
@@ -212,7 +212,11 @@ def _unpack(packed: Column) -> Column:
     def unpack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            yield pa.array([None if t is None else press.decompress(t).decode("utf-8", "surrogatepass") for t in batch.to_pylist()], pa.string())
+            parts = [pa.array([], pa.string())]
+            for at in range(0, len(batch), VALUES_AT_ONCE):
+                part = batch.slice(at, VALUES_AT_ONCE).to_pylist()
+                parts.append(pa.array([None if t is None else press.decompress(t).decode("utf-8", "surrogatepass") for t in part], pa.string()))
+            yield pa.concat_arrays(parts)
 
     return unpack(packed)
 
@@ -229,15 +233,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts overlap enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, press = word_hashes(), zstandard.ZstdDecompressor()
+        word_hash, press = word_hashes(), zstandard.ZstdDecompressor()
         last: tuple[int, tuple] | None = None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
-            for i, (x, own, other) in enumerate(zip(b, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            for i, (x, own, other) in enumerate(zip(b, values_of(batch.column(2)), values_of(batch.column(3)))):
                 if last is None or last[0] != x:  # pairs of one leader come together
-                    last = (x, multiset(press.decompress(other), cache))
-                overlap, union = similarity(multiset(press.decompress(own), cache), last[1])
+                    last = (x, multiset(press.decompress(other), word_hash))
+                overlap, union = similarity(multiset(press.decompress(own), word_hash), last[1])
                 if overlap >= SIMILARITY * union - 1e-9:
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.int64()) for c in (a, b)], ["a", "b"])
@@ -251,11 +255,11 @@ def _bitmaps(needed: DataFrame, texts: DataFrame) -> DataFrame:
     """node, size (shingles) and bitmap (a bit per distinct shingle) of the nodes."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, press = word_hashes(), zstandard.ZstdDecompressor()
+        word_hash, press = word_hashes(), zstandard.ZstdDecompressor()
         for batch in batches:
             sizes, bitmaps = [], []
-            for packed in batch.column(1).to_pylist():
-                shingles, counts = multiset(press.decompress(packed), cache)
+            for packed in values_of(batch.column(1)):
+                shingles, counts = multiset(press.decompress(packed), word_hash)
                 bits = np.zeros(BITS, np.uint8)
                 bits[(shingles % np.uint64(BITS)).astype(np.int64)] = 1
                 sizes.append(int(counts.sum()))

@@ -22,7 +22,7 @@ equal rows are reported each; an item of fewer than five words must occur exactl
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import values_of
+
 SIMILARITY = 0.8
 REPEATS = 48
 SAMPLED = 3
@@ -152,14 +154,14 @@ class Index:
             out.append((int(self.lengths[k]), np.nonzero(total >= self.needs[k])[0]))
         return [(n, starts) for n, starts in out if len(starts)]
 
-    def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+    def matches(self, texts: Iterable[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """Per text (item_id, start word, words, distance), the nearest window of each item."""
         known = self.vocabulary.get
         codes = []
         for text in texts:
             found = words(text)
             codes.append(np.fromiter(map(known, found, repeat(0)), np.int64, len(found)))
-        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in codes]
         waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
         for doc, code in enumerate(codes):
             for word, item in self.single.items():
@@ -225,7 +227,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for batch in batches:
-            found = index.matches(batch.column(1).to_pylist())
+            found = index.matches(values_of(batch.column(1)))
             out = [(key, *m) for key, row in zip(batch.column(0).to_pylist(), found) for m in row]
             columns = list(zip(*out)) or [[]] * 5
             names = ["doc_id", "item_id", "start", "length", "distance"]
@@ -248,7 +250,7 @@ def _clean(index: Index, docs: DataFrame) -> Column:
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([not found for found in held.value.matches(batch.to_pylist())], pa.bool_())
+            yield pa.array([not found for found in held.value.matches(values_of(batch))], pa.bool_())
 
     return clean(F.col("text").cast("string"))
 

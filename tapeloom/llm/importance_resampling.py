@@ -33,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import values_of
 from tapeloom.session import settle
 
 #: Bytes of one joined batch; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 18
-#: Texts of an Arrow column that are Python strings at a time.
-TEXTS_AT_ONCE = 64
 #: Letters a-z, digits and everything beyond ASCII, as bytes of UTF-8.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SENTINEL = b"\n"
@@ -64,11 +63,6 @@ class Features:
     bucket: np.ndarray
 
 
-def texts_of(column: pa.Array) -> Iterator[str | None]:
-    for start in range(0, len(column), TEXTS_AT_ONCE):
-        yield from column.slice(start, TEXTS_AT_ONCE).to_pylist()
-
-
 def joined(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     """The texts in batches of about BATCH_BYTES, ASCII letters in lower case."""
     held, size = [], 0
@@ -115,7 +109,7 @@ def bucket_counts(texts: DataFrame, settings: Settings, text: str = "text") -> n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, total = reader(settings), np.zeros(settings.buckets, np.int64)
         for batch in batches:
-            for part in features(texts_of(batch.column(0))):
+            for part in features(values_of(batch.column(0))):
                 total += np.bincount(part.bucket, minlength=settings.buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
@@ -146,7 +140,7 @@ def weighed(text: Column, gains: np.ndarray, settings: Settings = Settings()) ->
         features = reader(settings)
         for batch in batches:
             parts = [(np.zeros(0, np.int64),) * 3]
-            for part in features(texts_of(batch)):
+            for part in features(values_of(batch)):
                 n = len(part.words)
                 # Sums of integers below 2**53 are exact in doubles.
                 weight = np.bincount(part.text, gains[part.bucket].astype(np.float64), n).astype(np.int64)

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.llm.common import values_of
+
 UNKNOWN = "und"
 SAMPLES = 64
 EXCERPT = 2000
@@ -109,7 +111,7 @@ def language(text: Column, dictionaries: dict[str, bytes]) -> Column:
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classify = classifier(dictionaries)
         for batch in batches:
-            rows = [classify(t) for t in batch.to_pylist()]
+            rows = [classify(t) for t in values_of(batch)]
             yield pa.StructArray.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.string()),

@@ -39,6 +39,8 @@ from tapeloom.session import settle
 
 #: Words remembered by a worker, about 200 bytes each.
 CACHE_WORDS = 300_000
+#: Documents whose texts and ids a worker holds at a time.
+ROWS_AT_ONCE = 512
 #: Share of a scarcest length's demand that one round of multiplicative weights buys.
 STEP = 1.0
 #: Share of all tokens that is left to best fit.
@@ -109,7 +111,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_ids(tokenizer_path)
-        for batch in batches:
+        slices = (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+        for batch in slices:
             doc_id, piece, start, length, ids = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or "").replace("\n", " ").split(" ")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -84,6 +85,24 @@ def test_near_duplicates_of_odd_rows(spark):
     assert bag_minhash.deduplicated(cases.empty(spark)).count() == 0
 
 
+def test_hashes_of_words_are_not_held():
+    word_hash = bag_minhash.word_hashes()
+    tracemalloc.start()
+    try:
+        for i in range(100):
+            shingles, _ = bag_minhash.multiset(" ".join(f"w{i}x{j}" for j in range(2000)).encode(), word_hash)
+            assert len(shingles) == 1996
+        assert tracemalloc.get_traced_memory()[0] < 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_matches_reads_its_texts_once():
+    index = benchmark_decontamination.Index([1], [benchmark_decontamination.words("a b c d e f")])
+    texts = ["x a b c d e f", None, "y"]
+    assert index.matches(iter(texts)) == index.matches(texts) == [[(1, 1, 6, 0)], [], []]
+
+
 def test_signatures_estimate_weighted_similarity():
     r, cache = random.Random(2), bag_minhash.word_hashes()
     left, right, truth = [], [], []

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import importance_resampling as resampling
 from tapeloom.llm import vector_codes as codes
+from tapeloom.llm.common import values_of
 from tests.llm import cases
 
 
@@ -79,8 +80,8 @@ def test_a_worker_holds_few_words_at_a_time():
     finally:
         tracemalloc.stop()
     column = pa.array([None, "", *texts[:200]])
-    assert list(resampling.texts_of(column)) == column.to_pylist()
-    assert list(resampling.texts_of(column.slice(0, 0))) == []
+    assert list(values_of(column)) == column.to_pylist()
+    assert list(values_of(column.slice(0, 0))) == []
 
 
 def test_resampling_of_odd_and_empty_tables(spark):
