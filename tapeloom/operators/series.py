@@ -44,8 +44,8 @@ class Series:
     """Identity of a family of ordered series.
 
     ``step`` is the bar interval and declares one row per key and step at most.  A series
-    without it is cut into ``cuts`` ranges, by default as many as there are shuffle partitions;
-    one with a step is cut only if ``cuts`` is given.
+    without it is cut into ``cuts`` ranges, by default as many as there are shuffle partitions,
+    or more for very many rows; one with a step is cut only if ``cuts`` is given.
     """
 
     keys: tuple[str, ...] = ("symbol",)
@@ -108,18 +108,29 @@ class Layout:
         return self if self.whole else replace(self, df=self.df.where(F.col(OWN)))
 
 
+#: Rows of a range, beyond which there are more ranges than shuffle partitions.
+ROWS_PER_RANGE = 250_000
+
+
 def _ranges(df: DataFrame, series: Series) -> int:
-    return series.cuts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many as shuffle partitions, and more where a task would hold too many rows.
+
+    The rows are counted beforehand, so that a task does not grow with the input.
+    """
+    if series.cuts:
+        return series.cuts
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, math.ceil(df.count() / ROWS_PER_RANGE))
 
 
-def _placed(df: DataFrame, series: Series) -> DataFrame:
+def _placed(df: DataFrame, series: Series, ranges: int) -> DataFrame:
     """``df`` cut by range, with block, position and the mark of rows in their own block.
 
     The number of ranges is given, so that adaptive execution does not merge some of them.
     The hash makes the order total and keeps every column below the exchange.
     """
     order = [*series.keys, *series.order, F.xxhash64(*df.columns)]
-    cut = df.repartitionByRange(_ranges(df, series), *order).sortWithinPartitions(*order)
+    cut = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # The upper bits of the id are the partition, the lower ones count its rows.
     return cut.withColumn(AT, F.monotonically_increasing_id()).withColumns(
         {BLOCK: F.shiftrightunsigned(AT, 33).cast("int"), OWN: F.lit(True)}
@@ -159,10 +170,11 @@ def lay_out(df: DataFrame, series: Series, lookback: int = 0) -> Layout:
     """Partition ``df`` so that every row sees ``lookback`` earlier rows of its series."""
     if series.bounded:
         return Layout(df, series, series.keys)
-    placed = _placed(df, series)
+    ranges = _ranges(df, series)
+    placed = _placed(df, series, ranges)
     parts = (*series.keys, BLOCK)
     if not lookback:
-        return Layout(_dealt(placed, _ranges(df, series)), series, parts)
+        return Layout(_dealt(placed, ranges), series, parts)
     blocks = Window.partitionBy(*series.keys).orderBy(BLOCK)
     upto = F.sum("_block_n").over(blocks.rowsBetween(Window.unboundedPreceding, 0))
     # A block has a row at least, so no more than ``lookback`` blocks can need its rows.
@@ -183,7 +195,7 @@ def lay_out(df: DataFrame, series: Series, lookback: int = 0) -> Layout:
         .withColumn(OWN, F.col(BLOCK) == F.col("_block_home"))
         .drop("_block_home", "_block_into", "_block_upto", "_block_later", "_block_end")
     )
-    return Layout(_dealt(copied, _ranges(df, series)), series, parts)
+    return Layout(_dealt(copied, ranges), series, parts)
 
 
 Scan = tuple[str, Column]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import backtest as bt
-from tapeloom.operators import ledger, market, orders
+from tapeloom.operators import ledger, market, orders, series
 from tapeloom.operators.series import Series, lay_out, running
 from tapeloom.streaming import jobs
 
@@ -74,6 +74,20 @@ def test_a_task_of_a_ledger_holds_one_block(spark):
         assert sum(sizes) == 40_000 and max(sizes) <= 2000 and len(sizes) >= 20
 
 
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """A task of a ledger holds no more rows for a larger input, at the same shuffle partitions."""
+    monkeypatch.setattr(series, "ROWS_PER_RANGE", 1000, raising=False)
+    fills = spark.range(30_000).selectExpr(
+        "1 AS account", "'A' AS symbol", "id AS seq", "IF(id % 2 = 0, 'buy', 'sell') AS side", "CAST(9 AS BIGINT) AS shares",
+        "10D AS price", "timestampadd(MINUTE, CAST(id AS INT), TIMESTAMP_NTZ '2024-01-02') AS timestamp",
+    )
+    rows = ledger.position_ledger(fills)
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max("avg_price"))
+    sizes = [r.n for r in tasks.collect()]
+    assert sum(sizes) == 30_000 and max(sizes) <= 2000
+    assert rows.agg(F.sum("held")).first()[0] == 15_000 * 9
+
+
 def test_average_price_by_hand_over_many_sells(spark):
     rows, held, avg, want = [], 0, 0.0, []
     for i in range(400):
