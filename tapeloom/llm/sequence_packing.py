@@ -22,13 +22,15 @@ rows each get a place of their own; an empty table gives no piece; a length outs
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +39,8 @@ from pyspark.sql.window import Window
 from tapeloom.llm.common import BoundedCache
 from tapeloom.session import settle
 
-#: Words remembered by a worker, about 200 bytes each.
-CACHE_WORDS = 300_000
+#: Pre-tokens and words remembered by a worker, about 200 bytes each.
+CACHE_WORDS = 600_000
 #: Documents whose texts and ids a worker holds at a time.
 ROWS_AT_ONCE = 512
 #: Share of a scarcest length's demand that one round of multiplicative weights buys.
@@ -70,8 +72,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: The tokenizer's own split into pre-tokens, after normalisation.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Visible Latin-1 characters and spaces: no normalisation changes them but lower case.
+PLAIN = re.compile("[ -~¡-¬®-ÿ]*")
+_LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+#: The tokenizer's own split of plain text in lower case into pre-tokens.
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^ {_LETTERS}{_DIGITS}]+")
 
 
 def _byte_letters() -> list[str]:
@@ -80,29 +85,52 @@ def _byte_letters() -> list[str]:
     return [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(spare)) for b in range(256)]
 
 
-def word_ids(tokenizer_path: str) -> BoundedCache:
-    """Token ids of a text between spaces as little-endian unsigned 32-bit numbers.
+def _is_plain(text: str) -> bool:
+    return "<|" not in text and PLAIN.fullmatch(text) is not None
+
+
+def _parts(text: str) -> list[str]:
+    """Pre-tokens of the plain words of ``text``, and its other words with a space before them."""
+    if _is_plain(text):
+        return PRE_TOKEN.findall(text.lower())
+    parts: list[str] = []
+    for plain, words in groupby(text.split(" "), _is_plain):
+        parts += PRE_TOKEN.findall(" ".join(words).lower()) if plain else [" " + word for word in words]
+    return parts
+
+
+class TextIds:
+    """``ids[text]``: token ids of a text without line feeds as little-endian unsigned 32-bit numbers.
 
     The tokenizer normalises white space to one space and drops it between tokens, so words
     between spaces are independent of each other.  Visible Latin-1 words need no Unicode
-    normalisation; their pre-tokens go to the tokenizer's merges directly and are remembered
-    one by one.  All other words go through the whole tokenizer.
+    normalisation: a run of them is split by one regular-expression pass, and the pre-tokens
+    go to the tokenizer's merges directly.  All other words go through the whole tokenizer.
+    Both are remembered.
     """
-    tokenizer = _tokenizer(tokenizer_path)
-    merges, letters = tokenizer.model, _byte_letters()
 
-    def pre_token(part: str) -> bytes:
-        if not part.isascii():
-            part = "".join(map(letters.__getitem__, part.encode()))
-        return np.array([t.id for t in merges.tokenize(part)], "<u4").tobytes()
+    def __init__(self, tokenizer_path: str) -> None:
+        tokenizer = _tokenizer(tokenizer_path)
+        tokenize, letters = tokenizer.model.tokenize, _byte_letters()
 
-    def encode(word: str) -> bytes:
-        if word.isprintable() and "<|" not in word and max(word, default="a") < "\u0100":
-            return b"".join(map(pre_tokens.__getitem__, PRE_TOKEN.findall(word.lower())))
-        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        def part_ids(part: str) -> bytes:
+            if part[0] == " ":
+                ids = tokenizer.encode(part[1:], add_special_tokens=False).ids
+            else:
+                name = part if part.isascii() else "".join(map(letters.__getitem__, part.encode()))
+                ids = [t.id for t in tokenize(name)]
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-    pre_tokens = BoundedCache(pre_token, CACHE_WORDS)
-    return BoundedCache(encode, CACHE_WORDS)
+        self._ids = BoundedCache(part_ids, CACHE_WORDS)
+
+    def __getitem__(self, text: str) -> bytes:
+        return b"".join(map(self._ids.__getitem__, _parts(text)))
+
+
+@lru_cache(maxsize=2)
+def word_ids(tokenizer_path: str) -> TextIds:
+    """The ids of this worker, which keeps what it learned in earlier tasks."""
+    return TextIds(tokenizer_path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int = 0) -> DataFrame:
@@ -110,13 +138,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
     end, step = np.array([end_id], "<u4").tobytes(), 4 * max_tokens
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_ids(tokenizer_path)
+        ids_of = word_ids(tokenizer_path)
         slices = (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE))
         for batch in slices:
             doc_id, piece, start, length, ids = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = (text or "").replace("\n", " ").split(" ")
-                whole = b"".join(map(cache.__getitem__, words)) + end
+                whole = ids_of[(text or "").replace("\n", " ")] + end
                 for k, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
                     doc_id.append(key)

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -53,6 +55,42 @@ def test_word_ids_agree_with_the_library():
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_whole_texts_agree_with_the_library():
+    tokenizer, ids = Tokenizer.from_file(WORDS), packing.TextIds(WORDS)
+    latin = [chr(c) for c in range(32, 256)]
+    pairs = [f"{a}{b}" for a in latin for b in latin]
+    r = random.Random(2)
+    mixed = ["".join(r.choice([*STRANGE, " ", "’", "don't", "<|", "A.B", "naïve"]) for _ in range(r.randrange(40))) for _ in range(3000)]
+    for text in [*(" ".join(pairs[k : k + 100]) for k in range(0, len(pairs), 100)), *pairs[::7], *mixed]:
+        got = np.frombuffer(ids[text.replace("\n", " ")], "<u4").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_work_of_pieces_grows_with_pre_tokens_not_with_words(spark):
+    class Task:
+        """Gives the function that runs in a task instead of running it."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    cut = packing.token_pieces(Task(), WORDS, 2048)
+    parts, marks = [f"part{chr(97 + k)}" for k in range(20)], [",", ".", "-", "/", "+"]
+    words = [f"{a}{mark}{b}" for a in parts for mark in marks for b in parts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(words)]})
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        (out,) = cut(iter([batch]))
+    finally:
+        sys.setprofile(None)
+    got = np.frombuffer(b"".join(out.column("ids").to_pylist()), "<u4").tolist()
+    assert got == [*Tokenizer.from_file(WORDS).encode(" ".join(words), add_special_tokens=False).ids, 0]
+    assert len(words) == 2000 and calls["call"] < 1000
+
+
 def check_places(rows, capacity):
     by: dict[int, list] = {}
     for r in rows:
