@@ -38,13 +38,18 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
 
 
 class BoundedCache(dict):
-    """``cache[key]`` computes a missing value; the cache is emptied when it holds ``limit`` keys."""
+    """``cache[key]`` computes a missing value; the cache is emptied when it holds ``limit`` keys.
 
-    def __init__(self, compute, limit: int, fixed: dict | None = None) -> None:
+    The values of keys with more than ``longest`` characters are not kept.
+    """
+
+    def __init__(self, compute, limit: int, fixed: dict | None = None, longest: float = float("inf")) -> None:
         super().__init__(fixed or {})
-        self._compute, self._limit, self._fixed = compute, limit, fixed or {}
+        self._compute, self._limit, self._fixed, self._longest = compute, limit, fixed or {}, longest
 
     def __missing__(self, key):
+        if len(key) > self._longest:
+            return self._compute(key)
         if len(self) >= self._limit:
             self.clear()
             self.update(self._fixed)

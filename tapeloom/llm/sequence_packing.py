@@ -39,8 +39,10 @@ from pyspark.sql.window import Window
 from tapeloom.llm.common import BoundedCache
 from tapeloom.session import settle
 
-#: Pre-tokens and words remembered by a worker, about 200 bytes each.
-CACHE_WORDS = 600_000
+#: Pre-tokens and words remembered by a worker, about 200 bytes each; it keeps them while other stages run.
+CACHE_WORDS = 100_000
+#: Characters of a pre-token or word that is remembered.
+LONGEST_WORD = 64
 #: Documents whose texts and ids a worker holds at a time.
 ROWS_AT_ONCE = 512
 #: Share of a scarcest length's demand that one round of multiplicative weights buys.
@@ -106,7 +108,7 @@ class TextIds:
     between spaces are independent of each other.  Visible Latin-1 words need no Unicode
     normalisation: a run of them is split by one regular-expression pass, and the pre-tokens
     go to the tokenizer's merges directly.  All other words go through the whole tokenizer.
-    Both are remembered.
+    Both are remembered, but for very long ones.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
@@ -121,7 +123,7 @@ class TextIds:
                 ids = [t.id for t in tokenize(name)]
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self._ids = BoundedCache(part_ids, CACHE_WORDS)
+        self._ids = BoundedCache(part_ids, CACHE_WORDS, longest=LONGEST_WORD)
 
     def __getitem__(self, text: str) -> bytes:
         return b"".join(map(self._ids.__getitem__, _parts(text)))
@@ -327,8 +329,9 @@ def pack(pieces: DataFrame, order: list[str], capacity: int, step: float = STEP)
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(plan(histogram, capacity, step))
-    schema = "s_length bigint, s_first bigint, s_ranks bigint, s_sequence bigint, s_per bigint, s_offset bigint"
-    entries = spark.createDataFrame([tuple(map(int, s)) for s in slots], schema)
+    names = ["s_length", "s_first", "s_ranks", "s_sequence", "s_per", "s_offset"]
+    # An Arrow table needs no Python workers of its own, as a list of rows does.
+    entries = spark.createDataFrame(pa.table([pa.array([s[k] for s in slots], pa.int64()) for k in range(len(names))], names=names))
     # One row per length: its entries, each with the ranks it holds.
     by_length = entries.groupBy("s_length").agg(F.array_sort(F.collect_list(F.struct("s_first", "s_ranks", "s_sequence", "s_per", "s_offset"))).alias("s_entries"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -66,6 +66,26 @@ def test_ids_of_whole_texts_agree_with_the_library():
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_worker_remembers_little():
+    ids = packing.TextIds(WORDS)
+    letters = str.maketrans("0123456789", "qwertyuiop")
+    for at in range(0, 199_000, 1000):
+        assert ids[" ".join(str(1_000_000 + k).translate(letters) for k in range(at, at + 1000))]
+    long = "ab" * 50_000
+    assert np.frombuffer(ids[long], "<u4").tolist() == Tokenizer.from_file(WORDS).encode(long, add_special_tokens=False).ids
+    held = ids._ids
+    assert sys.getsizeof(held) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in held.items()) < 20e6
+    assert long not in held
+
+
+def test_plan_table_starts_no_python_workers(spark):
+    pieces = spark.range(500).selectExpr("id AS doc_id", "1 + id % 40 AS length")
+    placed = packing.pack(pieces, ["doc_id"], 64)
+    assert "ExistingRDD" not in placed._jdf.queryExecution().executedPlan().toString()
+    ends = placed.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert sum(r[1] for r in ends) == sum(1 + i % 40 for i in range(500)) and max(r[1] for r in ends) <= 64
+
+
 def test_work_of_pieces_grows_with_pre_tokens_not_with_words(spark):
     class Task:
         """Gives the function that runs in a task instead of running it."""
